@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from tideline.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tideline.llm.line_dedup import OP3_SQL, op3_line_dedup
+from tideline.llm.nearest import op7_nearest
+from tideline.llm.packing import op6_packing
+from tideline.llm.secret_scan import op9_secret_scan
 from tideline.llm.substring_dedup import OP8_SQL, op8_substring_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_line_dedup": op3_line_dedup,
+    "op6_packing": op6_packing,
+    "op7_nearest": op7_nearest,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_secret_scan": op9_secret_scan,
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL}
