@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tideline.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tideline.llm.line_dedup import OP3_SQL, op3_line_dedup
+from tideline.llm.near_duplicates import OP10_SQL, op10_jaccard_join
 from tideline.llm.nearest import op7_nearest
 from tideline.llm.packing import op6_packing
 from tideline.llm.secret_scan import op9_secret_scan
@@ -16,5 +17,6 @@ QUERIES = {
     "op7_nearest": op7_nearest,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
+    "op10_jaccard_join": op10_jaccard_join,
 }
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL}

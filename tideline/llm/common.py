@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: long documents then cost a worker tens of MB, not gigabytes.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 
 def tune(spark: SparkSession) -> None:
