@@ -48,12 +48,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of bytes other than ASCII white space, unchanged. Documents without such a window
     give no row, nor do texts that are null or shorter than a window, nor rows without an id. Rows
-    that repeat an id count as one document. buckets: number of hash buckets and of document
-    buckets; by default four for each shuffle partition.
+    that repeat an id count as one document. buckets: number of document buckets, by default one for
+    each shuffle partition; there are twice as many hash buckets.
     """
     spark = docs.sparkSession
     tune(spark)
-    n = buckets or 4 * shuffle_partitions(spark)
+    n = buckets or shuffle_partitions(spark)
     cols = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").where("doc_id is not null and text is not null")
 
     def shipped(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -61,7 +61,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = np.lexsort((start, doc))
         h, doc, start = h[order], doc[order], start[order]
         first, later = _settle(h, doc, start)
-        rows = [*_packed(doc[first], start[first], (h[first] % np.uint64(n)).astype(np.int64), h[first])]
+        rows = [*_packed(doc[first], start[first], (h[first] % np.uint64(2 * n)).astype(np.int64), h[first])]
         rows += [(-1 - k, blob) for k, blob in _packed(doc[later], start[later], (mix(doc[later].astype(np.uint64)) % np.uint64(n)).astype(np.int64))]
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["bucket", "blob"])
 
