@@ -38,17 +38,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Adds a constant join key, so that Spark shuffles an aggregated side anew for a join.
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join whose hot keys adaptive execution can split, even if right is an aggregate.
 
-    A join that reuses the aggregate's own partitioning can't be split by adaptive execution when
-    one key is hot; one with two plain exchanges can.
+    A join that reuses an aggregate's own partitioning can't be split; the constant key makes Spark
+    shuffle both sides for the join.
     """
-    return df.withColumn("_even", F.lit(0))
-
-
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join whose hot keys adaptive execution can split, even if right is an aggregate."""
     return left.withColumn("_even", F.lit(0)).join(right.withColumn("_even", F.lit(0)), [*keys, "_even"], how).drop("_even")
 
 
@@ -118,7 +113,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         if size * 2 > width:
             return mix(done[:n])
         part = part[: len(part) - size] * power + part[size:]
-        size, power = size * 2, power * power
+        size, power = size * 2, np.uint64(int(power) ** 2 % 2**64)
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:

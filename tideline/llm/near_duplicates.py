@@ -2,18 +2,19 @@
 
 Sets. Each text becomes its set of hashed word shingles. Equal sets collapse into one class, so
 copies cost one row. A count of all shingles in a table of fixed size gives one global order, rarest
-first; a set's prefix in that order (its size, less the least overlap, plus BOUND - 1) is what the
-candidate search needs: two sets that link share at least BOUND shingles of their prefixes. The
+first; a set's prefix in that order has its size, less the least overlap, plus a bound (a SHARE-th of
+the set). Two sets that link share at least the smaller of their bounds among their prefixes. The
 counts decide only the order, and so the speed: any order gives the same links.
 
-Groups. Classes that share prefix shingles with the same smallest class are compared with that class
-alone; the links found make groups of similar documents, without pairs inside a group.
+Groups. Each prefix shingle names the smallest class that has it. A class joins the class
+that most of its shingles name, and goes on with that one to its own; large groups are cut into chunks by a hash, so that none grows
+with the data.
 
 Matrix. (shingle, group) for the prefix shingles of all members is each group's token union. The
-overlap of a query set with a group's union bounds its overlap with any member, so a group is opened
-for a query only if it shares BOUND shingles; members of the query's own group need no comparison,
-as they are connected. Pairs from opened groups are verified on whole texts, and all links give the
-components.
+overlap of a query set with a union bounds its overlap with any member, so a group is opened for a
+query only if it shares the bound of its possible partners. An opened group's members are indexed
+once, queries stream past in blocks, and overlaps are counted on the sets of whole texts. Links
+between texts that are connected within a block already are left out, as they change no component.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import checkpoint, components, mix, skew_join, text_bytes, text_slices, tune, window_hashes, word_hashes
 
-#: Prefix shingles that linked sets must share.
-BOUND = 2
+#: Prefix shingles that linked sets must share: a SHARE-th of the smaller set, LEAST at least.
+SHARE, LEAST = 20, 2
 #: Counters of the shingle table (4 bytes each), in blocks.
 SLOTS, BLOCK = 1 << 20, 1 << 15
 SLICE = 4 << 20
+#: Members of a group's chunk, and queries that meet it in one block.
+CHUNK, QUERIES = 256, 1024
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,6 +57,10 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return owner[new], h[new]
 
 
+def _bound(n: str) -> str:
+    return f"greatest({LEAST}, ({n}) div {SHARE})"
+
+
 def _rarity(docs: DataFrame, width: int) -> np.ndarray:
     """How many texts have a shingle in each slot; summed by Spark block by block, a table of fixed size."""
 
@@ -90,7 +97,7 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for salt in (0x51ED270B, 0x2545F4914F6CDD1D):
                 run = np.append(np.uint64(0), np.cumsum(mix(h ^ np.uint64(salt)), dtype=np.uint64))
                 keys.append(pa.array((run[begin + n] - run[begin]).view(np.int64), mask=n == 0))
-            size = n - -(-percent * n // 100) + BOUND
+            size = n - -(-percent * n // 100) + np.maximum(n // SHARE, LEAST)
             size = np.where(n * (100 - percent) >= percent, np.minimum(size, n), 0)
             order = np.lexsort((h, count[(h & np.uint64(SLOTS - 1)).astype(np.int64)], owner))
             place = np.arange(len(h)) - begin[owner]
@@ -101,32 +108,51 @@ def _sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(made, "id long, n long, k1 long, k2 long, prefix array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets, made from whole texts, are similar enough."""
-    left, right = docs.selectExpr("id a", "text ta"), docs.selectExpr("id b", "text tb")
-    rows = skew_join(skew_join(pairs, left, ["a"]), right, ["b"])
+def _links(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) from rows (home, chunk, block, query, id, text) that hold each group's members, then its queries."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, texts, index, parent = None, [], [], None, {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = x = parent[parent[x]]
+            return x
 
-    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            first: dict[tuple[str, int], int] = {}
-            texts: list[pa.Scalar] = []
-            for ids, column in ((a, batch.column("ta")), (b, batch.column("tb"))):
-                for k, x in enumerate(ids):
-                    if x not in first:
-                        first[x] = len(texts)
-                        texts.append(column[k].as_py())
-            owner, h = shingle_sets(pa.array(texts, pa.string()), width)
-            cut = np.searchsorted(owner, np.arange(len(texts) + 1))
-            keep = []
-            for k, (x, y) in enumerate(zip(a, b, strict=True)):
-                p, q = (h[cut[first[i]] : cut[first[i] + 1]] for i in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    keep.append(k)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    return rows.select("a", "b", "ta", "tb").mapInArrow(checked, "a long, b long").distinct()
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("home", "chunk", "block")), strict=True))
+            asks, ids = batch.column("query").to_pylist(), batch.column("id").to_pylist()
+            text = batch.column("text")
+            asked = np.flatnonzero(asks)
+            owner, h = shingle_sets(text.take(pa.array(asked)), width)
+            cut = dict(zip(asked.tolist(), np.searchsorted(owner, np.arange(len(asked))).tolist(), strict=True))
+            end = dict(zip(asked.tolist(), np.searchsorted(owner, np.arange(len(asked)), "right").tolist(), strict=True))
+            found: list[tuple[int, int]] = []
+            for k, key in enumerate(keys):
+                if key != now:
+                    now, names, texts, index, parent = key, [], [], None, {}
+                if not asks[k]:
+                    names.append(ids[k])
+                    texts.append(text[k].as_py())
+                    continue
+                if index is None:
+                    mo, mh = shingle_sets(pa.array(texts, pa.string()), width)
+                    by = np.argsort(mh, kind="stable")
+                    index, sizes, texts = (mh[by], mo[by]), np.bincount(mo, minlength=len(names)), []
+                q = h[cut[k] : end[k]]
+                low, high = np.searchsorted(index[0], q), np.searchsorted(index[0], q, "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                both = np.bincount(index[1][at], minlength=len(names))
+                for m in np.flatnonzero(100 * both >= percent * (len(q) + sizes - both)).tolist():
+                    x, y = root(ids[k]), root(names[m])
+                    if x != y:
+                        parent[x] = y
+                        found.append((ids[k], names[m]))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+    keys = ["home", "chunk", "block"]
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "query").mapInArrow(opened, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -147,26 +173,25 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     tokens = prefixes.select("id", "n", F.explode("prefix").alias("token"))
     alike = f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)"
 
-    # Groups: each class against the smallest class that shares BOUND or more of its prefix shingles.
     shared = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").selectExpr("token", "hub.id hub", "hub.n hub_n")
     tokens = checkpoint(skew_join(tokens, shared, ["token"]))
-    stars = tokens.where(f"id <> hub and {alike}").groupBy("id", "hub").agg(F.count("*").alias("m")).where(f"m >= {BOUND}").selectExpr("id a", "hub b")
-    near = checkpoint(_verified(stars, texts, width, percent))
-    grouped = components(near)
-
-    # Matrix: shingles of more than one group; queries against the unions of groups with a larger label.
-    placed = skew_join(tokens.select("token", "id", "n"), grouped, ["id"], "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("token").agg(F.min("group").alias("g1"), F.max("group").alias("g2")).where("g1 < g2").select("token")
-    placed = checkpoint(skew_join(placed, mixed, ["token"]))
-    unions = placed.groupBy("token", F.col("group").alias("other")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    bounds = placed.join(unions, "token").where(f"group < other and {percent} * low <= 100 * n and 100 * high >= {percent} * n")
-    opened = bounds.groupBy("id", "other").agg(F.count("*").alias("m")).where(f"m >= {BOUND}").select("id", "other")
-    asked = placed.select("token", "id", "n").join(opened, "id").withColumnRenamed("other", "group")
-    members = placed.selectExpr("token", "group", "id b", "n hub_n")
-    pairs = asked.join(members, ["token", "group"]).where(alike).groupBy("id", "b").agg(F.count("*").alias("m")).where(f"m >= {BOUND}").selectExpr("id a", "b")
-    across = checkpoint(_verified(pairs, texts, width, percent))
-
-    linked = components(near.unionAll(across)) if not across.isEmpty() else grouped
+    stars = tokens.where(f"id <> hub and {alike}").groupBy("id", "hub").agg(F.count("*").alias("m"))
+    least = stars.groupBy("id").agg(F.max(F.struct("m", (-F.col("hub")).alias("hub"))).alias("best")).select("id", (-F.col("best.hub")).alias("home"))
+    homes = skew_join(tokens.select("id", "n").distinct(), least, ["id"], "left").select("id", "n", F.coalesce("home", "id").alias("home"))
+    homes = skew_join(homes, least.selectExpr("id home", "home next"), ["home"], "left").select("id", "n", F.coalesce("next", "home").alias("home"))
+    sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
+    groups = checkpoint(skew_join(homes, sizes, ["home"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK))))
+
+    placed = skew_join(tokens.select("token", "id"), groups, ["id"])
+    unions = placed.groupBy("token", F.col("home").alias("to"), F.col("chunk").alias("part")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    mine = "(home = to and chunk = part)"
+    bounds = skew_join(placed, unions, ["token"]).where(f"(home < to or home = to and chunk < part or {mine} and size > 1) and {percent} * low <= 100 * n and 100 * high >= {percent} * n")
+    asked = checkpoint(bounds.groupBy("id", "n", "to", "part").agg(F.count("*").alias("m")).where(f"m >= {_bound(f'{percent} * n div 100')}").selectExpr("id", "to home", "part chunk"))
+    blocks = asked.groupBy("home", "chunk").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    queries = skew_join(asked, blocks, ["home", "chunk"]).select("home", "chunk", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("query"), "id")
+    members = skew_join(groups, blocks, ["home", "chunk"]).select("home", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "id")
+    linked = components(_links(skew_join(queries.unionAll(members), texts, ["id"]), width, percent))
+
     classes = skew_join(sets, reps, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = skew_join(classes, linked.withColumnRenamed("id", "rep"), ["rep"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep"))
