@@ -41,10 +41,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join whose hot keys adaptive execution can split, even if right is an aggregate.
 
-    A join that reuses an aggregate's own partitioning can't be split; the constant key makes Spark
-    shuffle both sides for the join.
+    A join that reuses an aggregate's own partitioning can't be split; the key that is made of the
+    others has Spark shuffle both sides for the join.
     """
-    return left.withColumn("_even", F.lit(0)).join(right.withColumn("_even", F.lit(0)), [*keys, "_even"], how).drop("_even")
+    more = F.hash(*keys)
+    return left.withColumn("_even", more).join(right.withColumn("_even", more), [*keys, "_even"], how).drop("_even")
 
 
 # ---------------------------------------------------------------- words
