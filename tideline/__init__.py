@@ -1,0 +1 @@
+"""Panel time-series analytics on Spark: bars, features, diagnostics, chronological learning, forecasts."""
