@@ -44,7 +44,6 @@ class Pieces:
         self.score = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))}
         self.longest = max(map(len, self.score))
         self.pair = lru_cache(1 << 20)(self._pair)
-        self.word = lru_cache(1 << 16)(self._word)
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -69,11 +68,11 @@ class Pieces:
     def _pair(self, a: str, b: str) -> bool:
         return self.merges(a + b) == [a, b]
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a whole word, its leading spaces included."""
-        if len(word) <= 64:
-            return self.ids(self.merges(word))
-        return self.ids([word[i:j] for way in self.ways(word, (0, 0), len(word), True).values() for i, j in way])
+    def plain(self, text: str) -> list[int]:
+        """Ids of normalised text between two starts of words: the library's own, which puts the first space back."""
+        if text[0] == "▁" and self.normal(text[1:].replace("▁", " ")) == text:
+            return self.library.encode(text[1:].replace("▁", " "), num_threads=1)
+        return [i for w in re.findall("▁*[^▁]+|▁+", text) for way in self.ways(w, (0, 0), len(w), True).values() for i in self.ids([w[x:y] for x, y in way])]
 
     def at(self, text: str, begin: int, end: int) -> Iterator[str]:
         """Pieces of text from begin, none longer than to end; a character that is no piece is one."""
@@ -192,8 +191,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for t, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("body", "a", "b", "x", "y")), strict=True):
                 left, right = p.states(t, a), p.states(t, b)
                 if left == [(a, a)] and right == [(b, b)]:
-                    # Words don't touch, so each word between the two cuts stands for itself.
-                    out.append([i for w in re.findall("▁*[^▁]+|▁+", t[a:b]) for i in p.word(w)])
+                    out.append(p.plain(t[a:b]))
                 else:
                     way = p.ways(t, left[x], b, right == [(b, b)])[right[y]]
                     out.append(p.ids([t[i:j] for i, j in way]))
