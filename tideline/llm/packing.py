@@ -11,6 +11,8 @@ that runs again gives the same rows.
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -22,30 +24,68 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.llm.common import tune
 
 MAX_TOKENS, MAX_SEGMENTS, POOL, END = 2048, 128, 384, 1
-#: Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
+#: Distinct parts whose ids a task remembers.
+REMEMBERED = 1_000_000
+
+
+# After lower-casing, the letters of Basic Latin to Latin Extended-A; and texts in which these are all
+# the letters, no character changes by normalisation and lower case doesn't depend on the context.
+_LETTER, _BLANK = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f", " \t\n\r\x0b\x0c"
+_OTHER = re.compile("[^\x00-\x7f\u00a0-\u012f\u0131-\u017f]")
+_RUN = re.compile(f"[{_LETTER}]+")
+_PARTS = re.compile(f"[{_LETTER}]+|[^{_LETTER}{_BLANK}]+")
+_QUOTED = re.compile(f"[^{_BLANK}']*'[^{_BLANK}]*|[{_LETTER}]+|[^{_LETTER}{_BLANK}]+")
 
 
 class WordIds(dict):
-    """Ids of a text by its white-space separated words, each encoded once.
+    """Ids of a text by its parts, each encoded once while it is remembered.
 
-    Exact for tokenizers whose pre-tokenizer drops white space and never joins what it separates.
+    Exact for tokenizers that lower-case, drop white space, and never join letters with other
+    characters but in contractions. Parts are runs of letters or of other characters (whole words
+    where there is an apostrophe); a text with letters beyond Latin Extended-A is taken by words.
     """
 
+    loaded: dict[str, WordIds] = {}
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
+        self.tokenizer = Tokenizer.from_file(path)
+        # Byte-level models name the printable bytes by their own character, the others by 256 on.
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.byte = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        probes = ("a", "the", "straße", "éàœ", "zzyzxqj")
+        self.direct = all(self.letters(x) == self.whole(x) for x in probes)
+
+    @classmethod
+    def load(cls, path: str) -> WordIds:
+        """One for each worker process, so that its tasks share what it remembers."""
+        if path not in cls.loaded:
+            cls.loaded[path] = cls(path)
+        return cls.loaded[path]
+
+    def whole(self, part: str) -> list[int]:
+        return self.tokenizer.encode(part, add_special_tokens=False).ids
+
+    def letters(self, part: str) -> list[int]:
+        """Ids of a run of lower-case letters, which needs the model's merges alone."""
+        return [x.id for x in self.tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte))]
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, part: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        ids = self.letters(part) if self.direct and _RUN.fullmatch(part) else self.whole(part)
+        out = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return out
 
     def of(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
+        if _OTHER.search(text) or "<|" in text:
+            # The line feed, which is dropped, keeps these apart from runs of lower-case letters.
+            parts = ["\n" + x for x in text.replace("\n", " ").split(" ")]
+        else:
+            parts = (_QUOTED if "'" in text else _PARTS).findall(text.lower())
+        return b"".join(map(self.__getitem__, parts))
 
 
 class _Packer:
@@ -164,7 +204,7 @@ def pack_sequences(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]]
 
 
 def word_encoder(path: str) -> Callable[[], Callable[[str], bytes]]:
-    return lambda: WordIds(path).of
+    return lambda: WordIds.load(path).of
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
