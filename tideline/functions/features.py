@@ -11,15 +11,13 @@ from pyspark.sql import functions as F
 from tideline.functions.windows import alpha_of, diff, lag_, lead_, pct_change, rolling_max, rolling_mean, rolling_min, rolling_std, safe_div, series, with_ewm, zero_to_null
 from tideline.schema import FEATURE_COLUMNS, KEYS, ORDER
 
-O, H, L, C = (F.col(c) for c in ("open", "high", "low", "close"))
-
 
 def log_return(w: WindowSpec) -> Column:
-    return F.ln(safe_div(C, lag_(C, 1, w)))
+    return F.ln(safe_div(F.col("close"), lag_(F.col("close"), 1, w)))
 
 
 def sma(n: int, w: WindowSpec) -> Column:
-    return rolling_mean(C, n, w)
+    return rolling_mean(F.col("close"), n, w)
 
 
 def volatility(n: int, w: WindowSpec) -> Column:
@@ -28,7 +26,7 @@ def volatility(n: int, w: WindowSpec) -> Column:
 
 
 def bar_dynamics(guard: bool = True) -> Column:
-    return safe_div(H - L, zero_to_null(O) if guard else O)
+    return safe_div(F.col("high") - F.col("low"), zero_to_null(F.col("open")) if guard else F.col("open"))
 
 
 def lags(column: str, prefix: str, ks: Sequence[int], w: WindowSpec) -> dict[str, Column]:
@@ -42,40 +40,40 @@ def cyclic(part: str, period: int) -> tuple[Column, Column]:
 
 
 def true_range(w: WindowSpec) -> Column:
-    before = lag_(C, 1, w)
-    return F.greatest(H - L, F.abs(H - before), F.abs(L - before))
+    before = lag_(F.col("close"), 1, w)
+    return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def bb_width(n: int, k: float, w: WindowSpec) -> Column:
-    return safe_div(2 * k * rolling_std(C, n, w), rolling_mean(C, n, w))
+    return safe_div(2 * k * rolling_std(F.col("close"), n, w), rolling_mean(F.col("close"), n, w))
 
 
 def bb_pct_b(n: int, k: float, w: WindowSpec) -> Column:
-    mid, band = rolling_mean(C, n, w), k * rolling_std(C, n, w)
-    return safe_div(C - (mid - band), 2 * band)
+    mid, band = rolling_mean(F.col("close"), n, w), k * rolling_std(F.col("close"), n, w)
+    return safe_div(F.col("close") - (mid - band), 2 * band)
 
 
 def dist_sma(n: int, w: WindowSpec) -> Column:
-    return safe_div(C - sma(n, w), sma(n, w))
+    return safe_div(F.col("close") - sma(n, w), sma(n, w))
 
 
 def stochastic(n: int, w: WindowSpec) -> Column:
-    low = rolling_min(L, n, w)
-    return 100 * safe_div(C - low, rolling_max(H, n, w) - low)
+    low = rolling_min(F.col("low"), n, w)
+    return 100 * safe_div(F.col("close") - low, rolling_max(F.col("high"), n, w) - low)
 
 
 def williams_r(n: int, w: WindowSpec) -> Column:
-    high = rolling_max(H, n, w)
-    return -100 * safe_div(high - C, high - rolling_min(L, n, w))
+    high = rolling_max(F.col("high"), n, w)
+    return -100 * safe_div(high - F.col("close"), high - rolling_min(F.col("low"), n, w))
 
 
 def roc(n: int, w: WindowSpec) -> Column:
-    return 100 * pct_change(C, n, w)
+    return 100 * pct_change(F.col("close"), n, w)
 
 
 def target_return(w: WindowSpec) -> Column:
     """The next bar's return in percent."""
-    return safe_div(lead_(C, 1, w) - C, C) * 100
+    return safe_div(lead_(F.col("close"), 1, w) - F.col("close"), F.col("close")) * 100
 
 
 def target_direction(ret: Column) -> Column:
@@ -83,7 +81,7 @@ def target_direction(ret: Column) -> Column:
 
 
 def target_updown(w: WindowSpec, last_row: str = "drop") -> Column:
-    up = (lead_(C, 1, w) > C).cast("int")
+    up = (lead_(F.col("close"), 1, w) > F.col("close")).cast("int")
     return F.coalesce(up, F.lit(0)) if last_row == "zero" else up
 
 
@@ -96,7 +94,7 @@ def with_atr(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS, order: str
 
 
 def with_rsi(df: DataFrame, n: int = 14, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    move = diff(C, series(keys, order))
+    move = diff(F.col("close"), series(keys, order))
     out = df.withColumn("_up", F.when(move.isNotNull(), F.greatest(move, F.lit(0.0)))).withColumn("_down", F.when(move.isNotNull(), F.greatest(-move, F.lit(0.0))))
     a = alpha_of(com=n - 1)
     out = with_ewm(out, {"_gain": ("_up", a), "_loss": ("_down", a)}, keys, order)
