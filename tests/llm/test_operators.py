@@ -1,0 +1,207 @@
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import html_text, language_id, near_duplicates, nearest, packing, pieces, secret_scan
+from tideline.llm.exact_dedup import drop_exact, exact_groups
+from tideline.llm.line_dedup import covered_lines, drop_lines
+from tideline.llm.substring_dedup import cut_spans, repeated_spans
+
+WORDS = [f"w{i}" for i in range(400)]
+
+
+def words(r, n):
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    """Random texts with copies, near copies, a shared passage, empty, null and very long ones."""
+    r = random.Random(5)
+    rows = [(i, words(r, r.randint(1, 120))) for i in range(60)]
+    passage = words(r, 40)
+    for i in range(60, 90):
+        rows.append((i, f"{words(r, 15)} {passage}\n{words(r, 15)}"))
+    base = words(r, 100).split()
+    for i in range(90, 120):
+        copy = list(base)
+        for _ in range(i % 4):
+            copy[r.randrange(100)] = r.choice(WORDS)
+        rows.append((i, " ".join(copy)))
+    return [*rows, (120, rows[0][1]), (121, rows[0][1]), (122, ""), (123, None), (124, "One"), (125, "one"), (126, words(r, 9000)), (127, passage + " " + passage), (128, "  \t\n ")]
+
+
+def test_exact(frame, corpus):
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_groups(frame(*corpus)).collect()}
+    by = {}
+    for i, t in corpus:
+        by.setdefault(t or "", []).append(i)
+    assert got == {i: (max(v), len(v), i == max(v)) for v in by.values() for i in v}
+    assert drop_exact(frame(*corpus)).count() == len(by)
+    assert exact_groups(frame((None, "a"), (None, "a"), (1, "b"), (1, "b"))).where("kept").count() == 4
+    assert exact_groups(frame((1, "a")).limit(0)).isEmpty()
+
+
+def test_lines(frame):
+    docs = frame((1, "a\nb\nc\nd"), (2, "x\na\nb\nc\ny"), (3, None), (4, ""), (5, "q\nq\nq\nq"), (None, "a\nb\nc"))
+    got = {r.doc_id: (r.text, r.n_removed) for r in drop_lines(docs).collect()}
+    assert got == {1: ("a\nb\nc\nd", 0), 2: ("x\ny", 3), 3: (None, 0), 4: ("", 0), 5: ("q", 3), None: ("a\nb\nc", 0)}
+    assert covered_lines(docs.limit(0)).isEmpty()
+
+
+def test_substrings(frame, corpus):
+    docs = frame(*corpus, (None, "null id stays"))
+    seen, want = set(), {}
+    for i, t in sorted(corpus):
+        w = (t or "").split()
+        gone = set()
+        for k in range(len(w) - 19):
+            key = tuple(w[k : k + 20])
+            if key in seen:
+                gone |= set(range(k, k + 20))
+            seen.add(key)
+        want[i] = (" ".join(x for k, x in enumerate(w) if k not in gone), len(w), len(gone))
+    got = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in cut_spans(docs, repeated_spans(docs)).collect()}
+    assert got.pop(None)[2] == 0
+    assert got == want and any(v[2] for v in want.values())
+    assert repeated_spans(docs.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
+def test_jaccard_join(frame, corpus, width, percent):
+    sets = {}
+    for i, t in corpus:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[i] = {tuple(w[k : k + width]) for k in range(max(1, len(w) - width + 1))} if w else set()
+    label = {i: i for i in sets}
+
+    def root(x):
+        return x if label[x] == x else root(label[x])
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                label[y] = x
+    docs = frame(*corpus, (None, "one"))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates.jaccard_components(docs, width=width, percent=percent).collect()}
+    assert got.pop(None)[1] is None
+    assert got == {i: (len(sets[i]), root(i)) for i in ids}
+    assert near_duplicates.jaccard_components(docs.limit(0)).isEmpty()
+
+
+def test_packing(frame, corpus):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    model = path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(model)
+    odd = [(200, "It's DON'T İstanbul Σας <|endoftext|> á ŉ 12½ #x"), (201, "漢字 \U0001f600 Étude")]
+    rows = [*corpus, *odd]
+    out = packing.pack_sequences(frame(*rows), packing.word_encoder(model)).toPandas()
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 1]
+        part = out[out.doc_id == i].sort_values("start")
+        assert part.length.sum() == len(ids) and set(part.doc_tokens) == {len(ids)}
+        for p in part.itertuples():
+            assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        n = int(s.length.sum())
+        assert n <= 2048 and n & (n - 1) == 0 and len(s) <= packing.MAX_SEGMENTS
+        assert list(s.offset) == list(s.length.cumsum() - s.length)
+    tight = packing.pack_sequences(frame(*rows), packing.word_encoder(model), max_tokens=256, max_segments=3, max_loss=100).toPandas()
+    assert tight.groupby("sequence_id").length.agg(["sum", "size"]).max().tolist() <= [256, 3]
+    assert tight.length.sum() == out.length.sum()
+
+
+def test_nearest(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(900, 8)).round(1)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] * 8), (None, [1.0] * 8), (1004, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(df, df.where("vec_id % 20 = 0"), k=20, factor=1.0, shard_rows=200, block_queries=20)
+    got = {k: list(g.sort_values("rank").vec_id) for k, g in got.toPandas().groupby("query_id")}
+    for q in range(0, 900, 20):
+        s = x @ x[q]
+        want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:20]
+        assert set(np.round(s[want], 9)) == set(np.round(s[got[q]], 9)) and len(got[q]) == 20
+    assert nearest.nearest(df.limit(0), df.limit(0)).isEmpty()
+
+
+def test_secrets(frame):
+    key, secret = "AKIA" + "Q1W2" * 4, "wJalrXUtnFEMI0K7MDENG1bPxRfiCYEXAMPLEKEY"
+    texts = {1: f"id {key} then {secret} at https://db.example.com/x", 2: f"only {secret} here", 3: "token = short", 4: "PassWord: 'abcdefgh12' " + "a" * 40, 5: None, 6: "", 7: "password: token: abcdefgh12"}
+    got = {r.doc_id: [(s["kind"], s["start"], s["end"]) for s in r.spans] for r in secret_scan.credential_spans(frame(*texts.items())).collect()}
+    assert [s[0] for s in got[1]] == ["access", "weak_secret", "weak_endpoint"]
+    assert got[2] == got[3] == got[5] == got[6] == got[7] == []
+    assert got[4] == [("assign", 0, 21), ("hex", 23, 63)]
+    out = {r.doc_id: r.text for r in secret_scan.redact(frame(*texts.items(), (8, "\U0001f600 token=abcdefgh1 end"))).collect()}
+    assert out[8] == "\U0001f600 [SECRET] end" and out[2] == texts[2] and out[5] is None
+    assert secret_scan.credential_spans(frame((1, "a"), (1, "a"))).first().copies == 2
+
+
+def test_language(frame, spark):
+    r = random.Random(2)
+    en, fr = "the and of with this that from have".split(), "le la des est une pour avec été".split()
+    text = lambda v: " ".join(r.choice(v) for _ in range(40))
+    rows = [(i, text(en if i % 2 else fr)) for i in range(200)]
+    docs = frame(*rows).withColumn("lang", F.when(F.col("doc_id") % 2 == 1, "en").otherwise("fr"))
+    model = language_id.fit(docs.where("doc_id < 150"))
+    held = docs.unionByName(frame((300, None), (301, ""), (302, "12 %% 34")))
+    got = {x.doc_id: (x.language, x.kept) for x in language_id.identify(held, model).collect()}
+    assert all(got[i] == ("en" if i % 2 else "fr", True) for i in range(200))
+    assert got[300] == got[301] == got[302] == ("und", False)
+    assert language_id.identify(docs.limit(0), model).isEmpty()
+    assert language_id.identify(docs, language_id.fit(docs.limit(0))).where("kept").count() == 200
+
+
+def test_html(spark):
+    noise = '<nav><a href="/">home</a></nav><header>top</header><aside>side</aside><div class="cookie-notice">cookies</div><form>f</form><script>x="</p>"</script>'
+    plain = "<div class=wrap><div class=menu><a>m</a></div><div class=content><h1>Title {0}</h1><p>Some long text of page {0} that goes on and on.<p>Second  part<br>goes on &amp; on</div><div id=comments>bad</div></div>"
+    pages = [(1, "http://a.example.com/1", f"<html><body>{noise}<article><h1>T &eacute;</h1><p>One <b>two</b>\n three</p><div class='comments'><p>bad</p></div></article><footer>f</footer>")]
+    pages += [(k, f"http://b.example.com/{k}", f"<html><body>{noise}{plain.format(k)}</body></html>") for k in range(2, 8)] + [(9, None, None), (10, "x", ""), (11, "http://a.example.com/2", "just text")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_text(df).collect()}
+    assert got[1] == "T é\nOne two three" and got[9] == got[10] == "" and got[11] == "just text"
+    assert got[3] == "Title 3\nSome long text of page 3 that goes on and on.\nSecond part goes on & on"
+    assert "h1(#) p(#)+" in html_text.infer_wrappers(df).where("host = 'b.example.com'").first().wrapper
+    assert html_text.extract_text(df.limit(0)).isEmpty()
+
+
+def test_pieces(frame):
+    import sentencepiece
+    from public_tokenizers import path
+
+    model = path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    r = random.Random(4)
+    texts = [(i, "".join(r.choice(a) for _ in range(r.randint(0, 400)))) for i, a in enumerate(["abcdefgh ", "thenaiors", "01234567", "aé漢\U0001f600 b\n", "  a", "▁ x"] * 4)]
+    rows = [*texts, (100, None), (101, ""), (102, "ab" * 3000)]
+    enc = pieces.encode(frame(*rows), model, chunk=64)
+    got = {x.doc_id: list(x.ids) for x in enc.collect()}
+    assert got == {i: sp.encode(t or "") for i, t in rows}
+    back = {x.doc_id: x.text for x in pieces.decode(enc, model).collect()}
+    assert all(back[i] == sp.decode(sp.encode(t or "")) for i, t in rows)
+
+
+def test_pipeline(spark, tmp_path, corpus):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, t, "en", f"s{i % 3}", 0) for i, t in corpus] + [(300, "pw token=abcdefgh12 end of a text", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    path = str(tmp_path / "documents.parquet")
+    docs.write.parquet(path)
+    step, kept = spark.read.parquet(path), {}
+    for name, stage in corpus_pipeline.STAGES:
+        step = stage(spark, step, str(tmp_path))
+        kept[name] = {r.doc_id for r in step.select("doc_id").collect()}
+    assert {122, 123, 128}.isdisjoint(kept["language_id"]) and 124 in kept["language_id"]
+    assert 0 not in kept["exact_dedup"] and 121 in kept["exact_dedup"]
+    assert len(kept["near_duplicates"] & set(range(90, 120))) < 30
+    assert kept["secret_scan"] == kept["near_duplicates"] == kept["packing"]
+    assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == step.agg(F.sum("length")).first()[0]
+

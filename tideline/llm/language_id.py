@@ -131,34 +131,36 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     by_suffix = F.create_map(*[F.lit(x) for p in SUFFIX_LANGUAGE.items() for x in p])
     rows = docs.select(F.col(id_col).alias("id"), (declared if declared is not None else none).alias("declared"), F.element_at(by_suffix, suffix).alias("hint"), F.coalesce(host if host is not None else none, F.lit("")).alias("host"), F.col(text_col).alias("text"))
     scored = checkpoint(_scored(rows, model))
-    langs = F.array(*map(F.lit, names)) if names else F.array().cast("array<string>")
+    if not names:
+        return scored.select(F.col("id").alias(id_col), "host", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), (F.col("n_grams") > 0).alias("kept"))
+    langs = F.array(*map(F.lit, names))
 
     def told(evidence: Column, truth: float) -> Column:
         miss = float(np.log((1 - truth) / max(size - 1, 1)))
         known = F.array_contains(langs, evidence)
-        return F.when(known, F.transform(langs, lambda x: F.when(x == evidence, F.lit(float(np.log(truth)))).otherwise(F.lit(miss)))).otherwise(F.transform(langs, lambda x: F.lit(-float(np.log(max(size, 1))))))
+        return F.when(known, F.transform(langs, lambda x: F.when(x == evidence, F.lit(float(np.log(truth)))).otherwise(F.lit(miss)))).otherwise(F.transform(langs, lambda x: F.lit(-float(np.log(size)))))
 
-    own = F.slice("ll", 1, max(size, 1)) if size else F.array().cast("array<double>")
+    own = F.slice("ll", 1, size)
     votes = scored.withColumn("e", F.zip_with(F.zip_with(own, told(F.col("declared"), DECLARED), lambda a, b: a + b), told(F.col("hint"), SUFFIX), lambda a, b: a + b))
     votes = votes.withColumn("vote", F.when(F.col("n_grams") > 0, F.array_position("e", F.array_max("e"))))
     domain = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2)).otherwise(F.lit("*")).alias("domain")
     counts = [F.count_if(F.col("vote") == k + 1).cast("double").alias(f"c{k}") for k in range(size)]
     hosts = votes.groupBy("host").agg(*counts).withColumn("domain", domain)
     domains = hosts.groupBy("domain").agg(*[F.sum(f"c{k}").alias(f"d{k}") for k in range(size)])
-    whole = domains.agg(*[F.sum(f"d{k}").alias(f"w{k}") for k in range(size)]).first() if size else []
+    whole = domains.agg(*[F.sum(f"d{k}").alias(f"w{k}") for k in range(size)]).first()
     total = float(sum(x or 0 for x in whole))
     base = [((x or 0) + 1) / (total + size) for x in whole]
     add = lambda cols: sum((F.col(c) for c in cols), F.lit(0.0))
     up = [(F.col(f"d{k}") + PULL * base[k]) / (add(f"d{i}" for i in range(size)) + PULL) for k in range(size)]
     smooth = [F.ln((F.col(f"c{k}") + PULL * up[k]) / (add(f"c{i}" for i in range(size)) + PULL)) for k in range(size)]
-    priors = hosts.join(domains, "domain").select("host", F.array(*smooth).alias("prior") if size else own.alias("prior"))
+    priors = hosts.join(domains, "domain").select("host", F.array(*smooth).alias("prior"))
     fused = skew_join(votes, priors, ["host"], "left").withColumn("p", F.zip_with("e", "prior", lambda a, b: a + b))
-    lost = F.element_at("ll", -1) + F.lit(float(np.log(0.01)) - 2 * float(np.log(max(size, 1))))
+    lost = F.element_at("ll", -1) + F.lit(float(np.log(0.01)) - 2 * float(np.log(size)))
     top = F.array_max("p")
-    found = (F.col("n_grams") > 0) & (F.lit(size == 0) | (top >= lost))
-    mass = F.aggregate("p", F.exp(lost - top), lambda a, x: a + F.exp(x - top)) if size else F.lit(1.0)
-    language = F.when(found & F.lit(size > 0), F.element_at(langs, F.array_position("p", top).cast("int"))).otherwise(F.lit("und"))
-    return fused.select(F.col("id").alias(id_col), "host", language.alias("language"), F.when(found & F.lit(size > 0), 1 / mass).otherwise(F.lit(0.0)).alias("confidence"), F.coalesce(found, F.lit(False)).alias("kept"))
+    found = (F.col("n_grams") > 0) & (top >= lost)
+    mass = F.aggregate("p", F.exp(lost - top), lambda a, x: a + F.exp(x - top))
+    language = F.when(found, F.element_at(langs, F.array_position("p", top).cast("int"))).otherwise(F.lit("und"))
+    return fused.select(F.col("id").alias(id_col), "host", language.alias("language"), F.when(found, 1 / mass).otherwise(F.lit(0.0)).alias("confidence"), F.coalesce(found, F.lit(False)).alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

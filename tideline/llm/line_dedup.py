@@ -48,13 +48,13 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text stays null and counts as one empty line. Other columns stay as they are.
     """
-    covered = covered_lines(docs, id_col, text_col, window).withColumnRenamed(id_col, "_cid")
-    all_ = docs.join(covered, F.col(id_col) == F.col("_cid"), "left").withColumn("_map", F.map_from_arrays("covered", F.col("covered")))
+    covered = covered_lines(docs, id_col, text_col, window).select(F.col(id_col).alias("_cid"), F.col("covered").alias("_cov"))
+    all_ = docs.join(covered, F.col(id_col) == F.col("_cid"), "left").withColumn("_map", F.map_from_arrays("_cov", F.col("_cov")))
     lines = _lines(text_col)
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.map_contains_key("_map", i), F.lit(False))), "\n")
     return (
-        all_.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.greatest(F.size(F.coalesce("covered", F.array().cast("array<int>"))), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("covered").isNull(), F.col(text_col)).otherwise(kept)).drop("covered", "_cid", "_map")
+        all_.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.greatest(F.size(F.coalesce("_cov", F.array().cast("array<int>"))), F.lit(0)).cast("long"))
+        .withColumn(text_col, F.when(F.col("_cov").isNull(), F.col(text_col)).otherwise(kept)).drop("_cov", "_cid", "_map")
     )
 
 

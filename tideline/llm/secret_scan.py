@@ -108,7 +108,7 @@ def credential_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """docs with every reported span replaced by mask; all rows and columns stay, texts without one unchanged."""
-    spans = credential_spans(docs, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias("_sid"), F.col("h").alias("_h"), "spans")
+    spans = credential_spans(docs, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias("_sid"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
     both = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(text_col) == F.col("_h")), "left")
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
@@ -117,8 +117,8 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         fresh = F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), gap.cast("int")), F.lit(mask))
         return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    made = F.aggregate("spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(text_col))))
-    return both.withColumn(text_col, F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(made)).drop("_sid", "_h", "spans")
+    made = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(text_col))))
+    return both.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(made)).drop("_sid", "_h", "_spans")
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
