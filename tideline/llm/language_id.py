@@ -28,6 +28,9 @@ EFFECTIVE = 60.0
 DECLARED, SUFFIX = 0.9, 0.75
 #: Pseudo-counts that pull a host towards its domain, and a domain towards the whole table.
 PULL = 20.0
+#: Prior of "und", and by how much a trigram single bytes must explain a text better: a document with an
+#: identifier or a number in it is still in its language.
+UND, MARGIN = 1e-9, 1.5
 SLICE = 2 << 20
 
 #: Language by country-code suffix.
@@ -155,7 +158,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     smooth = [F.ln((F.col(f"c{k}") + PULL * up[k]) / (add(f"c{i}" for i in range(size)) + PULL)) for k in range(size)]
     priors = hosts.join(domains, "domain").select("host", F.array(*smooth).alias("prior"))
     fused = skew_join(votes, priors, ["host"], "left").withColumn("p", F.zip_with("e", "prior", lambda a, b: a + b))
-    lost = F.element_at("ll", -1) + F.lit(float(np.log(0.01)) - 2 * float(np.log(size)))
+    lost = F.element_at("ll", -1) + F.lit(float(np.log(UND)) - 2 * float(np.log(size))) - MARGIN * F.least(F.col("n_grams").cast("double"), F.lit(EFFECTIVE))
     top = F.array_max("p")
     found = (F.col("n_grams") > 0) & (top >= lost)
     mass = F.aggregate("p", F.exp(lost - top), lambda a, x: a + F.exp(x - top))
