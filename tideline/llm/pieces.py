@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import tune
+from tideline.llm.common import checkpoint, tune
 
 CHUNK = 32_768
 _LOADED: dict[str, "Pieces"] = {}
@@ -199,7 +199,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     giant = F.length("text") > chunk
     chunks = rows.where(giant).withColumn("row", F.monotonically_increasing_id()).mapInArrow(split, f"id {kind}, row long, k int, a int, b int, body string")
-    chunks = chunks.repartition("row", "k")
+    # Row numbers depend on how the input is dealt out; written once, they hold when a task runs again.
+    chunks = checkpoint(chunks.repartition("row", "k"))
     states = chunks.mapInArrow(measured, "row long, k int, m string").groupBy("row").applyInArrow(scanned, "row long, k int, x int, y int")
     parts = chunks.join(states, ["row", "k"]).mapInArrow(traced, "row long, k int, part array<int>")
     whole = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
