@@ -68,6 +68,9 @@ def test_substrings(frame, corpus):
     got = {r.doc_id: (r.text, r.n_words, r.n_removed) for r in cut_spans(docs, repeated_spans(docs)).collect()}
     assert got.pop(None)[2] == 0
     assert got == want and any(v[2] for v in want.values())
+    for buckets in (1, 30):
+        again = {r.doc_id: r.n_removed for r in cut_spans(docs, repeated_spans(docs, buckets=buckets)).where("doc_id is not null").collect()}
+        assert again == {i: v[2] for i, v in want.items()}
     assert repeated_spans(docs.limit(0)).isEmpty()
 
 

@@ -132,10 +132,12 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as compressed bytes; each but hashes (uint64) is stored as differences."""
+    """Columns of 64-bit numbers as bytes; each but hashes (uint64) is stored as differences, compressed where that is shorter."""
     out = [len(columns[0]).to_bytes(8, "little")]
     for c in columns:
-        raw = c.astype(np.uint64).tobytes() if c.dtype == np.uint64 else pa.compress(np.diff(c.astype(np.int64), prepend=0).tobytes(), "zstd", asbytes=True)
+        raw = c.tobytes() if c.dtype == np.uint64 else np.diff(c.astype(np.int64), prepend=0).tobytes()
+        if c.dtype != np.uint64:
+            raw = min(raw, pa.compress(raw, "zstd", asbytes=True), key=len)
         out += [len(raw).to_bytes(8, "little"), raw]
     return b"".join(out)
 
@@ -149,7 +151,8 @@ def unpack(blobs: list[bytes], hashed: int) -> list[np.ndarray]:
             size = int.from_bytes(blob[at : at + 8], "little")
             raw = blob[at + 8 : at + 8 + size]
             at += 8 + size
-            row.append(np.frombuffer(raw, np.uint64) if len(row) < hashed else np.cumsum(np.frombuffer(pa.decompress(raw, 8 * n, "zstd"), np.int64)))
+            plain = raw if size == 8 * n else pa.decompress(raw, 8 * n, "zstd")
+            row.append(np.frombuffer(plain, np.uint64) if len(row) < hashed else np.cumsum(np.frombuffer(plain, np.int64)))
         parts.append(row)
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 

@@ -16,12 +16,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tideline.llm.common import mix, pack, shuffle_partitions, text_bytes, text_slices, tune, unpack, window_hashes, word_hashes
 
 WINDOW = 20
 #: Windows that a task holds at once, and bytes of text that it looks at together.
 HOLD, SLICE = 1_500_000, 4 << 20
+#: Bytes of text for a document bucket, about; a hash bucket, half of that, holds about 10 million windows.
+BUCKET_BYTES = 96 << 20
 
 
 def _packed(doc: np.ndarray, start: np.ndarray, bucket: np.ndarray, hashes: np.ndarray | None = None) -> Iterator[tuple[int, bytes]]:
@@ -48,13 +51,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are runs of bytes other than ASCII white space, unchanged. Documents without such a window
     give no row, nor do texts that are null or shorter than a window, nor rows without an id. Rows
-    that repeat an id count as one document. buckets: number of document buckets, by default one for
-    each shuffle partition; there are twice as many hash buckets.
+    that repeat an id count as one document. buckets: number of document buckets; by default one for
+    each shuffle partition, or more where that makes them larger than BUCKET_BYTES, so that a
+    task's memory doesn't grow with the input. There are twice as many hash buckets.
     """
     spark = docs.sparkSession
     tune(spark)
-    n = buckets or shuffle_partitions(spark)
     cols = docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{text_col}` text").where("doc_id is not null and text is not null")
+    n = buckets or max(shuffle_partitions(spark), -(-(cols.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
 
     def shipped(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         h, doc, start = (np.concatenate(x) for x in zip(*held, strict=True))
