@@ -175,6 +175,19 @@ def test_html(spark):
     assert got[3] == "Title 3\nSome long text of page 3 that goes on and on.\nSecond part goes on & on"
     assert "h1(#) p(#)+" in html_text.infer_wrappers(df).where("host = 'b.example.com'").first().wrapper
     assert html_text.extract_text(df.limit(0)).isEmpty()
+    parts = [(k, "http://c.example.com/", f"<body><div class=top><a>x</a></div><div id=post-{k}><h2>Head {k}</h2>" + "".join(f"<div class=para>Part {i} of a text on {k}.</div>" for i in range(k % 5 + 2)) + "<section>x</section>" * (k % 2)) for k in range(100)]
+    parts = spark.createDataFrame(parts, "page_id long, url string, html string")
+    assert html_text.infer_wrappers(parts).first().root == "body/div.post-0"
+    assert {r.page_id: r.text for r in html_text.extract_text(parts).collect()}[5] == "Head 5\nPart 0 of a text on 5.\nPart 1 of a text on 5.\nx"
+    assert html_text.single_parts([["a", False, True, [["b", False, False, []]]], ["c", True, False, [["#", False, False, []]]]]) == {"c"}
+
+
+def test_html_rounds(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "FAN", 4)
+    tags = ["h2", "p", "ul", "table", "pre", "dl"]
+    pages = [(k, "http://d.example.com/", "<body>" + "".join(f"<{t}>{t}</{t}>" for i, t in enumerate(tags) if k >> i & 1)) for k in range(64)]
+    row = html_text.infer_wrappers(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert len(row) == 1 and row[0].wrapper.startswith("body(") and all(t in row[0].wrapper for t in tags)
 
 
 def test_pieces(frame):

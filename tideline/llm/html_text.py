@@ -2,13 +2,14 @@
 
 1. Every page becomes a token stream, and that a tree in which runs of equal siblings are folded into
    repeated groups. Only distinct folded trees of a host go on.
-2. The trees of a host are aligned one after the other, first within chunks and then across them:
-   matching tags are merged, what only some have becomes optional, what repeats becomes a repeated
+2. The trees of a host are aligned one after the other in chunks of bounded size, and the results
+   again, until one is left: matching tags are merged, what only some have becomes optional, what repeats becomes a repeated
    group, and texts become slots. The result is the host's wrapper, a regular expression without
    unions.
 3. Statistics of each text slot (pages, characters, characters in links), summed over all pages of
    the host, tell which part of the wrapper is the article: an article or main element where the
-   wrapper has one, else the smallest part that holds most of the unlinked text.
+   wrapper has one, else the smallest part outside its repeated groups that holds most of the
+   unlinked text.
 4. Each page is read by its host's wrapper: blocks of the article's slots, without the parts that
    are no article text by their tag, role or class.
 """
@@ -29,8 +30,8 @@ from tideline.llm.common import checkpoint, skew_join, tune
 
 #: Hosts up to which the (small) rows of decisions are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
-#: Distinct trees that one task aligns.
-CHUNKS = 16
+#: Distinct trees that are aligned at once, about: a host with more of them takes more rounds.
+FAN = 64
 
 # Names of HTML elements, and words in class, id and role that mark other than article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,7 +85,8 @@ def _noise(name: str, attrs: dict[str, str], inside: bool) -> bool:
 
 def _key(name: str, attrs: dict[str, str]) -> str:
     kind = (attrs.get("class") or attrs.get("id") or "").split()
-    return f"{name}.{kind[0]}" if kind else name
+    # Numbers tell pages apart, not parts of a page.
+    return f"{name}.{re.sub('[0-9]+', '0', kind[0])}" if kind else name
 
 
 def walk(page: str) -> Iterator[tuple[str, list[tuple[str, str, bool]], str]]:
@@ -184,8 +186,21 @@ def read_page(page: str) -> tuple[str, dict[str, list[int]]]:
     return json.dumps(fold(root[3])), slots
 
 
-def article_root(slots: dict[str, tuple[int, int]]) -> str:
-    """The path of the article: an outermost article or main element, else the deepest path with most unlinked text."""
+def single_parts(nodes: list, above: str = "") -> set[str]:
+    """The paths of a wrapper's elements that are in no repeated group."""
+    out: set[str] = set()
+    for key, _, repeated, children in nodes:
+        if key != "#" and not repeated:
+            path = f"{above}/{key}" if above else key
+            out |= {path} | single_parts(children, path)
+    return out
+
+
+def article_root(wrapper: list, slots: dict[str, tuple[int, int]]) -> str:
+    """The path of the article: an outermost article or main element, else the deepest path with most unlinked text.
+
+    A repeated group is a list of an article's parts, not the article.
+    """
     own: dict[str, int] = defaultdict(int)
     for path, (chars, linked) in slots.items():
         parts = path.split("/")
@@ -196,7 +211,8 @@ def article_root(slots: dict[str, tuple[int, int]]) -> str:
     if named:
         return min(named, key=lambda p: (p.count("/"), p))
     leaf = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "table", "tbody", "dl", "dd", "dt", "figure", "figcaption"}
-    good = [p for p in own if p and own[p] * 10 >= total * 8 and p.split("/")[-1].split(".")[0] not in leaf]
+    single = single_parts(wrapper)
+    good = [p for p in own if p in single and own[p] * 10 >= total * 8 and p.split("/")[-1].split(".")[0] not in leaf]
     return max(good, key=lambda p: (p.count("/"), p), default="")
 
 
@@ -275,18 +291,21 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     def aligned(table: pa.Table) -> pa.Table:
         return pa.table({"host": table.column("host")[:1], "tree": pa.array([one(table.column("tree").to_pylist())])})
 
-    def printed(table: pa.Table) -> pa.Table:
-        return pa.table({"host": table.column("host")[:1], "wrapper": pa.array([shown(json.loads(one(table.column("tree").to_pylist())))])})
-
-    def rooted(table: pa.Table) -> pa.Table:
-        slots = {p: (c, i) for p, c, i in zip(*(table.column(x).to_pylist() for x in ("path", "chars", "linked")), strict=True)}
-        return pa.table({"host": table.column("host")[:1], "root": pa.array([article_root(slots)])})
+    def rooted(trees: pa.Table, slots: pa.Table) -> pa.Table:
+        wrapper = json.loads(one(trees.column("tree").to_pylist()))
+        sums = {p: (c, i) for p, c, i in zip(*(slots.column(x).to_pylist() for x in ("path", "chars", "linked")), strict=True)}
+        return pa.table({"host": trees.column("host")[:1], "wrapper": pa.array([shown(wrapper)]), "root": pa.array([article_root(wrapper, sums)])})
 
     read = checkpoint(_readings(pages, url_col, html_col))
-    trees = read.select("host", "tree").distinct().withColumn("chunk", F.pmod(F.xxhash64("tree"), F.lit(CHUNKS)))
-    wrappers = trees.groupBy("host", "chunk").applyInArrow(aligned, "host string, tree string").groupBy("host").applyInArrow(printed, "host string, wrapper string")
+    trees = read.select("host", "tree").distinct()
+    while True:
+        sizes = trees.groupBy("host").agg(F.count("*").alias("n"))
+        if (sizes.agg(F.max("n")).first()[0] or 0) <= FAN:
+            break
+        chunk = F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") * 2 / FAN))
+        trees = checkpoint(skew_join(trees, sizes, ["host"]).withColumn("chunk", chunk).groupBy("host", "chunk").applyInArrow(aligned, "host string, tree string").distinct())
     slots = read.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"))
-    return wrappers.join(slots.groupBy("host").applyInArrow(rooted, "host string, root string"), "host", "left")
+    return trees.groupBy("host").cogroup(slots.groupBy("host")).applyInArrow(rooted, "host string, wrapper string, root string")
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
