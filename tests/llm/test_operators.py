@@ -182,6 +182,15 @@ def test_html(spark):
     assert html_text.single_parts([["a", False, True, [["b", False, False, []]]], ["c", True, False, [["#", False, False, []]]]]) == {"c"}
 
 
+def test_html_reads_by_the_wrapper_before_article_tags(spark):
+    body = "<body><div class=content><h1>Title {0}</h1><p>A long text of page {0} that goes on and on for a while.</p></div><article class=card><p>Teaser {0}</p></article></body>"
+    pages = [(k, "http://e.example.com/", body.format(k)) for k in range(6)]
+    pages += [(10, "http://e.example.com/", "<body><article><p>Other layout</p></article><p>rest</p></body>"), (11, "http://e.example.com/", "<body><p>No part</p></body>"), (12, "http://e.example.com/", "<body><div class=content></div><article class=card><p>Teaser</p></article></body>")]
+    got = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title 3\nA long text of page 3 that goes on and on for a while."
+    assert (got[10], got[11], got[12]) == ("Other layout", "No part", "")
+
+
 def test_html_rounds(spark, monkeypatch):
     monkeypatch.setattr(html_text, "FAN", 4)
     tags = ["h2", "p", "ul", "table", "pre", "dl"]

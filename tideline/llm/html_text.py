@@ -11,7 +11,8 @@
    wrapper has one, else the smallest part outside its repeated groups that holds most of the
    unlinked text.
 4. Each page is read by its host's wrapper: blocks of the article's slots, without the parts that
-   are no article text by their tag, role or class.
+   are no article text by their tag, role or class. A page without that part of the wrapper is read
+   by its own article and main elements.
 """
 
 from __future__ import annotations
@@ -219,11 +220,12 @@ def article_root(wrapper: list, slots: dict[str, tuple[int, int]]) -> str:
 def extract(page: str, root: str) -> str:
     """The article's blocks in page order, joined by \\n.
 
-    Article and main elements of the page come first; without any, the part at the path root counts;
-    without that either, the whole body.
+    The part at the path root counts, even if it holds no text. Only where the page lacks that part (or
+    the host has none) its article and main elements count, and without any the whole body.
     """
     keyed = root.split("/") if root else []
-    named, placed, rest = [[], []], [[], []], [[], []]
+    path, present, inside = [], False, False
+    placed, named, rest = [[], []], [[], []], [[], []]
 
     def flush(to: list) -> None:
         if text := " ".join(html.unescape("".join(to[1])).split()):
@@ -235,19 +237,26 @@ def extract(page: str, root: str) -> str:
             if stack and stack[-1][2]:
                 continue
             rest[1].append(value)
-            if keyed and [x[1] for x in stack if x[0] not in INLINE][: len(keyed)] == keyed:
+            if inside:
                 placed[1].append(value)
             if any(x[0] in ARTICLE for x in stack):
                 named[1].append(value)
         elif value == "br":
-            for to in (named, placed, rest):
+            for to in (placed, named, rest):
                 to[1].append(" ")
         elif value not in INLINE:
-            for to in (named, placed, rest):
+            for to in (placed, named, rest):
                 flush(to)
-    for to in (named, placed, rest):
+            if kind == "open":
+                path.append(stack[-1][1])
+                if path == keyed:
+                    present = inside = True
+            else:
+                path.pop()
+                inside = inside and len(path) >= len(keyed)
+    for to in (placed, named, rest):
         flush(to)
-    return "\n".join(named[0] or placed[0] or rest[0])
+    return "\n".join(placed[0] if present else named[0] or rest[0])
 
 
 def _host(url: str) -> Column:
