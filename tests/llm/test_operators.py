@@ -164,6 +164,23 @@ def test_language(frame, spark):
     assert language_id.identify(docs, language_id.fit(docs.limit(0))).where("kept").count() == 200
 
 
+def test_stages_drop_rows_not_ids(frame, spark):
+    clean, other = "the and of with this that from have", "have from that this with of and the the and"
+    left = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    for i in (None, 7):
+        docs = frame((i, clean), (i, ""), (i, None), (i, "12 %% 34"), (1, other))
+        assert left(language_id.keep_identified(docs)) == [(1, other), (i, clean)]
+        assert left(drop_exact(frame((i, clean), (i, other), (9, clean)))) == sorted([(9, clean), (i, other)], key=repr)
+    r = random.Random(6)
+    base, far, third = (words(r, 60) for _ in range(3))
+    near = base.rsplit(" ", 1)[0] + " w401"
+    docs = frame((3, base), (8, near), (8, far), (None, near), (None, third), (9, far + " w402"), (2, third), (8, third))
+    want = [(3, base), (8, far), (None, near), (None, third), (2, third)]
+    assert left(near_duplicates.drop_near(docs)) == sorted(want, key=repr)
+    same = docs.where("doc_id is null or doc_id <> 8 or text = '" + near + "'")
+    assert left(near_duplicates.drop_near(same)) == sorted([(3, base), (None, near), (None, third), (2, third), (9, far + " w402")], key=repr)
+
+
 def test_html(spark):
     noise = '<nav><a href="/">home</a></nav><header>top</header><aside>side</aside><div class="cookie-notice">cookies</div><form>f</form><script>x="</p>"</script>'
     plain = "<div class=wrap><div class=menu><a>m</a></div><div class=content><h1>Title {0}</h1><p>Some long text of page {0} that goes on and on.<p>Second  part<br>goes on &amp; on</div><div id=comments>bad</div></div>"

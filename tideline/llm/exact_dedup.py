@@ -73,9 +73,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text a row with a larger id has as well; all columns stay."""
-    dropped = exact_groups(docs, id_col, text_col).where("not kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """docs without the rows whose text a row with a larger id has as well; all columns stay.
+
+    A row is told by its id and a hash of its text, so other texts with its id stay.
+    """
+    rows = docs.withColumn("_h", F.xxhash64(text_col))
+    dropped = exact_groups(rows, id_col, text_col, carry=["_h"]).where("not kept").select(F.col(id_col).alias("_gone"), F.col("_h").alias("_gone_h")).distinct()
+    return rows.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti").drop("_h")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ without letters, are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -116,15 +116,15 @@ def _scored(rows: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(score, f"{kinds}, n_grams long, ll array<double>")
 
 
-def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, url: Column | None = None) -> DataFrame:
-    """(id, host, language, confidence, kept): one row per input row.
+def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text", declared: Column | None = None, host: Column | None = None, url: Column | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(id, carried columns, host, language, confidence, kept): one row per input row.
 
     declared: what the markup says (null: no evidence; a language the model doesn't know: none).
     host: the key of the prior, its parent domain is what follows the first dot; null is a host of
     its own. url: its country suffix is evidence. A null or empty text, or one without letters, is
     "und" and rejected; so is one that single bytes explain better than any language with the other
     evidence. Ties go to the first language by name. A model without languages keeps all texts that
-    have letters. Extra columns are ignored.
+    have letters. Extra columns are ignored unless carried.
     """
     tune(docs.sparkSession)
     names = model["languages"]
@@ -132,10 +132,10 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     none = F.lit(None).cast("string")
     suffix = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-z]+://[^/?#:]*\.([a-z]{2})(?:[/?#:]|$)", 1)) if url is not None else none
     by_suffix = F.create_map(*[F.lit(x) for p in SUFFIX_LANGUAGE.items() for x in p])
-    rows = docs.select(F.col(id_col).alias("id"), (declared if declared is not None else none).alias("declared"), F.element_at(by_suffix, suffix).alias("hint"), F.coalesce(host if host is not None else none, F.lit("")).alias("host"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), *carry, (declared if declared is not None else none).alias("declared"), F.element_at(by_suffix, suffix).alias("hint"), F.coalesce(host if host is not None else none, F.lit("")).alias("host"), F.col(text_col).alias("text"))
     scored = checkpoint(_scored(rows, model))
     if not names:
-        return scored.select(F.col("id").alias(id_col), "host", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), (F.col("n_grams") > 0).alias("kept"))
+        return scored.select(F.col("id").alias(id_col), *carry, "host", F.lit("und").alias("language"), F.lit(0.0).alias("confidence"), (F.col("n_grams") > 0).alias("kept"))
     langs = F.array(*map(F.lit, names))
 
     def told(evidence: Column, truth: float) -> Column:
@@ -163,14 +163,19 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     found = (F.col("n_grams") > 0) & (top >= lost)
     mass = F.aggregate("p", F.exp(lost - top), lambda a, x: a + F.exp(x - top))
     language = F.when(found, F.element_at(langs, F.array_position("p", top).cast("int"))).otherwise(F.lit("und"))
-    return fused.select(F.col("id").alias(id_col), "host", language.alias("language"), F.when(found, 1 / mass).otherwise(F.lit(0.0)).alias("confidence"), F.coalesce(found, F.lit(False)).alias("kept"))
+    return fused.select(F.col("id").alias(id_col), *carry, "host", language.alias("language"), F.when(found, 1 / mass).otherwise(F.lit(0.0)).alias("confidence"), F.coalesce(found, F.lit(False)).alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """documents without the rows that are rejected; all columns stay. lang is the declared language, source the host."""
-    out = identify(docs, fit(docs), declared=F.col("lang"), host=F.col("source"))
-    gone = out.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """documents without the rows that are rejected; all columns stay. lang is the declared language, source the host.
+
+    A row is told by its id and a hash of all that its verdict depends on, so other rows with its id stay.
+    """
+    given = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("")) for c in ("text", "lang", "source")]
+    rows = docs.withColumn("_h", F.xxhash64(*given))
+    out = identify(rows, fit(docs), declared=F.col("lang"), host=F.col("source"), carry=["_h"])
+    gone = out.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("_h").alias("_gone_h")).distinct()
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti").drop("_h")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

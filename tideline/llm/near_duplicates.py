@@ -199,9 +199,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows that link, directly or not, to one with a smaller id; all columns stay."""
-    gone = jaccard_components(docs, id_col, text_col, width, percent).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """docs without the rows that link, directly or not, to one with a smaller id; all columns stay.
+
+    A text links for itself, whatever other texts have its id; rows with a null id all stay. Where an
+    id has several texts, rows are told by a hash of id and text (ids themselves take less space).
+    """
+    named = F.col(id_col).isNotNull()
+    texts = docs.where(named).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.xxhash64(text_col)).alias("low"), F.max(F.xxhash64(text_col)).alias("high"))
+    if texts.where("low <> high").isEmpty():
+        gone = jaccard_components(docs, id_col, text_col, width, percent).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
+        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    rows = docs.withColumn("_row", F.when(named, F.xxhash64(id_col, text_col)))
+    parts = jaccard_components(rows, "_row", text_col, width, percent).where("_row is not null").select("_row", "component_id").distinct()
+    linked = checkpoint(skew_join(rows.where(named).select(F.col(id_col).alias("_id"), "_row").distinct(), parts, ["_row"]))
+    least = linked.groupBy("component_id").agg(F.min("_id").alias("least"))
+    gone = skew_join(linked, least, ["component_id"]).where("_id > least").select(F.col("_row").alias("_gone")).distinct()
+    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
