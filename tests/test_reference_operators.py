@@ -1,8 +1,10 @@
 import datetime as dt
 import math
 import os
+import random
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tideline.functions import features as fe
 from tideline.functions import windows as win
-from tideline.operators import align, forecast, protocol
+from tideline.operators import align, forecast, protocol, stats
 from tideline.plans.queries import QUERIES, SQL
 from tideline.plans.tables import bars_daily
 from tideline.sources import bars as src
@@ -130,3 +132,26 @@ def test_without_llm_the_rest_is_registered():
     import __spark_entry__
 
     assert "feature_contract" in __spark_entry__.queries() and "feature_contract" in __spark_entry__.oracle_sql()
+
+
+def test_adf_bounds_lags_by_the_length_of_the_series(spark):
+    r, xs = random.Random(3), []
+    for i in range(400):
+        xs.append(0.8 * (xs[i - 15] if i >= 15 else 0.0) + r.gauss(0, 1))
+    series = {"long": xs, "short": xs[:60]}
+    df = spark.createDataFrame([(s, i, v) for s, vs in series.items() for i, v in enumerate(vs)], "symbol string, ts int, x double")
+    got = {row.symbol: row for row in stats.adf(df, "x").collect()}
+
+    def ols(v, k, first):
+        d = np.diff(v)
+        a = np.array([[v[t], 1.0, *d[t - k : t][::-1]] for t in range(first, len(d))])
+        beta, rss = np.linalg.lstsq(a, d[first:], rcond=None)[:2]
+        n, m = a.shape
+        return beta[0] / math.sqrt(rss[0] / (n - m) * np.linalg.inv(a.T @ a)[0, 0]), n * math.log(rss[0] / n) + 2 * m
+
+    for name, vs in series.items():
+        v = np.array(vs)
+        most = math.ceil(12 * (len(v) / 100) ** 0.25)
+        k = min(range(most + 1), key=lambda q: ols(v, q, most)[1])
+        assert got[name].used_lag == k and abs(got[name].statistic - ols(v, k, k)[0]) < 1e-6 and got[name].n_obs == len(v) - 1 - k
+    assert got["long"].used_lag > 12

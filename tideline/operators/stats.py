@@ -110,29 +110,31 @@ def pacf(df: DataFrame, column: str, lags: int = 20, keys: Sequence[str] = KEYS,
 def adf(df: DataFrame, column: str, keys: Sequence[str] = KEYS, order: str = ORDER, max_lag: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant: (keys, statistic, used_lag, n_obs, p_value, critical_5, stationary).
 
-    Cross products of the design come from one distributed aggregate; every lag order is then solved
-    from them (least AIC), and the chosen one again on all its rows. max_lag: 12 at most unless given.
+    Lag orders up to 12 * (n / 100) ** (1 / 4), rounded up, and n // 2 - 2 are tried for a key of n rows
+    (max_lag: up to that one). Cross products of the design come from one distributed aggregate over
+    the rows that all orders share; an order's own rows are these and some of the key's first ones.
+    Every order is solved on the shared rows (least AIC), and the chosen one again on all its rows.
     """
-    p = 12 if max_lag is None else max_lag
+    rows = df.where(F.col(column).isNotNull())
+    n = F.col("_n")
+    most = F.greatest(F.least(F.ceil(12 * F.pow(n / 100, 0.25)), F.floor(n / 2) - 2), F.lit(0)).cast("int") if max_lag is None else F.lit(max_lag)
+    p = (rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max(most)).first()[0] or 0) if max_lag is None else max_lag
     w = series(keys, order)
-    x = df.where(F.col(column).isNotNull()).withColumn("_d0", F.col(column) - lag_(F.col(column), 1, w)).withColumn("_x", lag_(F.col(column), 1, w)).withColumn("_i", F.row_number().over(w))
+    x = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_p", most)
+    x = x.withColumn("_d0", F.col(column) - lag_(F.col(column), 1, w)).withColumn("_x", lag_(F.col(column), 1, w)).withColumn("_i", F.row_number().over(w))
     x = x.withColumns({f"_d{k}": lag_(F.col("_d0"), k, w) for k in range(1, p + 1)}).withColumn("_one", F.lit(1.0))
     names = ["_d0", "_x", "_one", *[f"_d{k}" for k in range(1, p + 1)]]
     pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    shared = F.col("_i") >= F.col("_p") + 2
+    first = F.array(F.col("_i").cast("double"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
+    grams = x.groupBy(*keys).agg(F.max("_p").alias("_p"), F.collect_list(F.when(~shared, first)).alias("_first"), F.array(*[F.coalesce(F.sum(F.when(shared, F.col(names[i]) * F.col(names[j]))).cast("double"), F.lit(0.0)) for i, j in pairs]).alias("_gram"))
 
-    def products(first: int, tag: str) -> list[Column]:
-        ok = F.col("_i") >= first
-        return [F.sum(F.when(ok, F.col(names[i]) * F.col(names[j]))).alias(f"{tag}_{i}_{j}") for i, j in pairs if max(i, j) - 2 <= int(tag)]
-
-    grams = x.groupBy(*keys).agg(*[c for k in range(p + 1) for c in products(k + 2, str(k))], *[F.sum(F.when(F.col("_i") >= p + 2, F.col(names[i]) * F.col(names[j]))).alias(f"all_{i}_{j}") for i, j in pairs])
-
-    def fit(row: pd.Series, tag: str, k: int) -> tuple[float, float, float]:
+    def fit(gram: np.ndarray, k: int) -> tuple[float, float, float]:
         use = [1, 2, *range(3, 3 + k)]
-        g = lambda i, j: float(row[f"{tag}_{min(i, j)}_{max(i, j)}"])
-        a, b = np.array([[g(i, j) for j in use] for i in use]), np.array([g(0, i) for i in use])
-        inv = np.linalg.pinv(a)
-        beta, n = inv @ b, g(2, 2)
-        rss = max(g(0, 0) - beta @ b, 1e-300)
+        inv = np.linalg.pinv(gram[np.ix_(use, use)])
+        b, n = gram[0, use], float(gram[2, 2])
+        beta = inv @ b
+        rss = max(gram[0, 0] - beta @ b, 1e-300)
         return beta[0] / math.sqrt(rss / (n - len(use)) * inv[0, 0]), n, n * math.log(rss / n) + 2 * len(use)
 
     # MacKinnon (1994, 2010), regression with a constant, one variable.
@@ -144,8 +146,11 @@ def adf(df: DataFrame, column: str, keys: Sequence[str] = KEYS, order: str = ORD
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        k = min(range(p + 1), key=lambda q: fit(row, "all", q)[2])
-        t, n, _ = fit(row, str(k), k)
+        gram = np.zeros((len(names), len(names)))
+        for (i, j), v in zip(pairs, row["_gram"], strict=True):
+            gram[i, j] = gram[j, i] = v
+        k = min(range(int(row["_p"]) + 1), key=lambda q: fit(gram, q)[2])
+        t, n, _ = fit(gram + sum(np.outer(v[1:], v[1:]) for v in row["_first"] if v[0] >= k + 2), k)
         critical = -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
         return pdf[list(keys)].assign(statistic=t, used_lag=k, n_obs=int(n), p_value=p_value(t), critical_5=critical, stationary=t < critical)
 
