@@ -148,6 +148,13 @@ def test_secrets(frame):
     assert secret_scan.credential_spans(frame((1, "a"), (1, "a"))).first().copies == 2
 
 
+def test_long_secrets_beside_an_identifier(frame):
+    key, long = "AKIA" + "Q1W2" * 4, "wJalrXUtnFEMI0K7" * 10 + "=="
+    got = {r.doc_id: [s["kind"] for s in r.spans] for r in secret_scan.credential_spans(frame((1, f"{key} {long}"), (2, long))).collect()}
+    assert got == {1: ["access", "weak_secret"], 2: []}
+    assert secret_scan.redact(frame((1, f"{key} {long} end"))).first().text == "[SECRET] [SECRET] end"
+
+
 def test_language(frame, spark):
     r = random.Random(2)
     en, fr = "the and of with this that from have".split(), "le la des est une pour avec été".split()

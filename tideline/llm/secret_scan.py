@@ -25,7 +25,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 WEAK_ID = re.compile(r"""\b(?:ASIA[A-Z0-9]{12,}|(?:client|access_?key|account|app)[_-]?id["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.-]{6,})""", re.I | re.A)
-WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,88}={0,2}(?![A-Za-z0-9+/=_-])")
+WEAK_SECRET = re.compile(r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])(?=[A-Za-z0-9+/]*[0-9])[A-Za-z0-9+/]{32,}={0,2}(?![A-Za-z0-9+/=_-])")
 WEAK_END = re.compile(r"""\b(?:https?|s3|ftp|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}""", re.I | re.A)
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "weak_endpoint")
 #: Which part of a credential a kind can be.
