@@ -2,6 +2,7 @@ import datetime as dt
 import math
 import os
 import random
+from unittest.mock import MagicMock
 
 import duckdb
 import numpy as np
@@ -155,3 +156,21 @@ def test_adf_bounds_lags_by_the_length_of_the_series(spark):
         k = min(range(most + 1), key=lambda q: ols(v, q, most)[1])
         assert got[name].used_lag == k and abs(got[name].statistic - ols(v, k, k)[0]) < 1e-6 and got[name].n_obs == len(v) - 1 - k
     assert got["long"].used_lag > 12
+
+
+def test_model_queries_do_the_reference_job(monkeypatch):
+    from tideline.plans import queries
+
+    df, seen = MagicMock(), {}
+    monkeypatch.setattr(queries, "_prepared", lambda spark, d: (df, ["a"]))
+    monkeypatch.setattr(queries.protocol, "expanding_folds", lambda df, k: seen.setdefault("folds", []).append(k) or df)
+    monkeypatch.setattr(queries.models, "grid_search", lambda folds, fit, grid: seen.update(grid=grid))
+    monkeypatch.setattr(queries.models, "compare_models", lambda folds, cols, zoo: seen.update(zoo=zoo))
+    monkeypatch.setattr(queries.metrics, "comparison_table", lambda x: x)
+    monkeypatch.setattr(queries.models, "fit_direction", lambda df, cols, **p: seen.update(direction=p))
+    monkeypatch.setattr(queries.models, "holdout", lambda df, model: None)
+    for name in ("grid_scores", "model_compare", "gbt_direction"):
+        QUERIES[name](None, "")
+    assert seen["folds"] == [5, 5] and seen["direction"]["trees"] == 200
+    assert seen["grid"] == {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}
+    assert min(z["trees"] for k, z in seen["zoo"].items() if k != "logistic") == 200

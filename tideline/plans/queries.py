@@ -435,49 +435,56 @@ def lag_pca(spark, d):
     return protocol.apply_lag_pca(df, protocol.fit_lag_pca(df.where("block = 'train'"), LAG_COLUMNS))
 
 
+#: The reference's parameters: its best boosters, grid, folds, compared models and forest.
+DIRECTION, HUBER = {"trees": 200, "depth": 5, "rate": 0.01}, {"trees": 100, "depth": 3, "rate": 0.01}
+GRID, FOLDS = {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}, 5
+ZOO = {"forest": {"kind": "forest", "trees": 200, "depth": 8}, "gbt": {"kind": "gbt", "trees": 200, "depth": 4, "rate": 0.05}, "gbt_subsample": {"kind": "gbt_subsample", "trees": 300, "depth": 4, "rate": 0.05}, "logistic": {"kind": "logistic"}}
+ABLATION, BASELINE = {"kind": "gbt", "trees": 200, "depth": 3, "rate": 0.05}, {"trees": 100, "depth": 6}
+
+
 @query()
 def gbt_direction(spark, d):
     df, cols = _prepared(spark, d)
-    return models.holdout(df.where("block = 'test'"), models.fit_direction(df.where("block = 'train'"), cols, trees=5))
+    return models.holdout(df.where("block = 'test'"), models.fit_direction(df.where("block = 'train'"), cols, **DIRECTION))
 
 
 @query()
 def gbt_importances(spark, d):
     df, cols = _prepared(spark, d)
-    return models.importances(models.fit_direction(df.where("block = 'train'"), cols, trees=5), cols)
+    return models.importances(models.fit_direction(df.where("block = 'train'"), cols, **DIRECTION), cols)
 
 
 @query()
 def huber_return(spark, d):
     df, cols = _prepared(spark, d)
-    return models.regression_scores(df.where("block = 'test'"), models.fit_huber_return(df.where("block = 'train'"), cols, trees=3))
+    return models.regression_scores(df.where("block = 'test'"), models.fit_huber_return(df.where("block = 'train'"), cols, **HUBER))
 
 
 @query()
 def model_compare(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where("block <> 'test'").drop("block"), 2).persist()
-    return metrics.comparison_table(models.compare_models(folds, cols, {"forest": {"kind": "forest", "trees": 5}, "logistic": {"kind": "logistic", "trees": 5}}))
+    folds = protocol.expanding_folds(df.where("block <> 'test'").drop("block"), FOLDS).persist()
+    return metrics.comparison_table(models.compare_models(folds, cols, ZOO))
 
 
 @query()
 def grid_scores(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where("block <> 'test'").drop("block"), 2)
-    return models.grid_search(folds, lambda train, **p: models.fit_direction(train, cols, kind="forest", **p), {"trees": [3, 5], "depth": [3]})
+    folds = protocol.expanding_folds(df.where("block <> 'test'").drop("block"), FOLDS)
+    return models.grid_search(folds, lambda train, **p: models.fit_direction(train, cols, **p), GRID)
 
 
 @query()
 def macro_ablation(spark, d):
     df, cols = _prepared(spark, d)
-    with_, without = models.ablate(df.where("block = 'train'"), df.where("block = 'test'"), cols, "yield_differential", kind="forest", trees=5)
+    with_, without = models.ablate(df.where("block = 'train'"), df.where("block = 'test'"), cols, "yield_differential", **ABLATION)
     return metrics.ablation_table(with_, without, ("accuracy", "roc_auc"))
 
 
 @query()
 def bias_variance(spark, d):
     df, cols = _prepared(spark, d)
-    return stats.bias_variance_verdict(models.bias_variance(df.where("block = 'train'"), df.where("block = 'val'"), cols, trees=5), "train", "val")
+    return stats.bias_variance_verdict(models.bias_variance(df.where("block = 'train'"), df.where("block = 'val'"), cols, **BASELINE), "train", "val")
 
 
 @query()
