@@ -1,4 +1,4 @@
-"""Shared helpers: checkpoints, vectorised words, window hashes, packed columns and components."""
+"""Shared helpers: checkpoints, sieves, vectorised words, window hashes, packed columns and components."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: long documents then cost a worker tens of MB, not gigabytes.
@@ -29,12 +29,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder named in spark.checkpoint.dir and go on from there.
 
-    Only where the session names no folder (tests on one machine) a temporary one is used.
+    Only a session on one machine (local master) that names no folder gets a temporary one: on a
+    cluster, executors could not read it.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -48,6 +52,58 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
     return left.withColumn("_even", more).join(right.withColumn("_even", more), [*keys, "_even"], how).drop("_even")
 
 
+# ---------------------------------------------------------------- sieves
+
+#: Buckets of 32,768 bits (4 KB each): a sieve has 8 MB in all, whatever the input.
+SIEVE_BUCKETS = 2048
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(key, F.lit(SIEVE_BUCKETS * 32768)).cast("long") + 1
+
+
+def sieve(keys: DataFrame, key: Column) -> DataFrame:
+    """Bit table of 64-bit keys, of fixed size and so fit for a broadcast. A full one lets everything through."""
+    slots = keys.select(_slot(key).alias("_slot"))
+    return F.broadcast(slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
+
+
+def sifted(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+    """df with a boolean column: whether the key's bit is set (false for a null key). df has no column named _slot, _bucket or _bits."""
+    at = F.bitmap_bit_position("_slot")
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    set_ = F.getbit(byte, (at % 8).cast("int")) == 1
+    rows = df.withColumn("_slot", _slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(bits, "_bucket", "left")
+    return rows.withColumn(name, F.coalesce(set_, F.lit(False))).drop("_slot", "_bucket", "_bits")
+
+
+def boxed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """Each row of docs as one struct `row`, and keys beside it: no name of docs can clash with a helper's."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
+def matched(rows: DataFrame, marks: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows that can't have a mark, and those that may: only the latter need a shuffle to meet the marks."""
+    open_ = sifted(rows, F.xxhash64(*keys), sieve(marks, F.xxhash64(*keys)), "_open")
+    return open_.where("not _open").drop("_open"), open_.where("_open").drop("_open")
+
+
+def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    """Equality of the keys of two DataFrames; null equals null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & left[k].eqNullSafe(right[k])
+    return out
+
+
+def without(docs: DataFrame, gone: DataFrame, **keys: Column) -> DataFrame:
+    """docs without the rows whose keys are in gone (columns of the keys' names); all columns stay."""
+    gone = checkpoint(gone.distinct())
+    rest, hit = matched(boxed(docs, **keys), gone, list(keys))
+    left = hit.join(gone, same(hit, gone, list(keys)), "left_anti")
+    return rest.select("row").unionAll(left.select("row")).select("row.*")
+
+
 # ---------------------------------------------------------------- words
 
 _SPACE = np.zeros(256, bool)
@@ -55,7 +111,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _FNV, _FNV_START = np.uint64(0x100000001B3), np.uint64(0xCBF29CE484222325)
-_RK = np.uint64(0x9E3779B97F4A7C15)
+_RK, RK_OTHER = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -100,12 +156,12 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
     return mix(h ^ size.astype(np.uint64)), text
 
 
-def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, width: int, base: np.uint64 = _RK) -> np.ndarray:
     """Rabin-Karp hash (modulo 2**64, then mixed) of every run of width words, by doubling."""
     n = len(words) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    done, have, part, size, power = np.zeros(len(words), np.uint64), 0, words, 1, _RK
+    done, have, part, size, power = np.zeros(len(words), np.uint64), 0, words, 1, base
     while True:
         if width & size:
             # done covers the first `have` words of each window; part covers the next `size`.
@@ -132,18 +188,19 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[
 
 
 def pack(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit numbers as bytes; each but hashes (uint64) is stored as differences, compressed where that is shorter."""
+    """Columns as bytes; each but hashes (unsigned) is stored as 64-bit differences, compressed where that is shorter."""
     out = [len(columns[0]).to_bytes(8, "little")]
     for c in columns:
-        raw = c.tobytes() if c.dtype == np.uint64 else np.diff(c.astype(np.int64), prepend=0).tobytes()
-        if c.dtype != np.uint64:
+        hashed = c.dtype.kind == "u"
+        raw = c.tobytes() if hashed else np.diff(c.astype(np.int64), prepend=0).tobytes()
+        if not hashed:
             raw = min(raw, pa.compress(raw, "zstd", asbytes=True), key=len)
         out += [len(raw).to_bytes(8, "little"), raw]
     return b"".join(out)
 
 
-def unpack(blobs: list[bytes], hashed: int) -> list[np.ndarray]:
-    """The columns of packed bytes, one after the other; the first `hashed` ones are uint64."""
+def unpack(blobs: list[bytes], hashed: tuple[type, ...] = ()) -> list[np.ndarray]:
+    """The columns of packed bytes, one after the other; the first ones are hashes of the given types."""
     parts: list[list[np.ndarray]] = []
     for blob in blobs:
         n, at, row = int.from_bytes(blob[:8], "little"), 8, []
@@ -151,8 +208,10 @@ def unpack(blobs: list[bytes], hashed: int) -> list[np.ndarray]:
             size = int.from_bytes(blob[at : at + 8], "little")
             raw = blob[at + 8 : at + 8 + size]
             at += 8 + size
-            plain = raw if size == 8 * n else pa.decompress(raw, 8 * n, "zstd")
-            row.append(np.frombuffer(plain, np.uint64) if len(row) < hashed else np.cumsum(np.frombuffer(plain, np.int64)))
+            if len(row) < len(hashed):
+                row.append(np.frombuffer(raw, hashed[len(row)]))
+            else:
+                row.append(np.cumsum(np.frombuffer(raw if size == 8 * n else pa.decompress(raw, 8 * n, "zstd"), np.int64)))
         parts.append(row)
     return [np.concatenate(x) for x in zip(*parts, strict=True)]
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import skew_join
+from tideline.llm.common import boxed, checkpoint, matched, same, skew_join
 
 WINDOW = 3
 
@@ -20,13 +20,14 @@ def _lines(text_col: str) -> Column:
 
 
 def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """(id, covered): for each document with a later copy of a window, the sorted 0-based lines it covers.
+    """(id, h, covered): for each document with a later copy of a window, the sorted 0-based lines it covers.
 
     Lines are split at \\n and compared as they are. A text with fewer lines than a window has none.
-    Rows without an id take no part. Rows that repeat an id are one document.
+    Rows without an id take no part. A document is an id and a text (h is the text's hash): other
+    texts of its id are other documents, and rows that repeat both are one.
     """
-    h = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), _lines(text_col).alias("_l")).where(F.size("_l") >= window)
-    h = h.select("_id", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("_l"))
+    h = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), _lines(text_col).alias("_l")).where(F.size("_l") >= window)
+    h = h.select("_id", "_h", F.transform("_l", lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(7), x).alias("b"))).alias("_l"))
     spans = F.transform(
         F.sequence(F.lit(0), F.size("_l") - window),
         lambda i: F.struct(
@@ -35,26 +36,33 @@ def covered_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             F.xxhash64(*[F.get("_l", i + k)["b"] for k in range(window)]).alias("b"),
         ),
     )
-    wins = h.select("_id", F.explode(spans).alias("w")).select("_id", "w.pos", "w.a", "w.b")
-    firsts = wins.groupBy("a", "b").agg(F.min(F.struct("_id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", F.col("first._id").alias("_fid"), F.col("first.pos").alias("_fpos"))
-    later = skew_join(wins, firsts, ["a", "b"]).where("_id <> _fid or pos <> _fpos")
-    cover = later.groupBy("_id").agg(F.collect_set("pos").alias("p"))
+    wins = h.select("_id", "_h", F.explode(spans).alias("w")).select("_id", "_h", "w.pos", "w.a", "w.b")
+    firsts = wins.groupBy("a", "b").agg(F.min(F.struct("_id", "_h", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("a", "b", "first")
+    later = skew_join(wins, firsts, ["a", "b"]).where(F.struct("_id", "_h", "pos") != F.col("first"))
+    cover = later.groupBy("_id", "_h").agg(F.collect_set("pos").alias("p"))
     every = F.flatten(F.transform("p", lambda x: F.sequence(x, x + window - 1)))
-    return cover.select(F.col("_id").alias(id_col), F.array_sort(F.array_distinct(every)).alias("covered"))
+    return cover.select(F.col("_id").alias(id_col), F.col("_h").alias("h"), F.array_sort(F.array_distinct(every)).alias("covered"))
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs with the covered lines removed from the text, and the columns n_lines and n_removed.
+    """docs with the covered lines removed from the text, and the columns n_lines and n_removed (in place of ones of that name).
 
-    A null text stays null and counts as one empty line. Other columns stay as they are.
+    A null text stays null and counts as one empty line. Other columns stay as they are. Texts
+    without a covered line pass by without a shuffle.
     """
-    covered = covered_lines(docs, id_col, text_col, window).select(F.col(id_col).alias("_cid"), F.col("covered").alias("_cov"))
-    all_ = docs.join(covered, F.col(id_col) == F.col("_cid"), "left").withColumn("_map", F.map_from_arrays("_cov", F.col("_cov")))
-    lines = _lines(text_col)
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.map_contains_key("_map", i), F.lit(False))), "\n")
-    return (
-        all_.withColumn("n_lines", F.size(lines).cast("long")).withColumn("n_removed", F.greatest(F.size(F.coalesce("_cov", F.array().cast("array<int>"))), F.lit(0)).cast("long"))
-        .withColumn(text_col, F.when(F.col("_cov").isNull(), F.col(text_col)).otherwise(kept)).drop("_cov", "_cid", "_map")
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    covered = checkpoint(covered_lines(narrow, "id", "text", window))
+    rest, hit = matched(boxed(docs, id=F.col(id_col), h=F.xxhash64(text_col)), covered, ["id", "h"])
+    hit = hit.join(covered, same(hit, covered, ["id", "h"]), "left").select("row", "covered")
+    both = rest.select("row", F.lit(None).cast("array<int>").alias("covered")).unionAll(hit)
+    both = both.withColumn("cover", F.map_from_arrays("covered", F.col("covered")))
+    text = F.col("row")[text_col]
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.map_contains_key("cover", i), F.lit(False))), "\n")
+    made = F.when(F.col("covered").isNull(), text).otherwise(kept).alias(text_col)
+    return both.select(
+        *[made if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],
+        F.size(lines).cast("long").alias("n_lines"), F.coalesce(F.array_size("covered"), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 
