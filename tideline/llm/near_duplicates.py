@@ -6,15 +6,21 @@ first; a set's prefix in that order has its size, less the least overlap, plus a
 the set). Two sets that link share at least the smaller of their bounds among their prefixes. The
 counts decide only the order, and so the speed: any order gives the same links.
 
-Groups. Each prefix shingle names the smallest class that has it. A class joins the class
-that most of its shingles name, and goes on with that one to its own; large groups are cut into chunks by a hash, so that none grows
-with the data.
-
-Matrix. (shingle, group) for the prefix shingles of all members is each group's token union. The
-overlap of a query set with a union bounds its overlap with any member, so a group is opened for a
-query only if it shares the bound of its possible partners. An opened group's members are indexed
-once, queries stream past in blocks, and overlaps are counted on the sets of whole texts. Links
-between texts that are connected within a block already are left out, as they change no component.
+Representatives. Each prefix shingle names the smallest class that has it, and a class has the one that
+most of its shingles name for its representative. The two are compared at once. What links with the
+same representative is one core: its members need not be compared with each other any more, so a
+large family of near copies costs a row a member.
+
+Groups. A core is a group; classes that don't link with their representative are a group with it, and
+with the one that it has in turn. Large groups are cut into chunks by a hash, so that none grows with
+the data.
+
+Matrix. (shingle, group) for the prefix shingles of all members is each group's token union (of
+prefixes, not of whole sets: the bound above is on what prefixes share). The overlap of a query set
+with a union bounds its overlap with any member, so a group is opened for a query only if it shares
+the bound of its possible partners. An opened group's members are indexed once, queries stream past
+in blocks, and overlaps are counted on the sets of whole texts. Links between texts that are
+connected within a block already are left out, as they change no component.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpoint, components, mix, skew_join, text_bytes, text_slices, tune, window_hashes, word_hashes
+from tideline.llm.common import checkpoint, components, mix, skew_join, text_bytes, text_slices, tune, window_hashes, without, word_hashes
 
 #: Prefix shingles that linked sets must share: a SHARE-th of the smaller set, LEAST at least.
 SHARE, LEAST = 20, 2
@@ -155,6 +161,15 @@ def _links(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "query").mapInArrow(opened, "a long, b long").distinct()
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) among pairs (id, home) of a class and its representative, which is shipped once for each QUERIES of its classes."""
+    sizes = pairs.groupBy("home").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    queries = skew_join(pairs, sizes, ["home"]).select("home", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("query"), "id")
+    members = sizes.select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), F.col("home").alias("id"))
+    rows = queries.unionAll(members).withColumn("chunk", F.lit(0).cast("long"))
+    return _links(skew_join(rows, texts, ["id"]), width, percent)
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n_shingles, component_id): one row per input row.
 
@@ -176,21 +191,29 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").selectExpr("token", "hub.id hub", "hub.n hub_n")
     tokens = checkpoint(skew_join(tokens, shared, ["token"]))
     stars = tokens.where(f"id <> hub and {alike}").groupBy("id", "hub").agg(F.count("*").alias("m"))
-    least = stars.groupBy("id").agg(F.max(F.struct("m", (-F.col("hub")).alias("hub"))).alias("best")).select("id", (-F.col("best.hub")).alias("home"))
-    homes = skew_join(tokens.select("id", "n").distinct(), least, ["id"], "left").select("id", "n", F.coalesce("home", "id").alias("home"))
-    homes = skew_join(homes, least.selectExpr("id home", "home next"), ["home"], "left").select("id", "n", F.coalesce("next", "home").alias("home"))
-    sizes = homes.groupBy("home").agg(F.count("*").alias("size"))
-    groups = checkpoint(skew_join(homes, sizes, ["home"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK))))
-
+    least = checkpoint(stars.groupBy("id").agg(F.max(F.struct("m", (-F.col("hub")).alias("hub"))).alias("best")).select("id", (-F.col("best.hub")).alias("home")))
+
+    near = checkpoint(_verified(least, texts, width, percent))
+    core = near.select(F.col("a").alias("id"), F.col("b").alias("core"))
+    heads = core.select("core").distinct().selectExpr("core id", "core head")
+    homes = skew_join(tokens.select("id", "n").distinct(), least, ["id"], "left")
+    homes = skew_join(homes, core, ["id"], "left")
+    homes = skew_join(homes, heads, ["id"], "left")
+    homes = skew_join(homes, least.selectExpr("id home", "home next"), ["home"], "left")
+    homes = homes.selectExpr("id", "n", "coalesce(core, head) is not null as linked", "coalesce(core, head, next, home, id) as home")
+    sizes = homes.groupBy("home", "linked").agg(F.count("*").alias("size"))
+    groups = checkpoint(skew_join(homes, sizes, ["home", "linked"]).withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK)) * 2 + F.col("linked").cast("int")).drop("linked"))
+
+    # A core's chunks have odd numbers. Each of two groups is opened by the lower one's members.
     placed = skew_join(tokens.select("token", "id"), groups, ["id"])
     unions = placed.groupBy("token", F.col("home").alias("to"), F.col("chunk").alias("part")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    mine = "(home = to and chunk = part)"
-    bounds = skew_join(placed, unions, ["token"]).where(f"(home < to or home = to and chunk < part or {mine} and size > 1) and {percent} * low <= 100 * n and 100 * high >= {percent} * n")
+    mine = "(home = to and (chunk % 2 = 0 and (part % 2 = 1 or chunk < part or chunk = part and size > 1)))"
+    bounds = skew_join(placed, unions, ["token"]).where(f"(home < to or {mine}) and {percent} * low <= 100 * n and 100 * high >= {percent} * n")
     asked = checkpoint(bounds.groupBy("id", "n", "to", "part").agg(F.count("*").alias("m")).where(f"m >= {_bound(f'{percent} * n div 100')}").selectExpr("id", "to home", "part chunk"))
     blocks = asked.groupBy("home", "chunk").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
     queries = skew_join(asked, blocks, ["home", "chunk"]).select("home", "chunk", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("query"), "id")
     members = skew_join(groups, blocks, ["home", "chunk"]).select("home", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "id")
-    linked = components(_links(skew_join(queries.unionAll(members), texts, ["id"]), width, percent))
+    linked = components(near.unionAll(_links(skew_join(queries.unionAll(members), texts, ["id"]), width, percent)))
 
     classes = skew_join(sets, reps, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = skew_join(classes, linked.withColumnRenamed("id", "rep"), ["rep"], "left")
@@ -201,20 +224,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that link, directly or not, to one with a smaller id; all columns stay.
 
-    A text links for itself, whatever other texts have its id; rows with a null id all stay. Where an
-    id has several texts, rows are told by a hash of id and text (ids themselves take less space).
+    A text links for itself, whatever other texts have its id; rows with a null id all stay, and so
+    do texts that are null or have no words. Where an id has several texts, rows are told by a hash
+    of id and text (ids themselves take less space). An empty table stays empty.
     """
-    named = F.col(id_col).isNotNull()
-    texts = docs.where(named).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.xxhash64(text_col)).alias("low"), F.max(F.xxhash64(text_col)).alias("high"))
-    if texts.where("low <> high").isEmpty():
-        gone = jaccard_components(docs, id_col, text_col, width, percent).where(f"`{id_col}` <> component_id").select(F.col(id_col).alias("_gone")).distinct()
-        return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    rows = docs.withColumn("_row", F.when(named, F.xxhash64(id_col, text_col)))
-    parts = jaccard_components(rows, "_row", text_col, width, percent).where("_row is not null").select("_row", "component_id").distinct()
-    linked = checkpoint(skew_join(rows.where(named).select(F.col(id_col).alias("_id"), "_row").distinct(), parts, ["_row"]))
-    least = linked.groupBy("component_id").agg(F.min("_id").alias("least"))
-    gone = skew_join(linked, least, ["component_id"]).where("_id > least").select(F.col("_row").alias("_gone")).distinct()
-    return rows.join(gone, F.col("_row") == F.col("_gone"), "left_anti").drop("_row")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    named = rows.where("id is not null").withColumn("row", F.xxhash64("id", "text"))
+    if named.groupBy("id").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low <> high").isEmpty():
+        gone = jaccard_components(rows, "id", "text", width, percent).where("id <> component_id").select("id")
+        return without(docs, gone, id=F.col(id_col).cast("long"))
+    parts = jaccard_components(named, "row", "text", width, percent).select("row", "component_id").distinct()
+    linked = checkpoint(skew_join(named.select("id", "row").distinct(), parts, ["row"]))
+    least = linked.groupBy("component_id").agg(F.min("id").alias("least"))
+    gone = skew_join(linked, least, ["component_id"]).where("id > least").select("id", "row")
+    key = F.col(id_col).cast("long")
+    return without(docs, gone.withColumnRenamed("row", "h"), id=key, h=F.xxhash64(key, F.col(text_col)))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
