@@ -122,18 +122,44 @@ def test_packing(frame, corpus):
     assert tight.length.sum() == out.length.sum()
 
 
+def _brute(x, q, k, n=None):
+    """Ids, nearest first, ties to the smaller id, by one product and sum a pair."""
+    s = [float((x[i] * x[q]).sum()) for i in range(n or len(x))]
+    return sorted((i for i in range(n or len(x)) if i != q), key=lambda i: (-s[i], i))[:k], s
+
+
 def test_nearest(spark):
     r = np.random.default_rng(1)
-    x = r.normal(size=(900, 8)).round(1)
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] * 8), (None, [1.0] * 8), (1004, [1.0, 2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = nearest.nearest(df, df.where("vec_id % 20 = 0"), k=20, factor=1.0, shard_rows=200, block_queries=20)
-    got = {k: list(g.sort_values("rank").vec_id) for k, g in got.toPandas().groupby("query_id")}
+    x = r.integers(-8, 9, size=(900, 8)) / 8.0
+    x[0::7] = x[3]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 8), (1002, [float("nan")] * 8), (1003, [None] * 8), (None, [1.0] * 8), (1004, [1.0, 2.0]), (1005, []), (1020, [2.0, 0.0]), (5, [-9.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as v", "3 as dim", "4 as cell", "5 as near")
+    got = nearest.nearest(df, df.where("vec_id % 20 = 0"), k=20, factor=1.0, shard_rows=100, block_queries=20).toPandas()
+    by = {k: g.sort_values("rank") for k, g in got.groupby("query_id")}
+    assert set(by) == {*range(0, 900, 20), 1020}
+    assert list(by[1020].vec_id) == [1004] and list(by[1020].score) == [2.0]
     for q in range(0, 900, 20):
-        s = x @ x[q]
-        want = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:20]
-        assert set(np.round(s[want], 9)) == set(np.round(s[got[q]], 9)) and len(got[q]) == 20
-    assert nearest.nearest(df.limit(0), df.limit(0)).isEmpty()
+        want, s = _brute(x, q, 20)
+        # Sums of these numbers are exact, so ids, ties and scores must be equal.
+        assert list(by[q].vec_id) == want and list(by[q].score) == [s[i] for i in want] and list(by[q]["rank"]) == list(range(1, 21))
+    few = nearest.nearest(df.where("vec_id < 3"), df.where("vec_id = 1"), k=20)
+    assert {t.vec_id for t in few.collect()} == {0, 2}
+    assert nearest.nearest(df.limit(0), df.limit(0)).isEmpty() and nearest.nearest(df, df.limit(0)).isEmpty() and nearest.nearest(df.limit(0), df).isEmpty()
+
+
+def test_nearest_prunes_and_finds_over_many_shards(spark):
+    r = np.random.default_rng(2)
+    middle = r.normal(size=(40, 16))
+    x = middle[r.integers(0, 40, 4000)] + 0.1 * r.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 100 = 0")
+    truth = {q: set(np.argsort(-np.where(np.arange(4000) == q, -9, x @ x[q]), kind="stable")[:20].tolist()) for q in range(0, 4000, 100)}
+    for factor, least, most in ((1.0, 1.0, 0.35), (1.15, 0.95, 0.3)):
+        got = nearest.nearest(df, asked, factor=factor, shard_rows=250).toPandas()
+        recall = sum(len(truth[q] & set(g.vec_id)) for q, g in got.groupby("query_id")) / (20 * len(truth))
+        share = got.groupby("query_id").n_scored.max().mean() / 4000
+        assert recall >= least and share < most, (factor, recall, share)
 
 
 def test_secrets(frame):
