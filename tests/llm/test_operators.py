@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -249,6 +250,92 @@ def test_html_rounds(spark, monkeypatch):
     assert len(row) == 1 and row[0].wrapper.startswith("body(") and all(t in row[0].wrapper for t in tags)
 
 
+class Plain(HTMLParser):
+    """The article by the standard library's parser, for well-formed pages."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.skip, self.blocks, self.now = 0, 0, [], ""
+        self.feed(page)
+        self.flush()
+
+    def flush(self):
+        if text := " ".join(self.now.split()):
+            self.blocks.append(text)
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("nav", "aside", "form", "script") or "comments" in dict(attrs).get("class", ""):
+            self.skip += 1
+        elif self.skip:
+            self.skip += tag not in ("br", "img")
+        if tag == "br":
+            self.now += " "
+        elif tag not in ("b", "i", "a", "em"):
+            self.flush()
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "em"):
+            self.flush()
+        self.skip -= bool(self.skip)
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth and not self.skip:
+            self.now += data
+
+
+def test_html_equals_a_plain_parser(spark):
+    r = random.Random(8)
+    word = lambda: r.choice(["alpha", "b&amp;c", "d&eacute;", "1 &lt; 2", "x\n\t y", "&nbsp;z", "wörter"])
+    text = lambda: " ".join(word() for _ in range(r.randint(1, 12)))
+    inline = lambda: "".join(r.choice([text(), f"<b>{text()}</b>", f"<a href='/q?a=1&b=2'>{text()}</a>", "<br>", f"<em class=\"no-ad\">{text()}</em>"]) for _ in range(r.randint(1, 4)))
+
+    def block(depth=0):
+        k = r.randrange(9)
+        if k < 4 or depth > 3:
+            return f"<p>{inline()}</p>"
+        parts = "".join(block(depth + 1) for _ in range(r.randint(1, 3)))
+        return [f"<div class='wide'>{parts}</div>", f"<blockquote>{parts}</blockquote>", f"<ul><li>{inline()}</li><li>{inline()}</li></ul>", f"<div class='comments'><p>{text()}</p></div>", f"<aside>{text()}</aside><script>if (a<b) x('</p>')</script>"][k - 4]
+
+    pages = [(k, f"http://h{k % 3}.example.com/", f"<html><body><nav><a>{text()}</a></nav><article><h1>{text()} {k}</h1>{''.join(block() for _ in range(r.randint(1, 8)))}</article><footer>f</footer></body></html>") for k in range(60)]
+    got = {x.page_id: (x.text, x.n_chars) for x in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    want = {k: "\n".join(Plain(p).blocks) for k, _, p in pages}
+    assert got == {k: (t, len(t)) for k, t in want.items()}
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ('<article><p class="a"">Hello world</p><p title="x">Second</p></article>', "Hello world\nSecond"),
+    ("<p don't>Hello</p><p>it's second</p>", "Hello\nit's second"),
+    ("<article>R&<i>copy</i> a < b 1<2 <é> x<</article>", "R&copy a < b 1<2 <é> x<"),
+    ('<article><div class="bottom-line"><p>Key.</p></div><div class="top-ad-hoc">Hoc</div><div class="ad-slot">no</div><p>a <math><mi>x</mi></math> <label>b</label></p><div id="comment-12">no</div></article>', "Key.\nHoc\na x b"),
+    ('<p a=">"b>t</p><p c="x>u</p>', "t\nu"), ("</ p>x</>y", "xy"), ("a<", "a<"), ("<!-- x --><p>1<!-->2</p><!-- y", "12"), ("<p>a<p>b<li>c<li>d", "a\nb\nc\nd"),
+])
+def test_html_as_it_comes(page, want):
+    assert html_text.extract(page, "") == want
+
+
+def test_html_deep_wide_and_long(spark):
+    deep = "<div>" * 6000 + "deep" + "</div>" * 6000
+    wide = "<body>" + "<h2>a</h2><p>b</p>" * 20_000
+    back = "<body>" + "<p>b</p><h2>a</h2>" * 20_000
+    pages = [(1, "http://a.example.com/", deep), (2, "http://a.example.com/", wide), (3, "http://a.example.com/", back), (3, "http://a.example.com/", back)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as host", "'y' as text", "0 as root", "1 as id", "2 as own")
+    got = sorted((x.page_id, x.text) for x in html_text.extract_text(df).collect())
+    assert got == [(1, "deep"), (2, "\n".join(["a", "b"] * 20_000)), (3, "\n".join(["b", "a"] * 20_000)), (3, "\n".join(["b", "a"] * 20_000))]
+
+
+def test_html_leaves_out_texts_of_the_wrapper(spark):
+    page = "<body><div class=content><h1>Title {0}</h1><p>A text of page {0} that goes on for a while.</p><p>Passed on by all.</p>{1}<p>Read our other pages!</p></div></body>"
+    pages = [(k, "http://f.example.com/", page.format(k, "<p>On some.</p>" if k % 2 else "")) for k in range(30)]
+    pages += [(100 + k, "http://g.example.com/", page.format(7, "")) for k in range(30)] + [(200 + k, "http://i.example.com/", page.format(k, "")) for k in range(5)]
+    got = {x.page_id: x.text for x in html_text.extract_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[4] == "Title 4\nA text of page 4 that goes on for a while." and got[5] == got[4].replace("4", "5") + "\nOn some."
+    # Copies of one page, and a few pages, tell nothing about the wrapper.
+    assert got[107] == got[202].replace("2", "7") == "Title 7\nA text of page 7 that goes on for a while.\nPassed on by all.\nRead our other pages!"
+
+
 def test_pieces(frame):
     import sentencepiece
     from public_tokenizers import path

@@ -6,13 +6,13 @@
    again, until one is left: matching tags are merged, what only some have becomes optional, what repeats becomes a repeated
    group, and texts become slots. The result is the host's wrapper, a regular expression without
    unions.
-3. Statistics of each text slot (pages, characters, characters in links), summed over all pages of
-   the host, tell which part of the wrapper is the article: an article or main element where the
-   wrapper has one, else the smallest part outside its repeated groups that holds most of the
-   unlinked text.
-4. Each page is read by its host's wrapper: blocks of the article's slots, without the parts that
-   are no article text by their tag, role or class. A page without that part of the wrapper is read
-   by its own article and main elements.
+3. What the slots hold, summed over all pages of the host, tells their parts. A text that nearly all
+   pages have is the wrapper's own, no slot's content. By characters, and characters in links, the
+   article is an article or main element that holds most of the unlinked text, else the smallest
+   part outside repeated groups that does.
+4. Each page is read by its host's wrapper: blocks of the article's slots, without the wrapper's own
+   texts and the parts that are no article text by their tag, role or class. A page without that part
+   of the wrapper is read by its own article and main elements.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from __future__ import annotations
 import html
 import json
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,94 +35,162 @@ from tideline.llm.common import checkpoint, skew_join, tune
 BROADCAST_HOSTS = 20_000
 #: Distinct trees that are aligned at once, about: a host with more of them takes more rounds.
 FAN = 64
+#: For the wrapper alone: deeper elements count for their last ancestor above; of more siblings, equal ones
+#: count as one repeated group wherever they stand; longer lists are aligned without backtracking.
+DEEP, WIDE, CELLS = 64, 128, 40_000
+#: A text is the wrapper's own if this share of a host's pages have it, these counted without copies and at least so many.
+OWN_SHARE, OWN_PAGES = 0.9, 10
 
 # Names of HTML elements, and words in class, id and role that mark other than article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math mi mn mo mrow ms msub msup mtext q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
-DROPPED = frozenset("script style noscript template head title nav footer aside form menu dialog button select option textarea iframe object svg canvas audio video map math input label fieldset".split())
+DROPPED = frozenset("script style noscript template head title nav footer aside form menu dialog button select option textarea iframe object svg canvas audio video map input fieldset".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar status".split())
 WORDS = frozenset(
-    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar footer bottom sidebar aside rail widget widgets ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations comment comments commentlist reply replies disqus respond responses pagination pager paging toolbar skip form".split()
+    "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar footer sidebar aside widget widgets advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist replies disqus respond pagination pager toolbar".split()
 )
+AD, AD_PLACE = frozenset("ad ads adv".split()), frozenset("slot unit box banner container wrap wrapper block top bottom side left right inline mobile desktop google label space zone area 0".split())
 HEADERS = frozenset(["header"])
 ARTICLE = frozenset(["article", "main"])
+BARRIER_P = frozenset("article section div td li table".split())
+BARRIER_LIST = frozenset("ul ol dl table menu select".split())
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(?=[a-zA-Z/!?]).*\Z|[^<]+|<""", re.S)
-_ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_ATTR = re.compile(r"""[\s/]*([^\s/>][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+_GAP = re.compile(r"[\s/]*")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
-    """(kind, name or text, attributes) with kinds open, close and text; comments and declarations are left out."""
-    at = 0
-    while m := _TOKEN.match(page, at):
-        at = m.end()
-        if m[2]:
-            name = m[2].lower()
-            if m[1]:
-                yield "close", name, {}
-                continue
-            attrs = {a.lower(): html.unescape(v.strip("\"'")) for a, v in _ATTR.findall(m[3])} if m[3] else {}
-            yield "open", name, attrs
-            if name in RAW and not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(page, at)
-                yield "text", page[at : end.start()], {}
-                yield "close", name, {}
-                at = end.end()
-        elif m[0][0] != "<" or m[0] == "<":
-            yield "text", m[0], {}
+    """(kind, name or text, attributes) with kinds open, close and text; comments and declarations are left out.
+
+    Attributes are read one by one, so a quote counts only after an equals sign. A "<" that begins no
+    tag is text. References are decoded in each run of text alone.
+    """
+    at, size, text = 0, len(page), 0
+    while at < size:
+        begin = page.find("<", at)
+        follow = page[begin + 1 : begin + 3] if begin >= 0 else ""
+        if begin < 0:
+            at = size
+        elif not (follow[:1] in ("!", "?", "/") and follow[1:] or follow[:1].isalpha()):
+            at = begin + 1
+            continue
+        if text < (stop := begin if begin >= 0 else size):
+            yield "text", html.unescape(page[text:stop]), {}
+        if begin < 0:
+            return
+        if follow[0] in "!?" or follow[0] == "/" and not follow[1].isalpha():
+            end = {"<!--": "-->", "<![C": "]]>"}.get(page[begin : begin + 4], ">")
+            at = text = (k + len(end) if (k := page.find(end, begin + 2)) >= 0 else size)
+            continue
+        m = _NAME.match(page, begin)
+        if not m:
+            # Letters beyond ASCII begin no tag.
+            at, text = begin + 1, begin
+            continue
+        name, at, attrs = m[1].lower(), m.end(), {}
+        while (at := _GAP.match(page, at).end()) < size and page[at] != ">":
+            a = _ATTR.match(page, at)
+            at = a.end()
+            if follow[0] != "/":
+                attrs.setdefault(a[1].lower(), html.unescape((a[2] or "").strip("\"'")))
+        closed = page[at - 1] == "/"
+        at = text = min(size, at + 1)
+        if follow[0] == "/":
+            yield "close", name, {}
+            continue
+        yield "open", name, attrs
+        if name in RAW and not closed:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*>|\Z", re.I).search(page, at)
+            yield "text", page[at : end.start()], {}
+            yield "close", name, {}
+            at = text = end.end()
+    if text < size:
+        yield "text", html.unescape(page[text:]), {}
 
 
 def _noise(name: str, attrs: dict[str, str], inside: bool) -> bool:
-    """Whether an element is no article text by its tag, role, class or id."""
+    """Whether an element is no article text by its tag, role, class or id.
+
+    Of a class or id, the first or last word has to say so, and "ad" only beside words for a place.
+    """
     if name in DROPPED or name in HEADERS and not inside or attrs.get("role", "").lower() in ROLES:
         return True
+    if not attrs:
+        return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return True
     if name in ("html", "body", *ARTICLE):
         return False
-    words = [w.lower() for a in ("class", "id") for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", attrs.get(a, ""))]
-    return not {"has", "with", "no"} & set(words) and any(w in WORDS or w in HEADERS and not inside for w in words)
+    for value in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        words = [re.sub("[0-9]+", "0", w.lower()) for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", value)]
+        if not words or {"has", "with", "no"} & set(words):
+            continue
+        ends = {words[0], words[-1], words[-2] if words[-1] == "0" and len(words) > 1 else words[-1]}
+        if ends & WORDS or not inside and ends & HEADERS or AD & set(words) and set(words) <= AD | AD_PLACE:
+            return True
+    return False
 
 
 def _key(name: str, attrs: dict[str, str]) -> str:
     kind = (attrs.get("class") or attrs.get("id") or "").split()
-    # Numbers tell pages apart, not parts of a page.
-    return f"{name}.{re.sub('[0-9]+', '0', kind[0])}" if kind else name
+    # Numbers, and words with digits, tell pages apart, not parts of a page.
+    return f"{name}.{re.sub('[A-Za-z]*[0-9][A-Za-z0-9]*', '0', kind[0])}" if kind else name
+
+
+class Open:
+    """An open element, and what holds for the text in it."""
+
+    __slots__ = ("name", "key", "noise", "inside", "linked", "path", "depth")
 
+    def __init__(self, name: str, attrs: dict[str, str], up: Open | None):
+        self.name, self.key = name, _key(name, attrs)
+        self.noise = bool(up and up.noise) or _noise(name, attrs, bool(up and up.inside))
+        self.inside = bool(up and up.inside) or name in ARTICLE
+        self.linked = bool(up and up.linked) or name == "a"
+        self.path, self.depth = (up.path, up.depth) if up else ("", 0)
+        if name not in INLINE:
+            self.depth += 1
+            if self.depth <= DEEP:
+                self.path = f"{self.path}/{self.key}" if self.path else self.key
 
-def walk(page: str) -> Iterator[tuple[str, list[tuple[str, str, bool]], str]]:
-    """Token stream with the open elements (name, key, noise): events open, close, text; closes what HTML closes by itself."""
-    stack: list[tuple[str, str, bool]] = []
 
-    def close_to(k: int) -> Iterator[tuple[str, list[tuple[str, str, bool]], str]]:
+def walk(page: str) -> Iterator[tuple[str, list[Open], str]]:
+    """Token stream with the open elements: events open, close, text; closes what HTML closes by itself."""
+    stack: list[Open] = []
+    count: dict[str, int] = defaultdict(int)
+
+    def close_to(k: int) -> Iterator[tuple[str, list[Open], str]]:
         while len(stack) > k:
-            yield "close", stack, stack[-1][0]
-            stack.pop()
+            yield "close", stack, stack[-1].name
+            count[stack.pop().name] -= 1
+
+    def nearest_open(name: str, barrier: frozenset[str]) -> int:
+        """Place of the innermost element of that name with no barrier in it; -1 if there is none."""
+        if count[name]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name == name:
+                    return k
+                if stack[k].name in barrier:
+                    break
+        return -1
 
     for kind, name, attrs in tokens(page):
         if kind == "text":
             yield "text", stack, name
         elif kind == "open":
-            names = [x[0] for x in stack]
-            if name in CLOSES_P and "p" in names:
-                k = len(names) - 1 - names[::-1].index("p")
-                if not {"article", "section", "div", "td", "li", "table"} & set(names[k:]):
-                    yield from close_to(k)
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option") and name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                if not {"ul", "ol", "dl", "table", "menu", "select"} & set(names[k:]):
-                    yield from close_to(k)
-            inside = any(x[0] in ARTICLE for x in stack)
-            stack.append((name, _key(name, attrs), bool(stack and stack[-1][2]) or _noise(name, attrs, inside)))
+            k = nearest_open("p", BARRIER_P) if name in CLOSES_P else nearest_open(name, BARRIER_LIST) if name in ("li", "dt", "dd", "tr", "td", "th", "option") else -1
+            if k >= 0:
+                yield from close_to(k)
+            stack.append(Open(name, attrs, stack[-1] if stack else None))
+            count[name] += 1
             yield "open", stack, name
             if name in VOID:
                 yield from close_to(len(stack) - 1)
-        else:
-            names = [x[0] for x in stack]
-            if name in names:
-                yield from close_to(len(names) - 1 - names[::-1].index(name))
+        elif (k := nearest_open(name, frozenset())) >= 0:
+            yield from close_to(k)
     yield from close_to(0)
 
 
@@ -132,29 +202,55 @@ def fold(nodes: list) -> list:
             out[-1] = [n[0], out[-1][1] or n[1], True, align(out[-1][3], n[3])]
         else:
             out.append(n)
+    if len(out) > WIDE:
+        by: dict[str, list] = {}
+        for n in out:
+            had = by.get(n[0])
+            by[n[0]] = [n[0], had[1] or n[1], True, align(had[3], n[3])] if had else n
+        out = list(by.values())
     return out
 
 
-def align(a: list, b: list) -> list:
-    """Two lists of nodes as one: the longest common sequence of keys is merged, the rest becomes optional."""
-    if a == b:
-        return a
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Pairs of places of a longest common sequence; of a common one, taken as it comes, where the lists are long."""
+    if len(a) * len(b) > CELLS:
+        where: dict[str, list[int]] = defaultdict(list)
+        for i, x in enumerate(a):
+            where[x].append(i)
+        pairs, i = [], 0
+        for j, x in enumerate(b):
+            k = bisect_left(where[x], i) if x in where else 0
+            if x in where and k < len(where[x]) and where[x][k] - i <= WIDE:
+                pairs.append((where[x][k], j))
+                i = pairs[-1][0] + 1
+        return pairs
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append([a[i][0], a[i][1] or b[j][1], a[i][2] or b[j][2], align(a[i][3], b[j][3])])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    pairs, i, j = [], 0, 0
+    while i < n and j < m:
+        if a[i] == b[j]:
+            pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], True, a[i][2], a[i][3]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], True, b[j][2], b[j][3]])
             j += 1
+    return pairs
+
+
+def align(a: list, b: list) -> list:
+    """Two lists of nodes as one: a common sequence of keys is merged, the rest becomes optional."""
+    if a == b:
+        return a
+    out, i, j = [], 0, 0
+    for x, y in [*_common([n[0] for n in a], [n[0] for n in b]), (len(a), len(b))]:
+        out += [[n[0], True, n[2], n[3]] for n in a[i:x]] + [[n[0], True, n[2], n[3]] for n in b[j:y]]
+        if x < len(a):
+            out.append([a[x][0], a[x][1] or b[y][1], a[x][2] or b[y][2], align(a[x][3], b[y][3])])
+        i, j = x + 1, y + 1
     return fold(out)
 
 
@@ -163,28 +259,51 @@ def shown(nodes: list) -> str:
     return " ".join(n[0] + (f"({shown(n[3])})" if n[3] else "") + {(0, 0): "", (0, 1): "+", (1, 0): "?", (1, 1): "*"}[int(n[1]), int(n[2])] for n in nodes)
 
 
-def read_page(page: str) -> tuple[str, dict[str, list[int]]]:
-    """The folded tree of a page as JSON, and for each slot path that isn't noise [characters, characters in links]."""
+def _line(parts: list[str]) -> str:
+    return " ".join("".join(parts).split())
+
+
+def _name_of(*parts: str) -> int:
+    return xxhash.xxh64_intdigest("\n".join(parts)) - 2**63
+
+
+def read_page(page: str) -> tuple[str, dict[str, list[int]], list[int]]:
+    """The folded tree of a page as JSON, for each slot path that isn't noise [characters, characters in links], and the hashes of its blocks."""
     root: list = ["", False, False, []]
-    open_, slots = [root], defaultdict(lambda: [0, 0])
+    open_, slots, parts, blocks, path = [root], defaultdict(lambda: [0, 0]), [], [], ""
+
+    def flush() -> None:
+        if text := _line(parts):
+            blocks.append(_name_of(path, text))
+        parts.clear()
+
     for kind, stack, value in walk(page):
-        if kind == "open":
-            if stack[-1][0] not in INLINE:
-                open_.append([stack[-1][1], False, False, []])
+        if kind == "text":
+            top = stack[-1] if stack else None
+            if value.strip():
+                if not (open_[-1][3] and open_[-1][3][-1][0] == "#"):
+                    open_[-1][3].append(["#", False, False, []])
+            if not (top and top.noise):
+                parts.append(value)
+                path = top.path if top else ""
+                if size := len("".join(value.split())):
+                    slot = slots[top.path if top else ""]
+                    slot[0] += size
+                    slot[1] += size * bool(top and top.linked)
+        elif value == "br":
+            parts.append(" ")
+        elif value not in INLINE:
+            flush()
+            if stack[-1].depth > DEEP:
+                continue
+            if kind == "open":
+                open_.append([stack[-1].key, False, False, []])
                 open_[-2][3].append(open_[-1])
-        elif kind == "close":
-            if value not in INLINE:
+            else:
                 node = open_.pop()
                 node[3] = fold(node[3])
-        elif value.strip():
-            if not (open_[-1][3] and open_[-1][3][-1][0] == "#"):
-                open_[-1][3].append(["#", False, False, []])
-            if not (stack and stack[-1][2]):
-                size = len("".join(value.split()))
-                path = "/".join(x[1] for x in stack if x[0] not in INLINE)
-                slots[path][0] += size
-                slots[path][1] += size * any(x[0] == "a" for x in stack)
-    return json.dumps(fold(root[3])), slots
+    flush()
+    return json.dumps(fold(root[3])), slots, blocks
 
 
 def single_parts(nodes: list, above: str = "") -> set[str]:
@@ -217,45 +336,43 @@ def article_root(wrapper: list, slots: dict[str, tuple[int, int]]) -> str:
     return max(good, key=lambda p: (p.count("/"), p), default="")
 
 
-def extract(page: str, root: str) -> str:
-    """The article's blocks in page order, joined by \\n.
+def extract(page: str, root: str, own: frozenset[int] = frozenset()) -> str:
+    """The article's blocks in page order, joined by \\n, without the wrapper's own texts.
 
     The part at the path root counts, even if it holds no text. Only where the page lacks that part (or
     the host has none) its article and main elements count, and without any the whole body.
     """
-    keyed = root.split("/") if root else []
-    path, present, inside = [], False, False
+    until, present, path = 0, False, ""
     placed, named, rest = [[], []], [[], []], [[], []]
 
-    def flush(to: list) -> None:
-        if text := " ".join(html.unescape("".join(to[1])).split()):
-            to[0].append(text)
-        to[1] = []
+    def flush() -> None:
+        for to in (placed, named, rest):
+            if (text := _line(to[1])) and (not own or _name_of(path, text) not in own):
+                to[0].append(text)
+            to[1] = []
 
     for kind, stack, value in walk(page):
         if kind == "text":
-            if stack and stack[-1][2]:
+            top = stack[-1] if stack else None
+            if top and top.noise:
                 continue
             rest[1].append(value)
-            if inside:
+            path = top.path if top else ""
+            if until:
                 placed[1].append(value)
-            if any(x[0] in ARTICLE for x in stack):
+            if top and top.inside:
                 named[1].append(value)
         elif value == "br":
             for to in (placed, named, rest):
                 to[1].append(" ")
         elif value not in INLINE:
-            for to in (placed, named, rest):
-                flush(to)
+            flush()
             if kind == "open":
-                path.append(stack[-1][1])
-                if path == keyed:
-                    present = inside = True
-            else:
-                path.pop()
-                inside = inside and len(path) >= len(keyed)
-    for to in (placed, named, rest):
-        flush(to)
+                if not until and root and stack[-1].path == root and stack[-1].depth <= DEEP:
+                    until, present = len(stack), True
+            elif until and len(stack) <= until:
+                until = 0
+    flush()
     return "\n".join(placed[0] if present else named[0] or rest[0])
 
 
@@ -264,29 +381,27 @@ def _host(url: str) -> Column:
 
 
 def _readings(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(host, tree, slots): distinct folded trees of a host in a task, and the slot sums of its pages there."""
+    """(host, tree, slots, page, blocks) of every page: folded tree, slot sums, and hashes (of path and text) of all its blocks and of each."""
     tune(pages.sparkSession)
+    kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64())]))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums: dict[tuple[str, str], dict[str, list[int]]] = {}
-            for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
-                tree, slots = read_page(page.as_py() or "")
-                into = sums.setdefault((host, tree), {})
-                for path, (chars, linked) in slots.items():
-                    x = into.setdefault(path, [0, 0])
-                    x[0], x[1] = x[0] + chars, x[1] + linked
-            keys = list(sums)
-            slots = [[{"path": p, "chars": c, "linked": i} for p, (c, i) in sums[k].items()] for k in keys]
-            kind = pa.list_(pa.struct([("path", pa.string()), ("chars", pa.int64()), ("linked", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(slots, kind)], ["host", "tree", "slots"])
+            trees, slots, names, blocks = [], [], [], []
+            for page in batch.column("html"):
+                tree, sums, hashes = read_page(page.as_py() or "")
+                trees.append(tree)
+                slots.append([{"path": p, "chars": c, "linked": i} for p, (c, i) in sums.items()])
+                names.append(_name_of(",".join(map(str, hashes))))
+                blocks.append(sorted(set(hashes)))
+            yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string()), pa.array(slots, kind), pa.array(names, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))], ["host", "tree", "slots", "page", "blocks"])
 
     rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
-    return rows.mapInArrow(read, "host string, tree string, slots array<struct<path:string,chars:long,linked:long>>")
+    return rows.mapInArrow(read, "host string, tree string, slots array<struct<path:string,chars:long,linked:long>>, page long, blocks array<long>")
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, root): a host's wrapper as a union-free regular expression, and the path of its article.
+    """(host, wrapper, root, own): a host's wrapper as a union-free regular expression, the path of its article, and the hashes of the wrapper's own texts.
 
     Null pages are empty ones, and a url that is null or has no host belongs to the host "".
     """
@@ -314,23 +429,28 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         chunk = F.pmod(F.xxhash64("tree"), F.ceil(F.col("n") * 2 / FAN))
         trees = checkpoint(skew_join(trees, sizes, ["host"]).withColumn("chunk", chunk).groupBy("host", "chunk").applyInArrow(aligned, "host string, tree string").distinct())
     slots = read.select("host", F.explode("slots").alias("s")).groupBy("host", "s.path").agg(F.sum("s.chars").alias("chars"), F.sum("s.linked").alias("linked"))
-    return trees.groupBy("host").cogroup(slots.groupBy("host")).applyInArrow(rooted, "host string, wrapper string, root string")
+    roots = trees.groupBy("host").cogroup(slots.groupBy("host")).applyInArrow(rooted, "host string, wrapper string, root string")
+    unlike = read.groupBy("host", "page").agg(F.first("blocks").alias("blocks"))
+    many = unlike.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= OWN_PAGES)
+    often = unlike.select("host", F.explode("blocks").alias("block")).groupBy("host", "block").agg(F.count("*").alias("n")).where(F.col("n") >= OWN_PAGES)
+    own = skew_join(often, many, ["host"]).where(F.col("n") >= OWN_SHARE * F.col("pages")).groupBy("host").agg(F.array_sort(F.collect_list("block")).alias("own"))
+    return roots.join(own, "host", "left").select("host", "wrapper", "root", F.coalesce("own", F.array().cast("array<long>")).alias("own"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars): the article of every page; empty where there is none. Repeated rows are each kept."""
     tune(pages.sparkSession)
-    wrappers = checkpoint(infer_wrappers(pages, url_col, html_col)).select("host", "root")
+    wrappers = checkpoint(infer_wrappers(pages, url_col, html_col)).select("host", "root", "own")
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
     both = rows.join(F.broadcast(wrappers), "host", "left") if wrappers.count() <= BROADCAST_HOSTS else skew_join(rows, wrappers, ["host"], "left")
     kind = rows.schema["id"].dataType.simpleString()
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = [extract(x.as_py() or "", r.as_py() or "") for x, r in zip(batch.column("html"), batch.column("root"), strict=True)]
+            text = [extract(x.as_py() or "", r.as_py() or "", frozenset(o.as_py() or ())) for x, r, o in zip(*(batch.column(c) for c in ("html", "root", "own")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), pa.array(text, pa.string()), pa.array(list(map(len, text)), pa.int64())], ["id", "url", "text", "n_chars"])
 
-    return both.select("id", "url", "html", "root").mapInArrow(made, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
+    return both.select("id", "url", "html", "root", "own").mapInArrow(made, f"id {kind}, url string, text string, n_chars long").withColumnsRenamed({"id": id_col, "url": url_col})
 
 
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
