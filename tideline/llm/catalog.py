@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from tideline.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tideline.llm.html_text import op5_html_extraction
-from tideline.llm.language_id import op4_language_id
+from tideline.llm.language_id import language_of_pages, op4_language_id
 from tideline.llm.line_dedup import OP3_SQL, op3_line_dedup
 from tideline.llm.near_duplicates import OP10_SQL, op10_jaccard_join
 from tideline.llm.nearest import op7_nearest
-from tideline.llm.packing import op6_packing
+from tideline.llm.packing import op6_packing, pack_conversations
 from tideline.llm.pieces import op2_sentencepiece
 from tideline.llm.secret_scan import op9_secret_scan
 from tideline.llm.substring_dedup import OP8_SQL, op8_substring_dedup
@@ -24,5 +24,7 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "language_of_pages": language_of_pages,
+    "pack_conversations": pack_conversations,
 }
 SQL = {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL}

@@ -376,7 +376,8 @@ def extract(page: str, root: str, own: frozenset[int] = frozenset()) -> str:
     return "\n".join(placed[0] if present else named[0] or rest[0])
 
 
-def _host(url: str) -> Column:
+def host_of(url: str) -> Column:
+    """The host in a column of addresses; empty where there is none."""
     return F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
@@ -396,7 +397,7 @@ def _readings(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
                 blocks.append(sorted(set(hashes)))
             yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(trees, pa.string()), pa.array(slots, kind), pa.array(names, pa.int64()), pa.array(blocks, pa.list_(pa.int64()))], ["host", "tree", "slots", "page", "blocks"])
 
-    rows = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     return rows.mapInArrow(read, "host string, tree string, slots array<struct<path:string,chars:long,linked:long>>, page long, blocks array<long>")
 
 
@@ -441,7 +442,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(id, url, text, n_chars): the article of every page; empty where there is none. Repeated rows are each kept."""
     tune(pages.sparkSession)
     wrappers = checkpoint(infer_wrappers(pages, url_col, html_col)).select("host", "root", "own")
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), _host(url_col).alias("host"), F.col(html_col).alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(url_col).alias("host"), F.col(html_col).alias("html"))
     both = rows.join(F.broadcast(wrappers), "host", "left") if wrappers.count() <= BROADCAST_HOSTS else skew_join(rows, wrappers, ["host"], "left")
     kind = rows.schema["id"].dataType.simpleString()
 

@@ -3,7 +3,8 @@
 Evidence for each document: a naive Bayes likelihood of its byte trigrams (fitted on a bounded,
 labelled sample), the language its markup declares, the language its address suffix suggests, and a
 prior of its host. Host priors come from grouped aggregation over all documents and are smoothed
-hierarchically: host towards its parent domain, that one towards the whole table. One more class,
+hierarchically: host towards its parent domain, that one towards its last label, and that one
+towards the whole table. One more class,
 "und" (undetermined), explains a text by single bytes alone; documents for which it wins, and those
 without letters, are rejected.
 """
@@ -17,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpoint, skew_join, text_bytes, text_slices, tune
+from tideline.llm.common import checkpoint, skew_join, text_bytes, text_slices, tune, without
+from tideline.llm.html_text import extract_text, host_of
 
-#: Rows of the labelled sample at most (in expectation: rows are chosen by a hash of their id).
-SAMPLE = 20_000
+#: Rows of the labelled sample at most (in expectation: rows are chosen by a hash of their id), and of its languages, by their rows.
+SAMPLE, LANGUAGES = 20_000, 64
 SLOTS = 1 << 16
 #: Trigrams whose evidence counts in full; more ones are averaged down to that many.
 EFFECTIVE = 60.0
 #: How often a declaration, and an address suffix, tell the truth.
 DECLARED, SUFFIX = 0.9, 0.75
-#: Pseudo-counts that pull a host towards its domain, and a domain towards the whole table.
+#: Pseudo-counts that pull a host towards its domain, a domain towards its last label, and that one towards the whole table.
 PULL = 20.0
 #: Prior of "und", and by how much a trigram single bytes must explain a text better: a document with an
 #: identifier or a number in it is still in its language.
@@ -61,13 +63,16 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """Trigram log-probabilities by language, and single-byte ones, from at most about `sample` labelled rows.
 
-    Counts are summed by Spark for each label; the model has SLOTS numbers a language. A table
-    without labelled text gives a model without languages.
+    Counts are summed by Spark for each label; the model has SLOTS numbers a language, and the
+    LANGUAGES most frequent ones at most. A table without labelled text gives a model without
+    languages. Labels may be wrong at times: they are one kind of evidence when the model is applied.
     """
     tune(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{label_col}` as string) label", f"`{text_col}` text", f"xxhash64(`{id_col}`) h").where("label is not null and label <> '' and text is not null")
     n = rows.count()
     part = rows.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))).select("label", "text")
+    known = [r.label for r in part.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()]
+    part = part.where(F.col("label").isin(known))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tri: dict[str, np.ndarray] = {}
@@ -120,8 +125,8 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     """(id, carried columns, host, language, confidence, kept): one row per input row.
 
     declared: what the markup says (null: no evidence; a language the model doesn't know: none).
-    host: the key of the prior, its parent domain is what follows the first dot; null is a host of
-    its own. url: its country suffix is evidence. A null or empty text, or one without letters, is
+    host: the key of the prior; its parent domain is what follows its first dot, and above that is its
+    last label ("*" for hosts without a dot); null is a host of its own. url: its country suffix is evidence. A null or empty text, or one without letters, is
     "und" and rejected; so is one that single bytes explain better than any language with the other
     evidence. Ties go to the first language by name. A model without languages keeps all texts that
     have letters. Extra columns are ignored unless carried.
@@ -146,36 +151,55 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     own = F.slice("ll", 1, size)
     votes = scored.withColumn("e", F.zip_with(F.zip_with(own, told(F.col("declared"), DECLARED), lambda a, b: a + b), told(F.col("hint"), SUFFIX), lambda a, b: a + b))
     votes = votes.withColumn("vote", F.when(F.col("n_grams") > 0, F.array_position("e", F.array_max("e"))))
-    domain = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2)).otherwise(F.lit("*")).alias("domain")
-    counts = [F.count_if(F.col("vote") == k + 1).cast("double").alias(f"c{k}") for k in range(size)]
-    hosts = votes.groupBy("host").agg(*counts).withColumn("domain", domain)
-    domains = hosts.groupBy("domain").agg(*[F.sum(f"c{k}").alias(f"d{k}") for k in range(size)])
-    whole = domains.agg(*[F.sum(f"d{k}").alias(f"w{k}") for k in range(size)]).first()
+    dotted = F.instr("host", ".") > 0
+    domain = F.when(dotted, F.expr("substring(host, instr(host, '.') + 1)")).otherwise("*").alias("domain")
+    label = F.when(F.instr("domain", ".") > 0, F.substring_index("domain", ".", -1)).otherwise(F.col("domain")).alias("label")
+    ks = range(size)
+    sums = lambda x, y: [F.sum(f"{x}{k}").alias(f"{y}{k}") for k in ks]
+    hosts = checkpoint(votes.groupBy("host").agg(*[F.count_if(F.col("vote") == k + 1).cast("double").alias(f"c{k}") for k in ks]).select("*", domain))
+    domains = hosts.groupBy("domain").agg(*sums("c", "d")).select("*", label)
+    labels = domains.groupBy("label").agg(*sums("d", "t"))
+    whole = labels.agg(*sums("t", "w")).first()
     total = float(sum(x or 0 for x in whole))
     base = [((x or 0) + 1) / (total + size) for x in whole]
-    add = lambda cols: sum((F.col(c) for c in cols), F.lit(0.0))
-    up = [(F.col(f"d{k}") + PULL * base[k]) / (add(f"d{i}" for i in range(size)) + PULL) for k in range(size)]
-    smooth = [F.ln((F.col(f"c{k}") + PULL * up[k]) / (add(f"c{i}" for i in range(size)) + PULL)) for k in range(size)]
-    priors = hosts.join(domains, "domain").select("host", F.array(*smooth).alias("prior"))
+
+    def pulled(x: str, up: list) -> list[Column]:
+        n = sum((F.col(f"{x}{k}") for k in ks), F.lit(0.0))
+        return [(F.col(f"{x}{k}") + PULL * up[k]) / (n + PULL) for k in ks]
+
+    top = labels.select("label", *[c.alias(f"q{k}") for k, c in enumerate(pulled("t", [F.lit(x) for x in base]))])
+    middle = skew_join(domains, top, ["label"])
+    middle = middle.select("domain", *[c.alias(f"p{k}") for k, c in enumerate(pulled("d", [F.col(f"q{k}") for k in ks]))])
+    priors = skew_join(hosts, middle, ["domain"]).select("host", F.array(*map(F.ln, pulled("c", [F.col(f"p{k}") for k in ks]))).alias("prior"))
     fused = skew_join(votes, priors, ["host"], "left").withColumn("p", F.zip_with("e", "prior", lambda a, b: a + b))
     lost = F.element_at("ll", -1) + F.lit(float(np.log(UND)) - 2 * float(np.log(size))) - MARGIN * F.least(F.col("n_grams").cast("double"), F.lit(EFFECTIVE))
-    top = F.array_max("p")
-    found = (F.col("n_grams") > 0) & (top >= lost)
-    mass = F.aggregate("p", F.exp(lost - top), lambda a, x: a + F.exp(x - top))
-    language = F.when(found, F.element_at(langs, F.array_position("p", top).cast("int"))).otherwise(F.lit("und"))
+    best = F.array_max("p")
+    found = (F.col("n_grams") > 0) & (best >= lost)
+    mass = F.aggregate("p", F.exp(lost - best), lambda a, x: a + F.exp(x - best))
+    language = F.when(found, F.element_at(langs, F.array_position("p", best).cast("int"))).otherwise(F.lit("und"))
     return fused.select(F.col("id").alias(id_col), *carry, "host", language.alias("language"), F.when(found, 1 / mass).otherwise(F.lit(0.0)).alias("confidence"), F.coalesce(found, F.lit(False)).alias("kept"))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """documents without the rows that are rejected; all columns stay. lang is the declared language, source the host.
 
-    A row is told by its id and a hash of all that its verdict depends on, so other rows with its id stay.
+    Null and empty texts, and those without letters, are rejected. A row is told by its id and a hash
+    of all that its verdict depends on, so other rows with its id stay. An empty table stays empty.
     """
     given = [F.coalesce(F.concat(F.lit("+"), F.col(c).cast("string")), F.lit("")) for c in ("text", "lang", "source")]
-    rows = docs.withColumn("_h", F.xxhash64(*given))
-    out = identify(rows, fit(docs), declared=F.col("lang"), host=F.col("source"), carry=["_h"])
-    gone = out.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("_h").alias("_gone_h")).distinct()
-    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_h") == F.col("_gone_h")), "left_anti").drop("_h")
+    rows = docs.select("doc_id", "text", "lang", "source", F.xxhash64(*given).alias("h"))
+    out = identify(rows, fit(rows), declared=F.col("lang"), host=F.col("source"), carry=["h"])
+    return without(docs, out.where("not kept").select(F.col("doc_id").alias("id"), "h"), id=F.col("doc_id"), h=F.xxhash64(*given))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page's article, from its text, the language its markup declares, its address and its host."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    declared = F.lower(F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]{2})", 1))
+    texts = extract_text(pages.select(F.struct("page_id", declared.alias("declared")).alias("page"), "url", "html"), "page")
+    model = fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = identify(texts, model, "page", declared=F.col("page.declared"), host=host_of("url"), url=F.col("url"))
+    return out.select("page.page_id", "host", "page.declared", "language", F.round("confidence", 6).alias("confidence"), "kept")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from tideline.llm.common import tune
 
 MAX_TOKENS, MAX_SEGMENTS, POOL, END = 2048, 128, 384, 1
-#: Distinct parts whose ids a task remembers.
-REMEMBERED = 1_000_000
+#: Bytes of parts and their ids that a worker remembers, about; longer parts (in characters) are not remembered.
+REMEMBERED, LONG = 192 << 20, 64
 
 
 # After lower-casing, the letters of Basic Latin to Latin Extended-A; and texts in which these are all
@@ -56,6 +56,7 @@ class WordIds(dict):
         self.byte = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         probes = ("a", "the", "straße", "éàœ", "zzyzxqj")
         self.direct = all(self.letters(x) == self.whole(x) for x in probes)
+        self.bytes = 0
 
     @classmethod
     def load(cls, path: str) -> WordIds:
@@ -72,10 +73,14 @@ class WordIds(dict):
         return [x.id for x in self.tokenizer.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(self.byte))]
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = self.letters(part) if self.direct and _RUN.fullmatch(part) else self.whole(part)
-        out = self[part] = struct.pack(f"<{len(ids)}I", *ids)
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(part) <= LONG:
+            if self.bytes >= REMEMBERED:
+                self.clear()
+                self.bytes = 0
+            self[part] = out
+            self.bytes += 160 + 2 * len(part) + len(out)
         return out
 
     def of(self, text: str) -> bytes:
@@ -94,30 +99,32 @@ class _Packer:
     def __init__(self, limits: tuple[int, int, int], first: int):
         self.limits, self.next = np.array(limits, float), first
         self.pool = np.zeros((0, 4), np.int64)
-        self.items: dict[int, tuple[object, bytes, int, int]] = {}
+        # An item: key, the ids that are not yet in a sequence, the number of the first of these, of all, and of loss-bearing ones.
+        self.items: dict[int, tuple[object, bytes, int, int, int]] = {}
         self.left: dict[int, int] = {}
         self.rows: list[tuple] = []
 
     def loss(self, item: int, start: int, size: int) -> int:
         """Loss-bearing tokens of a piece: those of an item are its last ones."""
-        quiet = self.items[item][2] - self.items[item][3]
+        quiet = self.items[item][3] - self.items[item][4]
         return max(0, start + size - max(start, quiet))
 
     def add(self, item: int, key: object, ids: bytes, n_loss: int) -> None:
         n, most = len(ids) // 4, int(self.limits[0])
-        self.items[item], self.left[item] = (key, ids, n, n_loss), n
+        self.items[item], self.left[item] = (key, ids, 0, n, n_loss), n
         start = 0
         while n - start >= most and self.loss(item, start, most) <= self.limits[2]:
             self.put([(item, start, most)])
             start += most
         if start < n:
+            self.items[item] = (key, ids[4 * start :], start, n, n_loss)
             self.pool = np.vstack([self.pool, [(item, start, n - start, self.loss(item, start, n - start))]])
 
     def put(self, pieces: list[tuple[int, int, int]]) -> None:
         at = 0
         for item, start, size in pieces:
-            key, ids, n, _ = self.items[item]
-            self.rows.append((key, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, self.next, at))
+            key, ids, base, n, _ = self.items[item]
+            self.rows.append((key, start, size, zlib.crc32(ids[4 * (start - base) : 4 * (start - base + size)]), n, self.next, at))
             at += size
             self.left[item] -= size
             if not self.left[item]:
@@ -168,7 +175,8 @@ def pack_sequences(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]]
     encode: called once in a task; gives the function from a text to its ids as little-endian
     unsigned 32-bit bytes. The end id 1 follows each text, so that a null or empty text is one token
     and no row is lost; a null id stays null; rows that repeat an id are packed each. loss_col: how
-    many of a row's last tokens bear loss (null or absent: all). Every id is in exactly one piece,
+    many of a row's last tokens bear loss (null or absent: all). Extra columns are ignored; an empty
+    table gives an empty result. Every id is in exactly one piece,
     pieces of a sequence lie side by side, and a sequence is full or a power of two long.
     """
     spark = docs.sparkSession
@@ -191,7 +199,7 @@ def pack_sequences(docs: DataFrame, encode: Callable[[], Callable[[str], bytes]]
                 ids = ids_of(text.as_py() or "") + END.to_bytes(4, "little")
                 packer.add(k, key, ids, len(ids) // 4 if n_loss is None else max(0, min(n_loss, len(ids) // 4)))
                 k += 1
-                while len(packer.pool) >= POOL:
+                while len(packer.pool) >= POOL or packer.pool[:, 2].sum() > POOL * max_tokens:
                     packer.fill()
             yield out()
         while len(packer.pool):
@@ -207,6 +215,15 @@ def word_encoder(path: str) -> Callable[[], Callable[[str], bytes]]:
     return lambda: WordIds.load(path).of
 
 
+def pack_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations under three limits at once: tokens, pieces, and loss-bearing tokens (those of the assistant)."""
+    from public_tokenizers import path
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").selectExpr("struct(conv_id, turn) doc_id", "text", "if(role = 'assistant', null, 0) n_loss")
+    out = pack_sequences(turns, word_encoder(path("word_bpe_49k.json")), loss_col="n_loss", max_loss=MAX_TOKENS * 3 // 4)
+    return out.select("doc_id.*", *out.columns[1:])
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 

@@ -10,7 +10,9 @@ encoded without its neighbours. Instead:
    each of its right cut (-inf: no way). A BPE model allows a piece after another exactly if the merges
    of their joined text give these two pieces again; the only way through is the library's own
    result, so a way scores 0.
-3. Scan. Max-plus products of the matrices, which are associative, leave one state at each cut.
+3. Scan. The max-plus product of matrices is associative: the products of FAN neighbours, of FAN such
+   products, and so on are made each by a task of its own, up to one matrix a text; on the way down,
+   the states at the ends of a product tell those at the cuts within it.
 4. Backtrace. Each chunk, alone, finds its pieces between its two states.
 
 Chunks are rows of their own and are spread over the cluster; only the small matrices of a text meet.
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import checkpoint, tune
 
-CHUNK = 32_768
+CHUNK, FAN = 32_768, 16
 _LOADED: dict[str, "Pieces"] = {}
 
 
@@ -116,11 +118,11 @@ class Pieces:
         return [i for p in pieces for i in ([self.score[p][1]] if p in self.score else [self.library.piece_to_id(f"<0x{b:02X}>") for b in p.encode()])]
 
 
-def cuts(text: str, chunk: int) -> list[int]:
-    """Where a normalised text is cut: every chunk characters, or up to a quarter later at a word's start."""
+def cuts(text: str, chunk: int, at_words: bool = True) -> list[int]:
+    """Where a normalised text is cut: every chunk characters, or (at_words) up to a quarter later at a word's start."""
     out, at = [0], chunk
     while at < len(text):
-        m = re.compile(r"(?<=[^▁])▁").search(text, at, min(len(text), at + chunk // 4))
+        m = re.compile(r"(?<=[^▁])▁").search(text, at, min(len(text), at + chunk // 4)) if at_words else None
         out.append(m.start() if m else at)
         at = out[-1] + chunk
     return [*out, len(text)]
@@ -135,22 +137,33 @@ def transfer(pieces: Pieces, text: str, a: int, b: int) -> list[list[float]]:
     return [[0.0 if y in got else -np.inf for y in right] for x in left for got in [pieces.ways(text, x, b, last)]]
 
 
-def path_of(matrices: list[list[list[float]]]) -> list[int]:
-    """The state at each cut on the best way through all chunks: a max-plus scan there, and one back."""
-    reach = [np.zeros(1)]
+def product(matrices: list[list[list[float]]]) -> list[list[float]]:
+    """The max-plus product of matrices of neighbouring chunks."""
+    out = np.array(matrices[0])
+    for m in matrices[1:]:
+        out = (out[:, :, None] + np.array(m)[None]).max(1)
+    return out.tolist()
+
+
+def path_of(matrices: list[list[list[float]]], x: int, y: int) -> list[int]:
+    """The state at each cut on the best way through the chunks, from state x on the left to y on the right."""
+    reach = [np.where(np.arange(len(matrices[0])) == x, 0.0, -np.inf)]
     for m in matrices:
         reach.append((reach[-1][:, None] + np.array(m)).max(0))
-    k = [int(reach[-1].argmax())]
+    if reach[-1][y] == -np.inf:
+        raise ValueError("no way through the chunks: the model has pieces across words, or isn't a BPE model")
+    k = [y]
     for m, r in zip(reversed(matrices), reversed(reach[:-1]), strict=True):
         k.append(int((r + np.array(m)[:, k[-1]]).argmax()))
     return k[::-1]
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, at_words: bool = True, fan: int = FAN) -> DataFrame:
     """(id, ids array<int>): exactly the library's ids of each row's whole text; null and empty texts have none.
 
-    model: path of a SentencePiece BPE model without pieces across words. Every input row has one
-    output row, repeated rows too. Extra columns are ignored.
+    model: path of a SentencePiece BPE model without pieces across words. at_words: cut at starts of
+    words where there are any near by. Every input row has one output row, repeated rows too. Extra
+    columns are ignored; an empty table gives an empty result.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -167,7 +180,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             for key, row, raw in zip(batch.column("id"), batch.column("row"), batch.column("text"), strict=True):
                 text = p.normal(raw.as_py())
-                at, span = cuts(text, chunk), 2 * p.longest
+                at, span = cuts(text, chunk, at_words), 2 * p.longest
                 for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     # What stands around the chunk; the text's own ends stay recognisable.
                     low, high = max(0, a - span), min(len(text), b + span)
@@ -179,10 +192,28 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             out = [json.dumps(transfer(p, t, a, b)) for t, a, b in zip(*(batch.column(c).to_pylist() for c in ("body", "a", "b")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, pa.string())], ["row", "k", "m"])
 
-    def scanned(table: pa.Table) -> pa.Table:
+    def combined(table: pa.Table) -> pa.Table:
         table = table.sort_by("k")
-        states = path_of([json.loads(x) for x in table.column("m").to_pylist()])
-        return pa.table({"row": table.column("row"), "k": table.column("k"), "x": pa.array(states[:-1], pa.int32()), "y": pa.array(states[1:], pa.int32())})
+        m = product([json.loads(x) for x in table.column("m").to_pylist()])
+        return pa.table({"row": table.column("row")[:1], "k": table.column("g")[:1], "m": pa.array([json.dumps(m)])})
+
+    def opened(matrices: pa.Table, ends: pa.Table) -> pa.Table:
+        matrices = matrices.sort_by("k")
+        states = path_of([json.loads(x) for x in matrices.column("m").to_pylist()], ends.column("x")[0].as_py(), ends.column("y")[0].as_py())
+        return pa.table({"row": matrices.column("row"), "k": matrices.column("k"), "x": pa.array(states[:-1], pa.int32()), "y": pa.array(states[1:], pa.int32())})
+
+    def scan(matrices: DataFrame) -> DataFrame:
+        """(row, k, x, y): the states at the left and right cut of each chunk."""
+        levels, n = [checkpoint(matrices)], (matrices.agg(F.max("k")).first()[0] or 0) + 1
+        group = F.floor(F.col("k") / fan).cast("int").alias("g")
+        while n > 1:
+            levels.append(checkpoint(levels[-1].select("row", "k", group, "m").groupBy("row", "g").applyInArrow(combined, "row long, k int, m string")))
+            n = -(-n // fan)
+        states = levels.pop().select("row", "k", F.lit(0).alias("x"), F.lit(0).alias("y"))
+        for level in reversed(levels):
+            ends = states.toDF("row", "g", "x", "y").groupBy("row", "g")
+            states = level.select("row", "k", group, "m").groupBy("row", "g").cogroup(ends).applyInArrow(opened, "row long, k int, x int, y int")
+        return states
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces.load(model)
@@ -201,7 +232,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     chunks = rows.where(giant).withColumn("row", F.monotonically_increasing_id()).mapInArrow(split, f"id {kind}, row long, k int, a int, b int, body string")
     # Row numbers depend on how the input is dealt out; written once, they hold when a task runs again.
     chunks = checkpoint(chunks.repartition("row", "k"))
-    states = chunks.mapInArrow(measured, "row long, k int, m string").groupBy("row").applyInArrow(scanned, "row long, k int, x int, y int")
+    states = scan(chunks.mapInArrow(measured, "row long, k int, m string"))
     parts = chunks.join(states, ["row", "k"]).mapInArrow(traced, "row long, k int, part array<int>")
     whole = parts.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "part"))), lambda x: x["part"])).alias("ids"))
     names = chunks.where("k = 0").select("row", "id")

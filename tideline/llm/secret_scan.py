@@ -16,8 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tideline.llm.common import tune
+from tideline.llm.common import boxed, checkpoint, matched, same, tune
 
 SCOPE = 300
 
@@ -107,18 +108,31 @@ def credential_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
-    """docs with every reported span replaced by mask; all rows and columns stay, texts without one unchanged."""
-    spans = credential_spans(docs, id_col, text_col).where("size(spans) > 0").select(F.col(id_col).alias("_sid"), F.col("h").alias("_h"), F.col("spans").alias("_spans"))
-    both = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_sid")) & (F.xxhash64(text_col) == F.col("_h")), "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.greatest(s["start"] - acc["at"], F.lit(0))
-        fresh = F.concat(acc["out"], F.substring(F.col(text_col), (acc["at"] + 1).cast("int"), gap.cast("int")), F.lit(mask))
-        return F.struct(F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    made = F.aggregate("_spans", start, step, lambda a: F.concat(a["out"], F.substring(F.col(text_col), (a["at"] + 1).cast("int"), F.length(text_col))))
-    return both.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(made)).drop("_sid", "_h", "_spans")
+    """docs with every reported span replaced by mask; all rows and columns stay, texts without one unchanged.
+
+    Spans that overlap become one mask. Null and empty texts have no span; an empty table stays
+    empty. Texts without a span pass by without a shuffle.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    spans = checkpoint(credential_spans(rows, "id", "text").where("size(spans) > 0").select("id", "h", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("spans")))
+    rest, hit = matched(boxed(docs, id=F.col(id_col), h=F.xxhash64(text_col)), spans, ["id", "h"])
+    hit = hit.join(spans, same(hit, spans, ["id", "h"]), "left").select("row", F.col("row")[text_col].alias("text"), "spans")
+
+    def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text, found in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
+                parts, at = [], 0
+                for s in found or []:
+                    if s["start"] >= at:
+                        parts += [text[at : s["start"]], mask]
+                    at = max(at, s["end"])
+                out.append("".join([*parts, text[at:]]) if found else text)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, batch.schema.field("text").type)], ["row", "text"])
+
+    made = hit.mapInArrow(masked, StructType([hit.schema["row"], hit.schema["text"]]))
+    both = rest.select("row", F.col("row")[text_col].alias("text")).unionAll(made)
+    return both.select(*[F.col("text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
