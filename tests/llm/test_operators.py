@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideline.llm import html_text, language_id, near_duplicates, nearest, packing, pieces, secret_scan
+from tideline.llm import common, html_text, language_id, near_duplicates, nearest, packing, pieces, secret_scan, substring_dedup
 from tideline.llm.exact_dedup import drop_exact, exact_groups
 from tideline.llm.line_dedup import covered_lines, drop_lines
 from tideline.llm.substring_dedup import cut_spans, repeated_spans
@@ -352,6 +352,183 @@ def test_pieces(frame):
     assert all(back[i] == sp.decode(sp.encode(t or "")) for i, t in rows)
 
 
+def test_pieces_cut_inside_words(frame):
+    import sentencepiece
+    from public_tokenizers import path
+
+    model = path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=model)
+    r = random.Random(14)
+    rows = [(i, "".join(r.choice("thenaiors ") for _ in range(700 + i))) for i in range(5)] + [(5, "internationalization" * 40), (5, "internationalization" * 40), (6, "x" * 900), (7, "é漢 b" * 150)]
+    enc = pieces.encode(frame(*rows), model, chunk=23, at_words=False, fan=3)
+    assert sorted((x.doc_id, list(x.ids)) for x in enc.collect()) == sorted((i, sp.encode(t)) for i, t in rows)
+    assert pieces.encode(frame((1, "a")).limit(0), model).isEmpty()
+    a, b, c = (np.where(np.random.default_rng(k).random((3, 3)) < 0.5, 0.0, -np.inf).tolist() for k in range(3))
+    assert pieces.product([pieces.product([a, b]), c]) == pieces.product([a, pieces.product([b, c])]) == pieces.product([a, b, c])
+    with pytest.raises(ValueError, match="no way"):
+        pieces.path_of([[[-np.inf]]], 0, 0)
+
+
+def test_lines_and_substrings_of_a_repeated_id(frame):
+    lines = "a\nb\nc"
+    docs = frame((1, lines), (2, "x\n" + lines), (2, "p\nq\nr\ns\nt\nu"), (2, "x\n" + lines), (3, "\n".join(f"l{k}" for k in range(50_000))), (4, ""), (None, "y\n" + lines))
+    docs = docs.selectExpr("*", "1 as _cov", "2 as n_removed", "3 as h", "4 as row", "5 as covered_", "6 as _open", "7 as _l", "8 as pos")
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in drop_lines(docs).collect() if r.doc_id != 3), key=repr)
+    assert got == sorted([(1, lines, 0), (2, "x", 3), (2, "x", 3), (2, "p\nq\nr\ns\nt\nu", 0), (4, "", 0), (None, "y\n" + lines, 0)], key=repr)
+    assert set(docs.columns) == set(drop_lines(docs).columns) - {"n_lines"}
+    once, other = " ".join(f"o{k}" for k in range(40)), " ".join(f"p{k}" for k in range(40))
+    docs = frame((1, once), (2, "z " + once), (2, other), (2, other), (2, "z " + once), (3, None), (3, " ".join(f"q{k}" for k in range(100_000)))).selectExpr("*", "1 as h", "2 as doc")
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in cut_spans(docs, repeated_spans(docs)).collect())
+    assert got == [(1, 40, 0), (2, 40, 0), (2, 40, 0), (2, 41, 40), (2, 41, 40), (3, 0, 0), (3, 100_000, 0)]
+
+
+def test_windows_with_one_hash_in_common_are_told_apart():
+    h, check = np.array([5, 5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 2, 1], np.uint32)
+    first, later = substring_dedup._settle(h, check, np.array([1, 1, 2, 2, 3]), np.array([0, 9, 0, 9, 0]))
+    assert first.tolist() == [0, 1, 4] and later.tolist() == [2, 3]
+
+
+def test_sieve_lets_marked_rows_through(spark):
+    rows = spark.range(5000).withColumn("key", F.xxhash64("id"))
+    bits = common.sieve(rows.where("id % 50 = 0"), F.col("key"))
+    got = {r.id: r.hit for r in common.sifted(rows.unionByName(rows.limit(1).selectExpr("-1L id", "cast(null as long) key")), F.col("key"), bits, "hit").collect()}
+    assert all(got[i] for i in range(0, 5000, 50)) and sum(got.values()) < 110 and got[-1] is False
+
+
+def test_clashing_names(frame):
+    docs = frame((1, "the and of token=abcdefgh1"), (2, "the and of token=abcdefgh1"), (3, "")).selectExpr("*", "1 as _gone", "2 as _h", "3 as _sid", "4 as _spans", "5 as h", "6 as row", "7 as _open", "8 as _slot", "9 as _bucket", "10 as _bits")
+    assert [tuple(r) for r in drop_exact(docs).orderBy("doc_id").collect()] == [tuple(r) for r in docs.where("doc_id > 1").orderBy("doc_id").collect()]
+    assert near_duplicates.drop_near(docs).columns == secret_scan.redact(docs).columns == language_id.keep_identified(docs).columns == docs.columns
+    assert {r.doc_id: r.text for r in secret_scan.redact(docs).collect()} == {1: "the and of [SECRET]", 2: "the and of [SECRET]", 3: ""}
+
+
+def test_a_family_of_near_copies_costs_a_row_a_member(frame, monkeypatch):
+    r = random.Random(21)
+    base = words(r, 200).split()
+    rows = [(i, " ".join(base[:k] + [f"n{i}"] + base[k + 1 :])) for i in range(600) for k in [r.randrange(200)]] + [(1000 + i, words(r, 200)) for i in range(20)]
+    sent, links = [], near_duplicates._links
+    monkeypatch.setattr(near_duplicates, "_links", lambda rows, *a: sent.append(rows.count()) or links(rows, *a))
+    got = near_duplicates.jaccard_components(frame(*rows), width=3, percent=90).toPandas()
+    assert set(got[got.doc_id < 1000].component_id) == {0} and (got[got.doc_id >= 1000].component_id == got[got.doc_id >= 1000].doc_id).all()
+    assert sum(sent) < 3 * len(rows)
+
+
+def test_packing_conversations(frame, spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    r = random.Random(3)
+    tok = Tokenizer.from_file(path("word_bpe_49k.json"))
+    rows = [(c, t, ("user", "assistant")[t % 2], r.choice([words(r, r.randint(1, 900)), "", None])) for c in range(40) for t in range(4)] + [(99, 1, "assistant", words(r, 9000)), (99, 1, "assistant", "q" * 3000)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    out = packing.pack_conversations(spark, str(tmp_path)).toPandas()
+    most = packing.MAX_TOKENS * 3 // 4
+    total = sum(len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for *_, t in rows)
+    assert out.length.sum() == total and out[out.start == 0].doc_tokens.sum() == total
+    loss = out[out.turn % 2 == 1].groupby("sequence_id").length.sum()
+    assert loss.max() <= most and out.groupby("sequence_id").length.sum().max() <= 2048
+    assert out.groupby("sequence_id").size().max() <= packing.MAX_SEGMENTS
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert list(s.offset) == list(s.length.cumsum() - s.length)
+    again = packing.pack_sequences(frame((1, "a b"), (1, "a b"), (2, None)), packing.word_encoder(path("word_bpe_49k.json"))).toPandas()
+    assert sorted(again[again.start == 0].doc_id) == [1, 1, 2] and packing.pack_sequences(frame((1, "a")).limit(0), packing.word_encoder(path("word_bpe_49k.json"))).isEmpty()
+    known = packing.WordIds(path("word_bpe_49k.json"))
+    for k in range(300):
+        known.of("x" * (65 + k) + f" w{k}")
+    assert max(map(len, known)) <= packing.LONG
+
+
+def test_secrets_equal_brute_force(frame):
+    r = random.Random(12)
+    low, mixed = "0123456789abcdef", "ABCDEFGHabcdefgh0123456789"
+    some = lambda a, n: "".join(r.choice(a) for _ in range(n))
+
+    def part():
+        k = r.randrange(10)
+        return [words(r, r.randint(1, 60)), "password: " + some(mixed, r.randint(5, 14)), 'API_key" = \'' + some(mixed, 9), "AKIA" + some("ABCZ019", r.randint(8, 20)), some(low, r.randint(28, 70)), some(mixed, 40), "client_id=" + some(mixed, 8), "https://db.example.com/" + some(low, 5), "é\U0001f600", "secret token=abcd"][k]
+
+    texts = {i: r.choice([" ", "\n", ""]).join(part() for _ in range(r.randint(0, 25))) for i in range(150)} | {500: None, 501: "", 502: words(r, 60_000) + " " + some(low, 40)}
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
+    weak = {"weak_id": secret_scan.WEAK_ID, "weak_secret": secret_scan.WEAK_SECRET, "weak_endpoint": secret_scan.WEAK_END}
+    order = ["assign", "access", "hex", *weak]
+    want = {}
+    for i, t in texts.items():
+        t = t or ""
+        base = [("assign", m.start(), m.end()) for m in assign.finditer(t) if len(m[2]) >= 8]
+        base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+        base += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+        parts = base + [x for k, p in weak.items() for m in p.finditer(t) for x in [(k, m.start(), m.end())] if not any(s < x[2] and x[1] < e for _, s, e in base)]
+        near = lambda x, kind: any(y is not x and secret_scan.PART[y[0]] == kind and y[2] >= x[1] - 300 and y[1] <= x[2] + 300 for y in parts)
+        need = {"id": ["secret"], "secret": ["id"], "endpoint": ["id", "secret"]}
+        told = [x for x in parts if not x[0].startswith("weak") or all(near(x, k) for k in need[secret_scan.PART[x[0]]])]
+        want[i] = sorted(told, key=lambda x: (x[1], order.index(x[0]), x[2]))
+    got = {x.doc_id: [(s["kind"], s["start"], s["end"]) for s in x.spans] for x in secret_scan.credential_spans(frame(*texts.items())).collect()}
+    assert got == want and sum(x[0].startswith("weak") for v in want.values() for x in v) > 30
+    assert secret_scan.credential_spans(frame((1, "a")).limit(0)).isEmpty()
+
+
+def _identified(docs, model):
+    """Language and confidence by plain Python: docs are (text, declared, url, host)."""
+    names, out, votes = model["languages"], [], []
+    size = len(names)
+    suffix = language_id.SUFFIX_LANGUAGE
+    told = lambda x, truth: [np.log(truth if x == n else (1 - truth) / (size - 1)) if x in names else -np.log(size) for n in names]
+    for text, declared, url, host in docs:
+        b = [x + 32 if 65 <= x <= 90 else x if x >= 128 or 97 <= x <= 122 else 32 for x in (text or "").encode()]
+        grams = [b[i : i + 3] for i in range(len(b) - 2) if b[i + 1] != 32]
+        slots = [(((g[0] * 0x9E3779B1) ^ (g[1] * 0x85EBCA77) ^ (g[2] * 0xC2B2AE3D)) % 2**32) >> 16 for g in grams]
+        share = min(len(grams), language_id.EFFECTIVE) / max(1, len(grams))
+        m = re.match(r"[a-z]+://[^/?#:]*\.([a-z]{2})(?:[/?#:]|$)", url or "")
+        e = [share * sum(float(model["tri"][s, k]) for s in slots) + x + y for k, (x, y) in enumerate(zip(told(declared, language_id.DECLARED), told(suffix.get(m and m[1]), language_id.SUFFIX)))]
+        single = share * sum(float(model["byte"][x]) for g in grams for x in g)
+        out.append((len(grams), e, single + np.log(language_id.UND) - 2 * np.log(size) - language_id.MARGIN * min(len(grams), language_id.EFFECTIVE), host or ""))
+        if grams:
+            votes.append((host or "", int(np.argmax(e))))
+    domain = lambda h: h.split(".", 1)[1] if "." in h else "*"
+    label = lambda h: domain(h).rsplit(".", 1)[-1]
+    count = lambda own: [sum(1 for h, v in votes if v == k and own(h)) for k in range(size)]
+    pulled = lambda c, up: [(x + language_id.PULL * u) / (sum(c) + language_id.PULL) for x, u in zip(c, up)]
+    found = []
+    for n, e, lost, host in out:
+        base = [(x + 1) / (len(votes) + size) for x in count(lambda h: True)]
+        up = pulled(count(lambda h, host=host: label(h) == label(host)), base)
+        up = pulled(count(lambda h, host=host: domain(h) == domain(host)), up)
+        p = [x + np.log(y) for x, y in zip(e, pulled(count(lambda h, host=host: h == host), up))]
+        if not n or max(p) < lost:
+            found.append(("und", 0.0))
+        else:
+            found.append((names[int(np.argmax(p))], 1 / (np.exp(lost - max(p)) + sum(np.exp(x - max(p)) for x in p))))
+    return found
+
+
+def test_language_evidence_equals_brute_force_and_decides(spark):
+    r = random.Random(31)
+    en, fr, both = "the and of with this that from have".split(), "le la des est une pour avec dans".split(), "nation important table image".split()
+    train = [(i, " ".join(r.choice((en if i % 2 else fr) + both) for _ in range(30)), "en" if i % 2 else "fr") for i in range(400)]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    # A text that both languages explain alike: only the other evidence can decide.
+    score = lambda t: abs(np.subtract(*language_id_scores(model, t)))
+    vague = min((" ".join(r.choice(en + fr + both) for _ in range(3)) for _ in range(3000)), key=score)
+    assert score(vague) < 0.2
+    blog = [(" ".join(r.choice(x) for _ in range(20)), None, None, h) for x, h in ((en, "a.english.org"), (fr, "b.french.org")) for _ in range(40)]
+    docs = [*blog, (vague, "fr", None, "x.one.com"), (vague, "en", None, "x.one.com"), (vague, "xx", "https://www.site.fr/p", "y.one.com"), (vague, None, "http://site.co.uk:80/p", "y.one.com"), (vague, None, None, "a.english.org"), (vague, None, None, "b.french.org"), (vague, None, None, "new.french.org"), (vague, None, None, "new.english.org"), (None, "en", None, None), ("", "fr", None, None), ("12 34", "fr", None, None), ("qzx wvk " * 5, "en", None, None), ("the and of " * 20_000, None, None, "z")]
+    docs = [*docs, docs[-2], docs[-2]]
+    df = spark.createDataFrame([(i, *d) for i, d in enumerate(docs)], "doc_id long, text string, said string, at string, site string").selectExpr("*", "'q' as host", "1 as declared", "2 as ll", "3 as domain", "4 as c0")
+    got = {x.doc_id: (x.language, x.confidence) for x in language_id.identify(df, model, declared=F.col("said"), url=F.col("at"), host=F.col("site")).collect()}
+    want = _identified(docs, model)
+    for i, (language, confidence) in enumerate(want):
+        assert got[i][0] == language and abs(got[i][1] - confidence) < 1e-4, (docs[i], got[i], want[i])
+    assert [got[i][0] for i in range(80, 88)] == ["fr", "en", "fr", "en", "en", "fr", "fr", "en"]
+    assert [got[i][0] for i in range(88, 91)] == ["und"] * 3
+
+
+def language_id_scores(model, text):
+    import pyarrow as pa
+
+    slot = language_id.trigrams(pa.array([text]))[1]
+    return [float(model["tri"][slot, k].sum()) for k in range(2)]
+
+
 def test_pipeline(spark, tmp_path, corpus):
     import corpus_pipeline
 
