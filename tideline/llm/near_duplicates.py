@@ -7,7 +7,8 @@ the set). Two sets that link share at least the smaller of their bounds among th
 counts decide only the order, and so the speed: any order gives the same links.
 
 Representatives. Each prefix shingle names the smallest class that has it, and a class has the one that
-most of its shingles name for its representative. The two are compared at once. What links with the
+most of its shingles name for its representative. The two are compared at once if that many shingles
+make a link likely. What links with the
 same representative is one core: its members need not be compared with each other any more, so a
 large family of near copies costs a row a member.
 
@@ -32,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import checkpoint, components, mix, skew_join, text_bytes, text_slices, tune, window_hashes, without, word_hashes
+from tideline.llm.common import checkpoint, components, matched, mix, skew_join, text_bytes, text_slices, tune, window_hashes, without, word_hashes
 
 #: Prefix shingles that linked sets must share: a SHARE-th of the smaller set, LEAST at least.
 SHARE, LEAST = 20, 2
 #: Counters of the shingle table (4 bytes each), in blocks.
 SLOTS, BLOCK = 1 << 20, 1 << 15
 SLICE = 4 << 20
-#: Members of a group's chunk, and queries that meet it in one block.
-CHUNK, QUERIES = 256, 1024
+#: Members of a group's chunk, queries that meet it in one block, and those that meet a representative.
+CHUNK, QUERIES, FOLLOWERS = 256, 512, 256
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,13 +162,18 @@ def _links(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.repartition(*keys).sortWithinPartitions(*keys, "query").mapInArrow(opened, "a long, b long").distinct()
 
 
+def _with_texts(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows (id) with their texts; only texts that a row asks for are shuffled."""
+    rows = checkpoint(rows)
+    return skew_join(rows, matched(texts, rows.select("id"), ["id"])[1], ["id"])
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (a, b) among pairs (id, home) of a class and its representative, which is shipped once for each QUERIES of its classes."""
-    sizes = pairs.groupBy("home").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
+    """Links (a, b) among pairs (id, home) of a class and its representative, which is shipped once for each FOLLOWERS of its classes."""
+    sizes = pairs.groupBy("home").agg(F.ceil(F.count("*") / FOLLOWERS).alias("blocks"))
     queries = skew_join(pairs, sizes, ["home"]).select("home", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("query"), "id")
     members = sizes.select("home", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), F.col("home").alias("id"))
-    rows = queries.unionAll(members).withColumn("chunk", F.lit(0).cast("long"))
-    return _links(skew_join(rows, texts, ["id"]), width, percent)
+    return _links(_with_texts(queries.unionAll(members).withColumn("chunk", F.lit(0).cast("long")), texts), width, percent)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -190,13 +196,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     shared = tokens.groupBy("token").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").selectExpr("token", "hub.id hub", "hub.n hub_n")
     tokens = checkpoint(skew_join(tokens, shared, ["token"]))
-    stars = tokens.where(f"id <> hub and {alike}").groupBy("id", "hub").agg(F.count("*").alias("m"))
-    least = checkpoint(stars.groupBy("id").agg(F.max(F.struct("m", (-F.col("hub")).alias("hub"))).alias("best")).select("id", (-F.col("best.hub")).alias("home")))
+    stars = tokens.where(f"id <> hub and {alike}").groupBy("id", "hub").agg(F.count("*").alias("m"), F.first(F.expr("least(n, hub_n)")).alias("low"))
+    least = stars.groupBy("id").agg(F.max(F.struct("m", (-F.col("hub")).alias("hub"), "low")).alias("best"))
+    least = checkpoint(least.select("id", (-F.col("best.hub")).alias("home"), F.expr(f"best.m >= {_bound('best.low')}").alias("likely")))
 
-    near = checkpoint(_verified(least, texts, width, percent))
+    near = checkpoint(_verified(least.where("likely").select("id", "home"), texts, width, percent))
     core = near.select(F.col("a").alias("id"), F.col("b").alias("core"))
     heads = core.select("core").distinct().selectExpr("core id", "core head")
-    homes = skew_join(tokens.select("id", "n").distinct(), least, ["id"], "left")
+    homes = skew_join(tokens.select("id", "n").distinct(), least.select("id", "home"), ["id"], "left")
     homes = skew_join(homes, core, ["id"], "left")
     homes = skew_join(homes, heads, ["id"], "left")
     homes = skew_join(homes, least.selectExpr("id home", "home next"), ["home"], "left")
@@ -213,7 +220,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = asked.groupBy("home", "chunk").agg(F.ceil(F.count("*") / QUERIES).alias("blocks"))
     queries = skew_join(asked, blocks, ["home", "chunk"]).select("home", "chunk", F.pmod(F.xxhash64("id"), "blocks").alias("block"), F.lit(True).alias("query"), "id")
     members = skew_join(groups, blocks, ["home", "chunk"]).select("home", "chunk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(False).alias("query"), "id")
-    linked = components(near.unionAll(_links(skew_join(queries.unionAll(members), texts, ["id"]), width, percent)))
+    linked = components(near.unionAll(_links(_with_texts(queries.unionAll(members), texts), width, percent)))
 
     classes = skew_join(sets, reps, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     out = skew_join(classes, linked.withColumnRenamed("id", "rep"), ["rep"], "left")
