@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from tideline.functions.windows import alpha_of, diff, lag_, lead_, pct_change, rolling_max, rolling_mean, rolling_min, rolling_std, safe_div, series, with_ewm, zero_to_null
+from tideline.operators.align import merge_macro
 from tideline.schema import FEATURE_COLUMNS, KEYS, ORDER
+from tideline.sources.bars import append_bar, tail_n
 
 
 def log_return(w: WindowSpec) -> Column:
@@ -145,6 +147,13 @@ def eda_features(bars: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER
     return out.withColumns({**lags("log_return", "lag", range(1, 6), w), "bar_dynamics_lag_1": lag_(F.col("bar_dynamics"), 1, w), "target_return": target_log_return(w)}).na.drop("any")
 
 
+def next_features(history: DataFrame, new_bars: DataFrame, n: int = 20, macro: DataFrame | None = None, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
+    """The last n feature rows of every key after a new bar: the input of a forecast. Macro values come with the bars, or from macro."""
+    bars = append_bar(history, new_bars, keys, order)
+    bars = merge_macro(bars, macro, keys=keys, order=order) if macro is not None else bars
+    return tail_n(compute_features(bars, keys, order), n, keys, order)
+
+
 def since(bars: DataFrame, start, warmup: int = 700, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
     """Bars from start on with the warm-up rows before it that features need (EWM tails included)."""
     w = series(keys, F.desc(order))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -10,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tideline.schema import KEYS, ORDER
 
+#: An exponential mean's chunk: weights fade by exp(-FADE) in it.
+FADE = 100.0
+
 
 def series(keys: Sequence[str] = KEYS, order: str = ORDER) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -80,27 +82,50 @@ def alpha_of(com: float | None = None, span: float | None = None) -> float:
 
 
 def with_ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    """Adds exponential means out: (column, alpha) with y0 = x0, y = (1 - alpha) * y + alpha * x.
+    """Adds exponential means out: (column, alpha) with y0 = x0, y = d * y + (1 - d) * x.
 
-    Leading nulls give null; a null later on carries the last mean. The recursion is written in
-    closed form over chunks so long that what came before the previous chunk is below double
-    precision: a running sum in each chunk, and the previous chunk's last value carried in.
+    d is 1 - alpha; g rows after the last value it is r / (r + alpha) with r = (1 - alpha) ** g, so a
+    gap lets the old mean fade. Leading nulls give null; a null later on carries the last mean. The
+    recursion is written in closed form over chunks in which the weights fade by exp(-FADE), so that
+    what came before the previous chunk is below double precision: a running sum in each chunk, and
+    the previous chunk's last value carried in. All columns share each of the four passes.
     """
     w = series(keys, order)
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = df
-    for name, (column, alpha) in columns.items():
-        r = 1 - alpha
-        if r <= 0:
-            out = out.withColumn(name, ffill(F.col(column), w))
-            continue
-        size = math.ceil(-100 / math.log(r))
-        x = F.col(column)
-        out = out.withColumn("_p", F.count(x).over(past) - 1).withColumn("_c", F.floor(F.col("_p") / size)).withColumn("_j", F.col("_p") % size)
-        weight = F.when(F.col("_p") == 0, F.lit(1.0)).otherwise(F.lit(alpha))
-        chunk = Window.partitionBy(*keys, "_c").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        out = out.withColumn("_y", F.pow(F.lit(r), F.col("_j")) * F.sum(weight * x * F.pow(F.lit(r), -F.col("_j"))).over(chunk))
-        end = F.last(F.when(x.isNotNull() & (F.col("_j") == size - 1), F.col("_y")), True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-        out = out.withColumn("_e", end).withColumn(name, F.when(F.col("_p") >= 0, F.col("_y") + F.pow(F.lit(r), F.col("_j") + 1) * F.coalesce("_e", F.lit(0.0))))
-        out = out.drop("_p", "_c", "_j", "_y", "_e")
-    return out
+    past, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    names = list(columns)
+    x = {n: F.col(c) for n, (c, _) in columns.items()}
+    at = F.row_number().over(w)
+    out = df.withColumn("_at", at)
+    out = out.withColumns({f"_g_{n}": F.when(x[n].isNotNull(), F.col("_at") - F.last(F.when(x[n].isNotNull(), F.col("_at")), True).over(before)) for n in names})
+    # One minus d: all of it for the first value.
+    out = out.withColumns({f"_w_{n}": F.when(x[n].isNotNull(), F.when(F.col(f"_g_{n}").isNull(), 1.0).when(F.col(f"_g_{n}") == 1, alpha).otherwise(alpha / (F.pow(F.lit(1 - alpha), F.col(f"_g_{n}")) + alpha))) for n, (_, alpha) in columns.items()})
+    out = out.withColumns({f"_l_{n}": F.sum(F.when(F.col(f"_w_{n}") < 1, F.ln(1 - F.col(f"_w_{n}"))).otherwise(F.when(F.col(f"_g_{n}").isNotNull(), -10.0 * FADE).otherwise(0.0))).over(past) for n in names})
+    out = out.withColumns({f"_c_{n}": F.floor(-F.col(f"_l_{n}") / FADE) for n in names})
+
+    def chunk(n: str):
+        return Window.partitionBy(*keys, f"_c_{n}").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    rest = {n: F.col(f"_l_{n}") + FADE * F.col(f"_c_{n}") for n in names}
+    out = out.withColumns({f"_y_{n}": F.exp(rest[n]) * F.sum(F.col(f"_w_{n}") * x[n] * F.exp(-rest[n])).over(chunk(n)) for n in names})
+    ends = {f"_e_{n}": F.when(F.lead(f"_c_{n}").over(w) > F.col(f"_c_{n}"), F.struct(f"_y_{n}", f"_l_{n}")) for n in names}
+    out = out.withColumns(ends).withColumns({f"_e_{n}": F.last(f"_e_{n}", True).over(before) for n in names})
+    carried = {n: F.coalesce(F.exp(F.col(f"_l_{n}") - F.col(f"_e_{n}")[f"_l_{n}"]) * F.col(f"_e_{n}")[f"_y_{n}"], F.lit(0.0)) for n in names}
+    out = out.withColumns({n: F.coalesce(F.col(f"_y_{n}"), F.when(F.col(f"_e_{n}").isNotNull(), 0.0)) + carried[n] for n in names})
+    return out.drop("_at", *[f"_{k}_{n}" for k in "gwlcye" for n in names])
+
+
+def with_running(df: DataFrame, sums: dict[str, Column], keys: Sequence[str], order: str, parts: int = 64) -> DataFrame:
+    """Adds sums over all earlier rows of a key (0 for its first), with no key in one task.
+
+    Rows are dealt by ranges of the order between quantiles; a range adds the sums of the ranges
+    before it, of which a key has `parts` at most.
+    """
+    cuts = sorted(set(df.approxQuantile(order, [k / parts for k in range(1, parts)], 0.002)))
+    place = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(order))) if cuts else F.lit(0)
+    rows = df.withColumn("_part", place)
+    inside = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = rows.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    whole = whole.select(*keys, "_part", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}") for n in sums])
+    out = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()}).join(whole, [*keys, "_part"])
+    return out.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_part", *[f"_{n}" for n in sums])

@@ -55,10 +55,12 @@ def merge_macro(bars: DataFrame, macro: DataFrame, column: str = "yield_differen
     w = series(keys, order)
     if mode == "equi_ffill":
         return bars.drop(column).join(macro.select(order, column), order, "left").withColumn(column, ffill(F.col(column), w))
-    prints = bars.select(*keys).distinct().join(macro.select(order, F.col(column).alias("_v")))
-    both = bars.drop(column).withColumn("_bar", F.lit(1)).unionByName(prints.withColumn("_bar", F.lit(0)), allowMissingColumns=True)
-    at = Window.partitionBy(*keys).orderBy(order, "_bar").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(column, F.last("_v", True).over(at)).where("_bar = 1").drop("_bar", "_v")
+    # The window has no key: one row a distinct time of the bars, and the prints, as many as the calendar has.
+    times = bars.select(order).distinct().withColumn("_bar", F.lit(1))
+    both = times.unionByName(macro.select(order, F.col(column).alias("_v"), F.lit(0).alias("_bar")), allowMissingColumns=True)
+    at = Window.orderBy(order, "_bar").rowsBetween(Window.unboundedPreceding, 0)
+    known = both.withColumn(column, F.last("_v", True).over(at)).where("_bar = 1").select(order, column)
+    return bars.drop(column).join(known, order, "left")
 
 
 def align_spread(long: DataFrame, left_id: str = "us10y", right_id: str = "de10y", order: str = ORDER) -> DataFrame:

@@ -14,6 +14,7 @@ from tideline.operators.protocol import apply_lag_pca
 from tideline.schema import FEATURE_COLUMNS, KEYS
 from tideline.sources.bars import backfill, tail_n
 
+# The least mean confidence of an agreement, and the label below it.
 LOW_CONFIDENCE, MIXED = 0.52, "MIXED / LOW CONFIDENCE"
 
 
@@ -79,5 +80,5 @@ def hit_rate(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def display_columns(scored: DataFrame) -> DataFrame:
     percent = lambda c: F.when(F.col(c).isNull(), "—").otherwise(F.format_string("%+.4f%%", F.col(c)))
-    confidence = F.when(F.col("pred_confidence").isNull(), "—").otherwise(F.format_string("%.1f%%", F.col("pred_confidence") * 100))
+    confidence = F.when(F.col("pred_confidence").isNull(), "—").otherwise(F.format_string("%.1f%%", F.bround(F.col("pred_confidence") * 100, 1)))
     return scored.select("symbol", "as_of_date", "forecasting_date", "pred_direction", percent("pred_return_pct").alias("predicted"), confidence.alias("confidence"), percent("actual_return_pct").alias("actual"), "outcome")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.windows import safe_div
+from tideline.functions.windows import safe_div, with_running
 from tideline.schema import KEYS
 
 
@@ -23,10 +23,10 @@ def prf(df: DataFrame, y: str, p: str, keys: Sequence[str] = KEYS) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str, s: str, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Exact, ties count half; null with one class only. Rows collapse to distinct scores before the sort."""
+    """Exact, ties count half; null with one class only. Rows collapse to distinct scores, which are dealt by ranges."""
     by = df.where(F.col(y).isNotNull() & F.col(s).isNotNull()).groupBy(*keys, s).agg(F.sum(F.col(y).cast("double")).alias("_p"), F.sum(1.0 - F.col(y)).alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(s).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return by.withColumn("_u", F.col("_p") * (below + F.col("_n") / 2)).groupBy(*keys).agg(safe_div(F.sum("_u"), F.sum("_p") * F.sum("_n")).alias("roc_auc"))
+    by = with_running(by, {"_below": F.col("_n")}, keys, s)
+    return by.withColumn("_u", F.col("_p") * (F.col("_below") + F.col("_n") / 2)).groupBy(*keys).agg(safe_div(F.sum("_u"), F.sum("_p") * F.sum("_n")).alias("roc_auc"))
 
 
 def regression_errors(df: DataFrame, y: str, p: str, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 import random
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
@@ -11,8 +12,8 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.metrics import accuracy, prf, regression_errors, roc_auc
@@ -41,10 +42,15 @@ def scored(model, df: DataFrame) -> DataFrame:
 
 def holdout(df: DataFrame, model, label: str = "target_direction") -> DataFrame:
     """One row: accuracy, precision, recall, f1, roc_auc over all rows."""
-    s = scored(model, df).withColumn("_", F.lit(1)).persist()
+    s = _shared(scored(model, df).select(label, "prediction", "probability", F.lit(1).alias("_")))
     return accuracy(s, label, "prediction", ["_"]).join(prf(s, label, "prediction", ["_"]), "_").join(roc_auc(s, label, "probability", ["_"]), "_").drop("_")
 
 
+def _shared(df: DataFrame) -> DataFrame:
+    """A label and scores, written once where the session has a folder for that, else kept in memory."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+
+
 class HuberModel:
     """A boosted sum of regression trees; each step adds the value of a row's leaf."""
 
@@ -57,6 +63,20 @@ class HuberModel:
             df = self._step(df, tree, values, out)
         return df.drop("_f")
 
+    def save(self, path: str) -> None:
+        """Writes the trees, and the rest as one row of JSON."""
+        for k, (tree, _) in enumerate(self.steps):
+            tree.write().overwrite().save(f"{path}/tree-{k}")
+        rest = json.dumps({"columns": self.columns, "start": self.start, "rate": self.rate, "leaves": [list(v.items()) for _, v in self.steps]})
+        SparkSession.active().createDataFrame([(rest,)], "value string").write.mode("overwrite").text(f"{path}/huber")
+
+    @classmethod
+    def load(cls, path: str) -> HuberModel:
+        rest = json.loads(SparkSession.active().read.text(f"{path}/huber").first()[0])
+        out = cls(rest["columns"], rest["start"], rest["rate"])
+        out.steps = [(DecisionTreeRegressionModel.load(f"{path}/tree-{k}"), {a: b for a, b in v}) for k, v in enumerate(rest["leaves"])]
+        return out
+
     def _step(self, df: DataFrame, tree, values: dict[float, float], out: str) -> DataFrame:
         pairs = F.create_map(*[F.lit(float(x)) for p in values.items() for x in p])
         return tree.transform(df).withColumn(out, F.col(out) + self.rate * F.coalesce(pairs[F.col("_leaf")], F.lit(0.0))).drop("_leaf", "_t")
@@ -151,8 +171,6 @@ def _by_symbol(order: str):
 
 
 def importances(model, columns: Sequence[str]) -> DataFrame:
-    from pyspark.sql import SparkSession
-
     values = model.stages[-1].featureImportances.toArray().tolist()
     return SparkSession.active().createDataFrame(list(zip(columns, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"))
 
@@ -162,10 +180,29 @@ def ablate(train: DataFrame, test: DataFrame, columns: Sequence[str], column: st
     return tuple(holdout(test, fit_direction(train, cols, label, **params), label) for cols in (list(columns), [c for c in columns if c != column]))
 
 
-def fit_two_head(seqs: DataFrame, reg: float = 0.01, seq: str = "seq"):
-    """Two linear heads over flattened sequences: (return model, direction model). Score with score_two_head."""
+def fit_two_head(seqs: DataFrame, val: DataFrame | None = None, regs: Sequence[float] = (0.3, 0.1, 0.03, 0.01), seq: str = "seq"):
+    """Two linear heads over flattened sequences: (return model, direction model). Score with score_two_head.
+
+    Of the regularisations each head takes the one with the least loss on val, as early stopping
+    would; without val the last one.
+    """
     flat = seqs.withColumn("features", array_to_vector(F.flatten(seq))).persist()
-    return LinearRegression(labelCol="target_return", regParam=reg, predictionCol="predicted_return").fit(flat), LogisticRegression(labelCol="target_direction", regParam=reg, maxIter=30).fit(flat)
+    held = val.withColumn("features", array_to_vector(F.flatten(seq))).persist() if val is not None else None
+    returns = [LinearRegression(labelCol="target_return", regParam=r, predictionCol="predicted_return").fit(flat) for r in regs]
+    directions = [LogisticRegression(labelCol="target_direction", regParam=r, maxIter=30).fit(flat) for r in regs]
+
+    def mse(m) -> float:
+        return m.transform(held).agg(F.avg(F.pow(F.col("target_return") - F.col("predicted_return"), 2))).first()[0] or 0.0
+
+    def log_loss(m) -> float:
+        p = vector_to_array("probability")[F.col("target_direction").cast("int")]
+        return m.transform(held).agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))).first()[0] or 0.0
+
+    best = (returns[-1], directions[-1]) if held is None else (min(returns, key=mse), min(directions, key=log_loss))
+    for df in (flat, held):
+        if df is not None:
+            df.unpersist()
+    return best
 
 
 def score_two_head(seqs: DataFrame, heads, seq: str = "seq") -> DataFrame:

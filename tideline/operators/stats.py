@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.windows import lag_, safe_div, series
+from tideline.functions.windows import lag_, safe_div, series, with_running
 from tideline.schema import KEYS, ORDER
 
 
@@ -67,8 +67,9 @@ def probit(p: Column) -> Column:
 
 def qq_normal(df: DataFrame, column: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Normal Q-Q line a key: slope, intercept and correlation of ordered values and normal order medians."""
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(column).isNotNull()).withColumn("_i", F.row_number().over(w.orderBy(column))).withColumn("_n", F.count("*").over(w))
+    rows = df.where(F.col(column).isNotNull()).select(*keys, column)
+    rows = with_running(rows, {"_i": F.lit(1)}, keys, column).withColumn("_i", F.col("_i") + 1)
+    rows = rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")), list(keys))
     end = F.pow(F.lit(0.5), 1 / F.col("_n"))
     place = F.when(F.col("_i") == F.col("_n"), end).when(F.col("_i") == 1, 1 - end).otherwise((F.col("_i") - 0.3175) / (F.col("_n") + 0.365))
     rows = rows.withColumn("_q", probit(place))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +12,7 @@ from tideline.functions import features as fe
 from tideline.functions import windows as win
 from tideline.operators import align, forecast, metrics, models, protocol, stats
 from tideline.plans.tables import SQL_MACRO, SQL_PRED, bars_daily, bars_hourly, macro_daily, macro_long, predictions, sql_bars
-from tideline.schema import FEATURE_COLUMNS, LAG_COLUMNS, model_input_columns
+from tideline.schema import FEATURE_COLUMNS, LAG_COLUMNS, inputs
 from tideline.sources import bars as src
 from tideline.sources import tables
 from tideline.streaming.streams import stream_bars
@@ -108,7 +108,8 @@ def oscillators(spark, d):
     return r6(df.withColumn("Stoch_D", win.rolling_mean(F.col("Stoch_K"), 3, w)).select("symbol", "ts", "Stoch_K", "Stoch_D", "Williams_R", "ROC_10"))
 
 
-EWM = f"""RECURSIVE {BARS},
+def ewm_sql(bars: str) -> str:
+    return f"""RECURSIVE {bars},
 num AS (SELECT *, row_number() OVER s AS i, close - lag(close) OVER s AS move,
   greatest(high - low, abs(high - lag(close) OVER s), abs(low - lag(close) OVER s)) AS tr FROM bars {W}),
 e AS (
@@ -121,20 +122,26 @@ e AS (
 ewm AS (SELECT n.*, e.atr, e.f - e.w AS macd, e.sig, e.g, e.l FROM num n JOIN e ON n.symbol = e.symbol AND n.i = e.i)"""
 
 
+EWM = ewm_sql(BARS)
+
+
 @query(f"WITH {EWM} SELECT symbol, ts, round(atr, 3) AS ATR_14, round(100 - 100 / nullif(1 + g / nullif(l, 0), 0), 6) AS RSI_14, round(macd, 3) AS MACD, round(sig, 3) AS MACD_signal, round(macd - sig, 3) AS MACD_hist FROM ewm")
 def atr_rsi_macd(spark, d):
     out = fe.with_macd(fe.with_rsi(fe.with_atr(bars_daily(spark, d))))
     return out.select("symbol", "ts", F.round("RSI_14", 6).alias("RSI_14"), *[F.round(c, 3).alias(c) for c in ("ATR_14", "MACD", "MACD_signal", "MACD_hist")])
 
 
-_FS1 = f"""{EWM}, base AS (SELECT *, ln(close / lag(close) OVER s) AS log_return, (high - low) / nullif(open, 0) AS bar_dynamics FROM ewm {W}),
+def fs1_sql(bars: str) -> str:
+    return f"""{ewm_sql(bars).replace("RECURSIVE ", f"RECURSIVE {SQL_MACRO}, ", 1)}, base AS (SELECT *, ln(close / lag(close) OVER s) AS log_return, (high - low) / nullif(open, 0) AS bar_dynamics FROM ewm {W}),
 merged AS (SELECT b.*, last_value(u.v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY b.ts) AS yield_differential FROM base b LEFT JOIN urgent u ON b.ts = u.ts),
 fs AS (SELECT symbol, ts, open, high, low, close, {num('log_return', 'log_return')}, {', '.join(num(roll('avg', 'close', n), f'SMA_{n}') for n in (21, 50, 100, 200))}, {num(roll('stddev_samp', 'log_return', 20), 'volatility_20')},
   {num('bar_dynamics', 'bar_dynamics')}, {', '.join(num(f'lag({x}, {k}) OVER s', f'{p}_{k}') for k in (1, 2, 3) for x, p in (('log_return', 'return_lag'), ('bar_dynamics', 'dynamics_lag')))},
   {num(f'sin({_DAY} * 2 * pi() / 7)', 'day_sin')}, {num(f'cos({_DAY} * 2 * pi() / 7)', 'day_cos')}, {num('sin(month(ts) * 2 * pi() / 12)', 'month_sin')}, {num('cos(month(ts) * 2 * pi() / 12)', 'month_cos')},
   round(atr, 3) AS ATR_14, {num(div(f'4 * {_STD20}', _AVG20), 'BB_width')}, {num('yield_differential', 'yield_differential')}, tick_volume,
   {num('(lead(close) OVER s - close) / close * 100', 'target_return')} FROM merged {W})"""
-_FS1 = _FS1.replace("RECURSIVE ", f"RECURSIVE {SQL_MACRO}, ", 1)
+
+
+_FS1 = fs1_sql(BARS)
 
 
 def _with_macro(spark, d) -> DataFrame:
@@ -159,19 +166,39 @@ def targets_variants(spark, d):
     return r6(df.select("symbol", "ts", "ret", fe.target_direction(F.col("ret")).alias("direction"), fe.target_updown(w, "zero").alias("updown_zero"), fe.target_log_return(w).alias("log_ret")))
 
 
-@query()
+def some(columns: dict[str, str], source: str, digits: dict[str, int] | None = None) -> str:
+    """SQL for the rows whose columns are all there, rounded."""
+    rounded = ", ".join(f"round({c}, {(digits or {}).get(c, 6)}) AS {c}" if kind == "n" else c for c, kind in columns.items())
+    return f"SELECT {rounded} FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)}"
+
+
+_ROW = {"symbol": "", "ts": "", "open": "", "high": "", "low": "", "close": "", "tick_volume": ""}
+_UP = "(lead(close) OVER s > close)::INT AS target"
+_SMAS = ", ".join(f"{roll('avg', 'close', n)} AS SMA_{n}" for n in (21, 50, 100, 200))
+_BASIC = {**_ROW, **dict.fromkeys(["log_return", "bar_dynamics", "SMA_21", "SMA_50", "SMA_100", "SMA_200", "day_sin", "day_cos", "volatility_20", *[f"{p}_{k}" for k in (1, 2, 3) for p in ("return_lag", "dynamics_lag")]], "n"), "target": ""}
+_EDA = {**_ROW, **dict.fromkeys(["log_return", "bar_dynamics", "day_sin", "day_cos", *[f"lag_{k}" for k in range(1, 6)], "bar_dynamics_lag_1", "target_return"], "n"), "day_of_week": ""}
+_RICH = {**_ROW, **dict.fromkeys(["log_return", *[f"{p}SMA_{n}" for n in (21, 50, 100, 200) for p in ("", "dist_")], "BB_bandwidth", "BB_pct_b", "Stoch_K", "Stoch_D", "Williams_R", "ROC_10", "volatility_20", "volatility_5", *[f"lag_{k}" for k in range(1, 6)], *[f"return_{x}_{n}" for x in ("mean", "std") for n in (5, 10)], "ATR_14", "RSI_14", "MACD", "MACD_signal", "MACD_hist"], "n"), "hour_of_day": "", "day_of_week": "", "target": ""}
+_COARSE = {"ATR_14": 3, "MACD": 3, "MACD_signal": 3, "MACD_hist": 3}
+
+
+def coarse(df: DataFrame) -> DataFrame:
+    """Columns of the scale of prices to three digits, as sums of them in another order differ beyond that."""
+    return r6(df.withColumns({c: F.round(c, k) for c, k in _COARSE.items() if c in df.columns}))
+
+
+@query(f"WITH {BARS}, {RET}, f AS (SELECT *, {_SMAS}, sin({_DAY} * 2 * pi() / 7) AS day_sin, cos({_DAY} * 2 * pi() / 7) AS day_cos, {_UP}, {roll('stddev_samp', 'log_return', 20)} AS volatility_20, {', '.join(f'lag({x}, {k}) OVER s AS {p}_{k}' for k in (1, 2, 3) for x, p in (('log_return', 'return_lag'), ('bar_dynamics', 'dynamics_lag')))} FROM ret {W}) {some(_BASIC, 'f')}")
 def basic_set(spark, d):
-    return fe.basic_features(bars_daily(spark, d))
+    return r6(fe.basic_features(bars_daily(spark, d)))
 
 
-@query()
+@query(f"WITH {ewm_sql(BARS)}, r AS (SELECT *, ln(close / lag(close) OVER s) AS log_return, 100 * {div(f'close - {_LO}', f'{_HI} - {_LO}')} AS Stoch_K FROM ewm {W}), f AS (SELECT *, {_SMAS}, {', '.join(div('close - ' + roll('avg', 'close', n), roll('avg', 'close', n)) + f' AS dist_SMA_{n}' for n in (21, 50, 100, 200))}, {div(f'4 * {_STD20}', _AVG20)} AS BB_bandwidth, {div(f'close - {_AVG20} + 2 * {_STD20}', f'4 * {_STD20}')} AS BB_pct_b, {roll('avg', 'Stoch_K', 3)} AS Stoch_D, -100 * {div(f'{_HI} - close', f'{_HI} - {_LO}')} AS Williams_R, 100 * (close / nullif(lag(close, 10) OVER s, 0) - 1) AS ROC_10, {roll('stddev_samp', 'log_return', 20)} AS volatility_20, {roll('stddev_samp', 'log_return', 5)} AS volatility_5, {', '.join(f'lag(log_return, {k}) OVER s AS lag_{k}' for k in range(1, 6))}, {', '.join(roll(f, 'log_return', n) + f' AS return_{x}_{n}' for x, f in (('mean', 'avg'), ('std', 'stddev_samp')) for n in (5, 10))}, hour(ts)::INT AS hour_of_day, {_DAY}::INT AS day_of_week, {_UP}, atr AS ATR_14, 100 - 100 / nullif(1 + g / nullif(l, 0), 0) AS RSI_14, sig AS MACD_signal, macd - sig AS MACD_hist FROM r {W}) {some(_RICH, 'f', _COARSE)}")
 def indicator_set(spark, d):
-    return fe.indicator_features(bars_daily(spark, d))
+    return coarse(fe.indicator_features(bars_daily(spark, d)))
 
 
-@query()
+@query(f"WITH {BARS}, {RET}, f AS (SELECT *, {_DAY}::INT AS day_of_week, sin({_DAY} * 2 * pi() / 5) AS day_sin, cos({_DAY} * 2 * pi() / 5) AS day_cos, {', '.join(f'lag(log_return, {k}) OVER s AS lag_{k}' for k in range(1, 6))}, lag(bar_dynamics) OVER s AS bar_dynamics_lag_1, lead(log_return) OVER s AS target_return FROM ret {W}) {some(_EDA, 'f')}")
 def eda_set(spark, d):
-    return fe.eda_features(bars_daily(spark, d))
+    return r6(fe.eda_features(bars_daily(spark, d)))
 
 
 @query(f"WITH {SQL_MACRO}, a AS (SELECT coalesce(u.ts, m.ts) AS ts, u.v AS us, m.v AS de FROM urgent u FULL JOIN slow m ON u.ts = m.ts), f AS (SELECT ts, last_value(us IGNORE NULLS) OVER o AS us10y, last_value(de IGNORE NULLS) OVER o AS de10y FROM a WINDOW o AS (ORDER BY ts)) SELECT ts, round(us10y, 6) AS us10y, round(de10y, 6) AS de10y, round(us10y - de10y, 6) AS yield_differential FROM f WHERE us10y IS NOT NULL AND de10y IS NOT NULL")
@@ -204,7 +231,7 @@ def source_fallback(spark, d):
     return src.first_nonempty([("live", _live(spark, d)), ("history", bars_daily(spark, d))])
 
 
-@query(f"WITH {BARS}, live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars WHERE symbol <> 'N') WHERE k <= CASE symbol WHEN 'A' THEN 100 ELSE 300 END), f AS (SELECT symbol, min(ts) AS f, count(*) AS have FROM live GROUP BY symbol), old AS (SELECT b.*, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts DESC) AS k, have FROM bars b JOIN f USING (symbol) WHERE b.ts < f.f) SELECT symbol, ts, open, high, low, close, tick_volume, CASE symbol WHEN 'A' THEN 'live+history_backfill' ELSE 'live' END AS data_source FROM (SELECT symbol, ts, open, high, low, close, tick_volume FROM live UNION ALL SELECT symbol, ts, open, high, low, close, tick_volume FROM old WHERE k <= 250 - have)")
+@query(f"WITH {BARS}, live AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars WHERE symbol <> 'N') WHERE k <= CASE symbol WHEN 'A' THEN 100 ELSE 300 END), f AS (SELECT symbol, min(ts) AS f, count(*) AS have FROM live GROUP BY symbol), old AS (SELECT b.*, row_number() OVER (PARTITION BY b.symbol ORDER BY b.ts DESC) AS k, coalesce(have, 0) AS have FROM bars b LEFT JOIN f USING (symbol) WHERE f.f IS NULL OR b.ts < f.f) SELECT symbol, ts, open, high, low, close, tick_volume, CASE symbol WHEN 'A' THEN 'live+history_backfill' WHEN 'N' THEN 'history' ELSE 'live' END AS data_source FROM (SELECT symbol, ts, open, high, low, close, tick_volume FROM live UNION ALL SELECT symbol, ts, open, high, low, close, tick_volume FROM old WHERE k <= 250 - have)")
 def history_backfill(spark, d):
     bars = bars_daily(spark, d)
     live = src.tail_n(bars.where("symbol <> 'N'"), F.when(F.col("symbol") == "A", 100).otherwise(300))
@@ -234,6 +261,22 @@ def append_next_bar(spark, d):
     return src.append_bar(bars, src.latest_bar(bars))
 
 
+_NEXT = sql_bars("known") + ", bars AS (SELECT * FROM known UNION ALL SELECT symbol, max(ts) + INTERVAL 1 DAY, arg_max(open, ts), arg_max(high, ts), arg_max(low, ts), arg_max(close, ts), arg_max(tick_volume, ts) FROM known GROUP BY symbol)"
+
+
+@query(f"WITH {fs1_sql(_NEXT)} SELECT * EXCLUDE (target_return) FROM fs QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20")
+def next_bar_features(spark, d):
+    bars = bars_daily(spark, d)
+    return coarse(fe.next_features(bars, src.latest_bar(bars), 20, macro_daily(spark, d)))
+
+
+@query(f"WITH {BARS}, {RET}, f AS (SELECT symbol, ts, {num('log_return', 'log_return')}, {num(roll('avg', 'close', 200), 'SMA_200')}, {num(roll('stddev_samp', 'log_return', 20), 'volatility_20')} FROM ret) SELECT * FROM f WHERE ts >= TIMESTAMP '1997-01-01'")
+def features_since(spark, d):
+    """Features of late bars alone; of earlier bars only the warm-up is read."""
+    bars = fe.since(bars_daily(spark, d), F.lit("1997-01-01").cast("timestamp_ntz")).withColumn("yield_differential", F.lit(0.0))
+    return r6(fe.compute_features(bars).where("ts >= timestamp_ntz'1997-01-01'").select("symbol", "ts", "log_return", "SMA_200", "volatility_20"))
+
+
 @query(f"WITH {BARS}, {SQL_MACRO} SELECT symbol, round(count(u.v) / count(*)::DOUBLE, 6) AS coverage FROM bars b LEFT JOIN urgent u ON b.ts = u.ts GROUP BY symbol")
 def macro_coverage(spark, d):
     return r6(align.coverage(bars_daily(spark, d).join(macro_daily(spark, d), "ts", "left"), "yield_differential"))
@@ -295,20 +338,31 @@ def ledger_upsert(spark, d):
     return tables.upsert(log, log.where("as_of_date >= date'1998-01-01'").withColumn("pred_direction", F.lit("UP")))
 
 
-@query()
+@query(f"WITH {_CONS}, f AS (SELECT c.*, b.open, b.high, b.low, b.close AS last, b.tick_volume FROM c JOIN bars b ON b.symbol = c.symbol AND b.ts::DATE = c.as_of_date) SELECT symbol, as_of_date, (as_of_date + CASE dayofweek(as_of_date) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END::INT)::DATE::VARCHAR AS forecasting_date, 'live' AS data_source, 'table' AS macro_source, open, last AS close, direction, agreement, confidence, predicted_return_pct FROM f")
 def forecast_documents(spark, d):
-    return forecast.to_document(forecast.forecast(bars_daily(spark, d), forecast.consensus(_members(spark, d))))
+    """The documents, and from each what a reader of its JSON gets back."""
+    docs = forecast.to_document(forecast.forecast(bars_daily(spark, d), forecast.consensus(_members(spark, d))))
+    kind = "forecasting_date string, data_source string, macro_source string, bar_used struct<open:double,close:double>, consensus struct<direction:string,agreement:boolean,confidence:double,predicted_return_pct:double>"
+    back = docs.select("symbol", "as_of_date", F.from_json("document", kind).alias("x"))
+    return r6(back.select("symbol", "as_of_date", "x.forecasting_date", "x.data_source", "x.macro_source", "x.bar_used.*", "x.consensus.*"))
 
 
-@query()
+def percent_sql(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '—' ELSE printf('%+.4f%%', {c}) END"
+
+
+@query(f"WITH {_SCORED} SELECT o.symbol, o.as_of_date, o.forecasting_date, pred_direction, {percent_sql('predicted_return_pct')} AS predicted, printf('%.1f%%', confidence * 100) AS confidence, {percent_sql('ret')} AS actual, outcome FROM o JOIN (SELECT symbol, as_of_date, confidence, predicted_return_pct, ret FROM sc) USING (symbol, as_of_date)")
 def forecast_display(spark, d):
     return forecast.display_columns(forecast.score_ledger(_ledger(spark, d), bars_daily(spark, d)))
 
 
-@query()
+_LAST = sql_bars("known") + ", bars AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 250)"
+
+
+@query(f"WITH {fs1_sql(_LAST)} SELECT * EXCLUDE (target_return), 'live+history_backfill' AS data_source FROM fs WHERE {' AND '.join(f'{c} IS NOT NULL' for c in FEATURE_COLUMNS)} QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 20")
 def resolved_window(spark, d):
     bars = bars_daily(spark, d)
-    return forecast.resolve_window(src.tail_n(bars, 100), bars, macro_daily(spark, d), src.bars_needed())[0]
+    return coarse(forecast.resolve_window(src.tail_n(bars, 100), bars, macro_daily(spark, d), src.bars_needed())[0])
 
 
 _POS = f"{BARS}, p AS (SELECT *, row_number() OVER s AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM bars {W})"
@@ -331,10 +385,10 @@ def sequence_windows(spark, d):
     return out.select("symbol", "block", "ts", F.round(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x[1]), 4).alias("close_sum"))
 
 
-@query(f"WITH {_POS}, b AS (SELECT *, {_SPLIT} AS block FROM p), m AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM b WHERE block = 'train') SELECT symbol, ts, round((close - m) / s, 6) AS close FROM b, m")
+@query(f"WITH {_POS}, b AS (SELECT *, {_SPLIT} AS block FROM p), m AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM b WHERE block <> 'test') SELECT symbol, ts, round((close - m) / s, 6) AS close FROM b, m")
 def train_only_scaling(spark, d):
     df = protocol.chrono_split(bars_daily(spark, d).select("symbol", "ts", "close"))
-    return r6(protocol.apply_scaler(df, protocol.fit_scaler(df.where("block = 'train'"), ["close"])).drop("block"))
+    return r6(protocol.apply_scaler(df, protocol.fit_scaler(df.where("block <> 'test'"), ["close"])).drop("block"))
 
 
 @query(f"WITH {BARS}, {RET}, dm AS (SELECT symbol, ts, log_return - avg(log_return) OVER (PARTITION BY symbol) AS d FROM ret WHERE log_return IS NOT NULL), l AS (SELECT symbol, d, k.lag, lag(d, k.lag::INT) OVER (PARTITION BY symbol, k.lag ORDER BY ts) AS e FROM dm, range(21) k(lag)) SELECT symbol, lag::INT AS lag, round(sum(d * e) / max(s), 6) AS acf, round(max(1.96 / sqrt(n)), 6) AS band FROM l JOIN (SELECT symbol, sum(d * d) AS s, count(*) AS n FROM dm GROUP BY symbol) USING (symbol) GROUP BY symbol, lag")
@@ -416,23 +470,27 @@ def qq_residuals(spark, d):
     return stats.qq_normal(stats.residuals(predictions(spark, d), "y_ret", "ret_a"), "residual")
 
 
+#: Models, scalers and components are fitted on the first 80 %; only the sequence net keeps a part of it for validation.
+FITTED = "block <> 'test'"
+
+
 def _matrix(spark, d) -> DataFrame:
     return protocol.chrono_split(fe.training_features(_with_macro(spark, d))).persist()
 
 
 def _prepared(spark, d) -> tuple[DataFrame, list[str]]:
-    """Training matrix with the lag block reduced and all inputs scaled on the training block."""
+    """Training matrix with the lag block reduced and all inputs scaled on all blocks before the test block."""
     df = _matrix(spark, d)
-    pca = protocol.fit_lag_pca(df.where("block = 'train'"))
-    cols = model_input_columns(len(pca["components"]))
+    pca = protocol.fit_lag_pca(df.where(FITTED))
     df = protocol.apply_lag_pca(df, pca)
-    return protocol.apply_scaler(df, protocol.fit_scaler(df.where("block = 'train'"), cols)).persist(), cols
+    cols = inputs(df.columns)
+    return protocol.apply_scaler(df, protocol.fit_scaler(df.where(FITTED), cols)).persist(), cols
 
 
 @query()
 def lag_pca(spark, d):
     df = _matrix(spark, d)
-    return protocol.apply_lag_pca(df, protocol.fit_lag_pca(df.where("block = 'train'"), LAG_COLUMNS))
+    return protocol.apply_lag_pca(df, protocol.fit_lag_pca(df.where(FITTED), LAG_COLUMNS))
 
 
 #: The reference's parameters: its best boosters, grid, folds, compared models and forest.
@@ -445,39 +503,55 @@ ABLATION, BASELINE = {"kind": "gbt", "trees": 200, "depth": 3, "rate": 0.05}, {"
 @query()
 def gbt_direction(spark, d):
     df, cols = _prepared(spark, d)
-    return models.holdout(df.where("block = 'test'"), models.fit_direction(df.where("block = 'train'"), cols, **DIRECTION))
+    return models.holdout(df.where("block = 'test'"), models.fit_direction(df.where(FITTED), cols, **DIRECTION))
 
 
 @query()
 def gbt_importances(spark, d):
     df, cols = _prepared(spark, d)
-    return models.importances(models.fit_direction(df.where("block = 'train'"), cols, **DIRECTION), cols)
+    return models.importances(models.fit_direction(df.where(FITTED), cols, **DIRECTION), cols)
 
 
 @query()
 def huber_return(spark, d):
     df, cols = _prepared(spark, d)
-    return models.regression_scores(df.where("block = 'test'"), models.fit_huber_return(df.where("block = 'train'"), cols, **HUBER))
+    return models.regression_scores(df.where("block = 'test'"), models.fit_huber_return(df.where(FITTED), cols, **HUBER))
 
 
 @query()
 def model_compare(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where("block <> 'test'").drop("block"), FOLDS).persist()
+    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS).persist()
     return metrics.comparison_table(models.compare_models(folds, cols, ZOO))
 
 
 @query()
 def grid_scores(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where("block <> 'test'").drop("block"), FOLDS)
+    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
     return models.grid_search(folds, lambda train, **p: models.fit_direction(train, cols, **p), GRID)
 
 
+@query()
+def random_search(spark, d):
+    """Points drawn from the grid's ranges, as many as the grid has."""
+    df, cols = _prepared(spark, d)
+    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
+    space = {"trees": lambda r: r.randint(100, 200), "depth": lambda r: r.randint(3, 5), "rate": lambda r: 10 ** r.uniform(-2, -1)}
+    return models.random_search(folds, lambda train, **p: models.fit_direction(train, cols, **p), space, 12)
+
+
+@query()
+def learning_curve(spark, d):
+    df, cols = _prepared(spark, d)
+    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
+    return models.learning_curve(folds, lambda train: models.fit_direction(train, cols, kind="forest", **BASELINE), (0.2, 0.4, 0.6, 0.8, 1.0))
+
+
 @query()
 def macro_ablation(spark, d):
     df, cols = _prepared(spark, d)
-    with_, without = models.ablate(df.where("block = 'train'"), df.where("block = 'test'"), cols, "yield_differential", **ABLATION)
+    with_, without = models.ablate(df.where(FITTED), df.where("block = 'test'"), cols, "yield_differential", **ABLATION)
     return metrics.ablation_table(with_, without, ("accuracy", "roc_auc"))
 
 
@@ -490,17 +564,17 @@ def bias_variance(spark, d):
 @query()
 def two_head_sequences(spark, d):
     df, cols = _prepared(spark, d)
-    seqs = protocol.sequences(df, ["log_return", "bar_dynamics", "volatility_20"], 20, ("target_return", "target_direction"))
-    heads = models.fit_two_head(seqs.where("block = 'train'"))
-    return metrics.accuracy(models.score_two_head(seqs.where("block = 'test'"), heads), "target_direction", "prediction")
+    seqs = protocol.sequences(df, cols, 20, ("target_return", "target_direction"))
+    heads = models.fit_two_head(seqs.where("block = 'train'"), seqs.where("block = 'val'"))
+    out = models.score_two_head(seqs.where("block = 'test'"), heads)
+    return metrics.accuracy(out, "target_direction", "prediction").join(metrics.regression_errors(out, "target_return", "predicted_return"), "symbol")
 
 
 @query("SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS tick_volume FROM events GROUP BY ALL HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def streamed_bars(spark, d):
     """The events table replayed as a stream; only closed bars come out."""
     path = f"{d}/events.parquet"
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    base = tempfile.mkdtemp(prefix="spark-", dir=base.removeprefix("file://") if base and base.startswith(("file://", "/")) else None) if not base or base.startswith(("file://", "/")) else f"{base}/{tempfile.mktemp(prefix='stream-', dir='')}"
+    base = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     events = spark.readStream.schema(schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
     bars = stream_bars(events, "event_type", "value", "ts", order=("event_id",))

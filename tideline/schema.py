@@ -21,6 +21,6 @@ LEDGER = "symbol string, as_of_date date, forecasting_date date, as_of_close dou
 RUNS = "run_name string, logged_at timestamp, params map<string,string>, metrics map<string,double>"
 
 
-def model_input_columns(components: int, base: tuple[str, ...] = FEATURE_COLUMNS, lags: tuple[str, ...] = LAG_COLUMNS) -> list[str]:
-    """The feature contract with the lag block replaced by its principal components."""
-    return [c for c in base if c not in lags] + [f"lag_pca_{k}" for k in range(1, components + 1)]
+def inputs(columns: list[str]) -> list[str]:
+    """Of a prepared matrix's columns those that models see: the contract's without the lags, and the components in their place."""
+    return [c for c in columns if c in FEATURE_COLUMNS or c.startswith("lag_pca_")]

@@ -76,13 +76,17 @@ def before_first(history: DataFrame, live: DataFrame, keys: Sequence[str] = KEYS
 
 
 def backfill(live: DataFrame, history: DataFrame, need: int, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    """Live bars, completed to `need` a key by the history's last ones before them; data_source says so."""
+    """Live bars, completed to `need` a key by the history's last ones before them; data_source says so.
+
+    A key without live bars takes its last `need` bars from the history.
+    """
     have = live.groupBy(*keys).agg(F.count("*").alias("_have"), F.min(order).alias("_first"))
-    older = history.join(have, list(keys)).where(F.col(order) < F.col("_first"))
-    older = tail_n(older.withColumn("_need", F.lit(need) - F.col("_have")), F.col("_need"), keys, order).select(history.columns)
+    older = history.join(have, list(keys), "left").where(F.col("_first").isNull() | (F.col(order) < F.col("_first")))
+    older = tail_n(older.withColumn("_need", F.lit(need) - F.coalesce("_have", F.lit(0))), F.col("_need"), keys, order).select(history.columns)
     both = union_precedence([older.withColumn("_old", F.lit(1)), live.select(history.columns).withColumn("_old", F.lit(0))], [*keys, order])
-    filled = F.max("_old").over(Window.partitionBy(*keys)) == 1
-    return both.withColumn("data_source", F.when(filled, "live+history_backfill").otherwise("live")).drop("_old")
+    all_of = Window.partitionBy(*keys)
+    source = F.when(F.min("_old").over(all_of) == 1, "history").when(F.max("_old").over(all_of) == 1, "live+history_backfill").otherwise("live")
+    return both.withColumn("data_source", source).drop("_old")
 
 
 def append_bar(history: DataFrame, new_bars: DataFrame, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:

@@ -27,14 +27,18 @@ def stream_upsert(forecasts: DataFrame, path: str, checkpoint: str) -> DataStrea
 
 
 def stream_features(bars: DataFrame, store: str, out: str, checkpoint: str, context: int = 900) -> DataStreamWriter:
-    """Appends the features of new bars to out; each batch reads the last `context` stored bars of its symbols."""
+    """Appends the features of new bars to out; each batch reads the last `context` stored bars of its symbols.
+
+    A batch is stored under its number, and one that runs again takes the place of its first run. store
+    holds folders batch=N; bars from before the stream are those with a number below 0.
+    """
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(store).join(batch.select("symbol").distinct(), "symbol", "left_semi")
+        old = spark.read.parquet(store).where(F.col("batch") < number).join(batch.select("symbol").distinct(), "symbol", "left_semi")
         both = tail_n(old, context).select(batch.columns).unionByName(batch).dropDuplicates(["symbol", "ts"])
         rows = compute_features(both).join(batch.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
         rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
-        batch.write.mode("append").parquet(store)
+        batch.write.mode("overwrite").parquet(f"{store}/batch={number}")
 
     return bars.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
