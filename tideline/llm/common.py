@@ -54,26 +54,32 @@ def skew_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 # ---------------------------------------------------------------- sieves
 
-#: Buckets of 32,768 bits (4 KB each): a sieve has 8 MB in all, whatever the input.
-SIEVE_BUCKETS = 2048
+#: A bucket of a sieve has 32,768 bits (4 KB); a sieve has SPARSE bits a key, and MOST_BUCKETS (16 MB) at most.
+SPARSE, MOST_BUCKETS = 16, 4096
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(SIEVE_BUCKETS * 32768)).cast("long") + 1
+def _slot(key: Column, buckets: int) -> Column:
+    return F.pmod(key, F.lit(buckets * 32768)).cast("long") + 1
 
 
-def sieve(keys: DataFrame, key: Column) -> DataFrame:
-    """Bit table of 64-bit keys, of fixed size and so fit for a broadcast. A full one lets everything through."""
-    slots = keys.select(_slot(key).alias("_slot"))
-    return F.broadcast(slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
+def sieve(keys: DataFrame, key: Column) -> tuple[DataFrame, int]:
+    """Bit table of 64-bit keys with its number of buckets, of bounded size and so fit for a broadcast.
+
+    keys are read twice, so they had better be written. A full sieve lets everything through.
+    """
+    buckets = min(MOST_BUCKETS, 1 << (keys.count() * SPARSE // 32768).bit_length())
+    slots = keys.select(_slot(key, buckets).alias("_slot")).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
+    # Dealt before they are summed: a slot takes less space than a task's 4 KB for its bucket.
+    return F.broadcast(slots.repartition("_bucket").groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits"))), buckets
 
 
-def sifted(df: DataFrame, key: Column, bits: DataFrame, name: str) -> DataFrame:
+def sifted(df: DataFrame, key: Column, sieve: tuple[DataFrame, int], name: str) -> DataFrame:
     """df with a boolean column: whether the key's bit is set (false for a null key). df has no column named _slot, _bucket or _bits."""
+    bits, buckets = sieve
     at = F.bitmap_bit_position("_slot")
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     set_ = F.getbit(byte, (at % 8).cast("int")) == 1
-    rows = df.withColumn("_slot", _slot(key)).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(bits, "_bucket", "left")
+    rows = df.withColumn("_slot", _slot(key, buckets)).withColumn("_bucket", F.bitmap_bucket_number("_slot")).join(bits, "_bucket", "left")
     return rows.withColumn(name, F.coalesce(set_, F.lit(False))).drop("_slot", "_bucket", "_bits")
 
 

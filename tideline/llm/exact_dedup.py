@@ -6,7 +6,7 @@
 3. The whole content is hashed (SHA-256) for the rows of surviving groups alone, and rows are grouped
    by (length, prefix hash, full hash).
 
-Surviving groups are marked in sieves, bit tables of fixed size (so their broadcast has a proven
+Surviving groups are marked in sieves, bit tables of bounded size (so their broadcast has a proven
 bound). A marked slot that no surviving group owns only costs a needless hash; beyond some 10**8
 surviving groups a sieve lets nearly all rows through, and the result is still the same. Only narrow
 rows are shuffled, aggregates combine before the shuffle, and the join that hands each row its group
@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import sieve, sifted, skew_join, without
+from tideline.llm.common import checkpoint, sieve, sifted, skew_join, without
 
 PREFIX_CHARS = 64
 
@@ -40,10 +40,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.octet_length(text).cast("long").alias("_len"),
         text.alias("_text"),
     )
-    lengths = rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1")
+    lengths = checkpoint(rows.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"))
     rows = sifted(rows, F.xxhash64("_len"), sieve(lengths, F.xxhash64("_len")), "_long")
     rows = rows.withColumn("_ph", F.when(F.col("_long"), F.xxhash64(F.substring("_text", 1, prefix_chars))))
-    prefixes = rows.where("_long").groupBy("_len", "_ph").agg(F.count("*").alias("_n")).where("_n > 1")
+    prefixes = checkpoint(rows.where("_long").groupBy("_len", "_ph").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_ph"))
     pair = F.when(F.col("_ph").isNotNull(), F.col("_ph").bitwiseXOR(F.xxhash64("_len")))
     rows = sifted(rows, pair, sieve(prefixes, pair), "_same")
     marked = rows.select("_id", "_carry", "_len", "_ph", F.when(F.col("_same"), F.unhex(F.sha2("_text", 256))).alias("_fh"))

@@ -39,7 +39,7 @@ from tideline.llm.common import checkpoint, components, matched, mix, skew_join,
 SHARE, LEAST = 20, 2
 #: Counters of the shingle table (4 bytes each), in blocks.
 SLOTS, BLOCK = 1 << 20, 1 << 15
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Members of a group's chunk, queries that meet it in one block, and those that meet a representative.
 CHUNK, QUERIES, FOLLOWERS = 256, 512, 256
 

@@ -25,7 +25,7 @@ from tideline.llm.common import tune
 
 MAX_TOKENS, MAX_SEGMENTS, POOL, END = 2048, 128, 384, 1
 #: Bytes of parts and their ids that a worker remembers, about; longer parts (in characters) are not remembered.
-REMEMBERED, LONG = 192 << 20, 64
+REMEMBERED, LONG = 96 << 20, 64
 
 
 # After lower-casing, the letters of Basic Latin to Latin Extended-A; and texts in which these are all
