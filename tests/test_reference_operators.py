@@ -179,6 +179,26 @@ def test_model_queries_do_the_reference_job(monkeypatch):
     assert seen["folds"] == [5, 5] and seen["direction"]["trees"] == 200
     assert seen["grid"] == {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}
     assert min(z["trees"] for k, z in seen["zoo"].items() if k != "logistic") == 200
+    assert seen["zoo"]["forest"]["leaf"] == 15 and seen["zoo"]["gbt"]["sample"] == 0.8 and queries.BASELINE["leaf"] == 20
+    assert {k for k, z in seen["zoo"].items() if z.get("balanced")} == {"forest", "gbt_balanced"} and queries.BASELINE["balanced"]
+
+
+def test_balanced_classes_leaf_size_and_sampling(spark):
+    rows = [(float(k), int(k % 10 == 0)) for k in range(200)]
+    df = spark.createDataFrame(rows, "x double, y int")
+    sums = df.withColumn("w", models.class_weights(df, "y")).groupBy("y").agg(F.sum("w")).collect()
+    assert all(abs(r[1] - 100) < 1e-9 for r in sums)
+    assert models.class_weights(df.limit(0), "y") is not None
+    for kind in ("gbt", "gbt_subsample", "forest", "logistic"):
+        fitted = models.fit_direction(df, ["x"], "y", trees=2, depth=2, kind=kind, leaf=80, sample=0.9, balanced=True)
+        assert models.scored(fitted, df.withColumn("_weight", F.lit("kept"))).select("_weight").distinct().first()[0] == "kept"
+    # Of 200 rows with at least 150 in a leaf, no split is left.
+    tree = models.fit_direction(df, ["x"], "y", trees=1, depth=3, kind="forest", leaf=150).stages[-1]
+    assert tree.trees[0].numNodes == 1
+    # With one class of ten rows in ten, the plain model's share of it is a tenth and the balanced one's half.
+    plain, even = (models.fit_direction(df.withColumn("x", F.lit(0.0)), ["x"], "y", trees=5, kind="logistic", balanced=b) for b in (False, True))
+    p, e = (models.scored(m, df.withColumn("x", F.lit(0.0)).limit(1)).first().probability for m in (plain, even))
+    assert abs(p - 0.1) < 1e-3 and abs(e - 0.5) < 1e-3
 
 
 def test_ewm_fades_over_gaps(spark):

@@ -13,7 +13,7 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.operators.metrics import accuracy, prf, regression_errors, roc_auc
@@ -22,13 +22,31 @@ from tideline.operators.metrics import accuracy, prf, regression_errors, roc_auc
 THREADS = 4
 
 
-def fit_direction(df: DataFrame, columns: Sequence[str], label: str = "target_direction", trees: int = 20, depth: int = 3, rate: float = 0.1, kind: str = "gbt", seed: int = 42):
-    """Boosted (gbt, gbt_subsample), forest or logistic classifier of the next bar's direction."""
+def class_weights(df: DataFrame, label: str) -> Column:
+    """The weight that gives every class the same sum: rows / (classes * rows of the class)."""
+    counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    pairs = [F.lit(x) for k, n in counts.items() if k is not None for x in (k, sum(counts.values()) / (len(counts) * n))]
+    return F.create_map(*pairs)[F.col(label)] if pairs else F.lit(1.0)
+
+
+def fit_direction(
+    df: DataFrame, columns: Sequence[str], label: str = "target_direction", trees: int = 20, depth: int = 3, rate: float = 0.1, kind: str = "gbt", seed: int = 42,
+    leaf: int = 1, sample: float | None = None, features: str | None = None, balanced: bool = False,
+):
+    """Boosted (gbt, gbt_subsample), forest or logistic classifier of the next bar's direction.
+
+    leaf is the least number of rows in a leaf, sample the share of rows a tree sees, features the
+    columns a split may choose from (Spark's featureSubsetStrategy). balanced weighs rows so that the
+    classes count alike.
+    """
     common = {"labelCol": label, "featuresCol": "features"}
+    if balanced:
+        df, common = df.withColumn("_weight", class_weights(df, label)), {**common, "weightCol": "_weight"}
+    trained = {"maxDepth": depth, "minInstancesPerNode": leaf, "seed": seed}
     model = {
-        "gbt": lambda: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed, **common),
-        "gbt_subsample": lambda: GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=0.8, featureSubsetStrategy="sqrt", seed=seed, **common),
-        "forest": lambda: RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, **common),
+        "gbt": lambda: GBTClassifier(maxIter=trees, stepSize=rate, subsamplingRate=sample or 1.0, featureSubsetStrategy=features or "all", **trained, **common),
+        "gbt_subsample": lambda: GBTClassifier(maxIter=trees, stepSize=rate, subsamplingRate=sample or 0.8, featureSubsetStrategy=features or "0.8", **trained, **common),
+        "forest": lambda: RandomForestClassifier(numTrees=trees, subsamplingRate=sample or 1.0, featureSubsetStrategy=features or "auto", **trained, **common),
         "logistic": lambda: LogisticRegression(maxIter=trees, **common),
     }[kind]()
     return Pipeline(stages=[VectorAssembler(inputCols=list(columns), outputCol="features"), model]).fit(df)

@@ -496,8 +496,14 @@ def lag_pca(spark, d):
 #: The reference's parameters: its best boosters, grid, folds, compared models and forest.
 DIRECTION, HUBER = {"trees": 200, "depth": 5, "rate": 0.01}, {"trees": 100, "depth": 3, "rate": 0.01}
 GRID, FOLDS = {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}, 5
-ZOO = {"forest": {"kind": "forest", "trees": 200, "depth": 8}, "gbt": {"kind": "gbt", "trees": 200, "depth": 4, "rate": 0.05}, "gbt_subsample": {"kind": "gbt_subsample", "trees": 300, "depth": 4, "rate": 0.05}, "logistic": {"kind": "logistic"}}
-ABLATION, BASELINE = {"kind": "gbt", "trees": 200, "depth": 3, "rate": 0.05}, {"trees": 100, "depth": 6}
+ZOO = {
+    "forest": {"kind": "forest", "trees": 200, "depth": 8, "leaf": 15, "balanced": True},
+    "gbt": {"kind": "gbt", "trees": 200, "depth": 4, "rate": 0.05, "sample": 0.8},
+    "gbt_subsample": {"kind": "gbt_subsample", "trees": 300, "depth": 4, "rate": 0.05},
+    "gbt_balanced": {"kind": "gbt_subsample", "trees": 300, "depth": 4, "rate": 0.05, "balanced": True},
+    "logistic": {"kind": "logistic"},
+}
+ABLATION, BASELINE = {"kind": "gbt", "trees": 200, "depth": 3, "rate": 0.05}, {"trees": 100, "depth": 6, "leaf": 20, "balanced": True}
 
 
 @query()
