@@ -13,13 +13,20 @@ from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomF
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.operators.metrics import accuracy, prf, regression_errors, roc_auc
+from tideline.schema import KEYS
 
-#: Concurrent Spark jobs of a search.
-THREADS = 4
+#: Concurrent fits of a search.
+THREADS = 8
+
+#: Rows that one task of a fit should have at least.
+ROWS = 100_000
+
+#: The columns of holdout.
+SCORES = ("accuracy", "precision", "recall", "f1", "roc_auc")
 
 
 def class_weights(df: DataFrame, label: str) -> Column:
@@ -124,18 +131,34 @@ def _folds(df: DataFrame) -> list[int]:
     return [r.fold for r in df.select("fold").distinct().orderBy("fold").collect()]
 
 
-def cross_validate(folds: DataFrame, fit: Callable[[DataFrame], object], label: str = "target_direction") -> DataFrame:
-    """Scores of fit on each fold of expanding_folds."""
-    def one(k: int) -> DataFrame:
+def sized(df: DataFrame, rows: int = ROWS) -> DataFrame:
+    """df kept in memory, in no more tasks than its rows call for: each tree takes a job a level."""
+    df = df.persist()
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
+def _scores(folds: DataFrame, fits: Sequence[Callable[[DataFrame], object]], label: str) -> list[tuple[int, int, dict]]:
+    """(number of the fit, fold, scores) of each fit on each fold; one row a pair comes to the driver."""
+    folds = sized(folds)
+
+    def one(pair: tuple[int, int]) -> tuple[int, int, dict] | None:
+        i, k = pair
         rows = folds.where(F.col("fold") == k)
-        return holdout(rows.where("part = 'test'"), fit(rows.where("part = 'train'")), label).withColumn("fold", F.lit(k))
+        row = holdout(rows.where("part = 'test'"), fits[i](rows.where("part = 'train'")), label).first()
+        return row and (i, k, row.asDict())
 
     with ThreadPool(THREADS) as pool:
-        parts = pool.map(one, _folds(folds))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return [r for r in pool.map(one, itertools.product(range(len(fits)), _folds(folds)), 1) if r]
+
+
+def _score_table(spark: SparkSession, rows: Sequence[dict], last: str) -> DataFrame:
+    return spark.createDataFrame(rows, ", ".join(f"{m} double" for m in SCORES) + ", " + last)
+
+
+def cross_validate(folds: DataFrame, fit: Callable[[DataFrame], object], label: str = "target_direction") -> DataFrame:
+    """Scores of fit on each fold of expanding_folds."""
+    rows = [{**row, "fold": k} for _, k, row in _scores(folds, [fit], label)]
+    return _score_table(folds.sparkSession, rows, "fold int")
 
 
 def grid_search(folds: DataFrame, fit: Callable[..., object], grid: dict[str, Sequence], label: str = "target_direction", metric: str = "roc_auc") -> DataFrame:
@@ -150,42 +173,39 @@ def random_search(folds: DataFrame, fit: Callable[..., object], space: dict[str,
 
 
 def _search(folds: DataFrame, fit: Callable[..., object], points: list[dict], label: str, metric: str) -> DataFrame:
-    folds = folds.persist()
+    found = _scores(folds, [lambda train, point=point: fit(train, **point) for point in points], label)
     rows = []
-    for point in points:
-        score = cross_validate(folds, lambda train, point=point: fit(train, **point), label).agg(F.avg(metric)).first()[0]
-        rows.append(({k: str(v) for k, v in point.items()}, score))
+    for i, point in enumerate(points):
+        values = [row[metric] for j, _, row in found if j == i and row[metric] is not None]
+        rows.append(({k: str(v) for k, v in point.items()}, sum(values) / len(values) if values else None))
     return folds.sparkSession.createDataFrame(rows, f"params map<string,string>, {metric} double").orderBy(F.desc(metric))
 
 
 def compare_models(folds: DataFrame, columns: Sequence[str], zoo: dict[str, dict], label: str = "target_direction") -> DataFrame:
-    """(model, fold, scores) for each named parameter set of fit_direction."""
-    out = None
-    for name, params in zoo.items():
-        part = cross_validate(folds, lambda train, params=params: fit_direction(train, columns, label, **params), label).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """(scores, fold, model) for each named parameter set of fit_direction."""
+    names = list(zoo)
+    fits = [lambda train, params=zoo[n]: fit_direction(train, columns, label, **params) for n in names]
+    rows = [{**row, "fold": k, "model": names[i]} for i, k, row in _scores(folds, fits, label)]
+    return _score_table(folds.sparkSession, rows, "fold int, model string")
 
 
 def learning_curve(folds: DataFrame, fit: Callable[[DataFrame], object], shares: Sequence[float], label: str = "target_direction", order: str = "ts") -> DataFrame:
     """(share, train accuracy, validation accuracy): mean and deviation over the folds, for prefixes of the training part."""
-    out = None
-    for k in _folds(folds):
-        rows = folds.where(F.col("fold") == k)
-        train, test = rows.where("part = 'train'").withColumn("_rank", F.percent_rank().over(_by_symbol(order))).persist(), rows.where("part = 'test'")
-        for share in shares:
-            part = train.where(F.col("_rank") <= share)
-            model = fit(part)
-            a, b = (holdout(x, model, label).select(F.col("accuracy").alias(n)).withColumn("_", F.lit(1)) for x, n in ((part, "train"), (test, "val")))
-            row = a.join(b, "_").drop("_").withColumn("share", F.lit(share)).withColumn("fold", F.lit(k))
-            out = row if out is None else out.unionByName(row)
-    return out.groupBy("share").agg(*[f(c).alias(f"{c}_{n}") for c in ("train", "val") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+    by = Window.partitionBy("fold", "part", *KEYS).orderBy(order)
+    folds = sized(folds.withColumn("_rank", F.percent_rank().over(by)))
 
+    def one(pair: tuple[int, float]) -> tuple[float, float | None, float | None]:
+        k, share = pair
+        rows = folds.where(F.col("fold") == k)
+        part = rows.where(f"part = 'train' and _rank <= {share}")
+        model = fit(part)
+        ends = [holdout(x, model, label).first() for x in (part, rows.where("part = 'test'"))]
+        return share, *[r and r["accuracy"] for r in ends]
 
-def _by_symbol(order: str):
-    from tideline.functions.windows import series
-
-    return series(order=order)
+    with ThreadPool(THREADS) as pool:
+        rows = pool.map(one, itertools.product(_folds(folds), shares), 1)
+    out = folds.sparkSession.createDataFrame(rows, "share double, train double, val double")
+    return out.groupBy("share").agg(*[f(c).alias(f"{c}_{n}") for c in ("train", "val") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
 
 
 def importances(model, columns: Sequence[str]) -> DataFrame:

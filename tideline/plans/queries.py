@@ -484,7 +484,7 @@ def _prepared(spark, d) -> tuple[DataFrame, list[str]]:
     pca = protocol.fit_lag_pca(df.where(FITTED))
     df = protocol.apply_lag_pca(df, pca)
     cols = inputs(df.columns)
-    return protocol.apply_scaler(df, protocol.fit_scaler(df.where(FITTED), cols)).persist(), cols
+    return models.sized(protocol.apply_scaler(df, protocol.fit_scaler(df.where(FITTED), cols))), cols
 
 
 @query()
@@ -527,7 +527,7 @@ def huber_return(spark, d):
 @query()
 def model_compare(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS).persist()
+    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
     return metrics.comparison_table(models.compare_models(folds, cols, ZOO))
 
 
