@@ -139,10 +139,15 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of each word (a run of bytes other than ASCII white space) and the text it is in."""
+    return word_spans(data, at, lower)[:2]
+
+
+def word_spans(data: np.ndarray, at: np.ndarray, lower: bool = False, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, first byte, bytes) of each word: a run of bytes that are not marked in between. lower: A-Z count as a-z."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     data = _LOWER[data] if lower else data
-    out = ~_SPACE[data]
+    out = ~between[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     begins, ends = out.copy(), out.copy()
@@ -159,7 +164,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[
         if not left.all():
             more = left > 0
             live, where, left = live[more], where[more], left[more]
-    return mix(h ^ size.astype(np.uint64)), text
+    return mix(h ^ size.astype(np.uint64)), text, start, size
 
 
 def window_hashes(words: np.ndarray, width: int, base: np.uint64 = _RK) -> np.ndarray:
@@ -190,6 +195,35 @@ def text_slices(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[
             begin = end
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about most_bytes of text, whatever the sizes they come in; a longer text is alone."""
+    held, size = [], 0
+    for batch in text_slices(batches, most_bytes):
+        more = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + more > most_bytes:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if batch.num_rows:
+            held, size = [*held, batch], size + more
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def bit_table(keys: DataFrame, key: Column) -> np.ndarray:
+    """The sieve of the keys as one array of bytes (16 MB at most), for tasks that look keys up themselves."""
+    rows, buckets = sieve(keys, key)
+    out = np.zeros(buckets * 4096, np.uint8)
+    for r in rows.collect():
+        out[(r["_bucket"] - 1) * 4096 : r["_bucket"] * 4096] = np.frombuffer(bytes(r["_bits"]), np.uint8)
+    return out
+
+
+def looked_up(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether the bit of each 64-bit key is set in a bit_table."""
+    slot = np.mod(keys.view(np.int64), np.int64(len(table) * 8))
+    return (table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+
+
 # ---------------------------------------------------------------- packed columns
 
 
