@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tideline.llm.decontamination import OP13_SQL, op13_decontamination
 from tideline.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from tideline.llm.html_text import op5_html_extraction
 from tideline.llm.language_id import language_of_pages, op4_language_id
@@ -24,7 +25,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
     "op10_jaccard_join": op10_jaccard_join,
+    "op13_decontamination": op13_decontamination,
     "language_of_pages": language_of_pages,
     "pack_conversations": pack_conversations,
 }
-SQL = {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op10_jaccard_join": OP10_SQL, "op13_decontamination": OP13_SQL}
