@@ -25,6 +25,8 @@ from tideline.llm.common import _RK, bit_table, checkpoint, gathered, looked_up,
 LEAST, INSIDE = 10, 50
 #: Bytes of text whose suffix pointers a task sorts together, pointers in a bucket (before equal ones are added up).
 HOLD, BUCKET = 8 << 20, 4_000_000
+#: Parts of a language that are ranked apart before its candidates meet.
+PARTS = 64
 #: Partitions of fewer pointers are sorted at once.
 SMALL = 1 << 15
 
@@ -215,8 +217,11 @@ def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text"
     """
     found, totals = candidates(docs, lang_col, text_col, least)
     left = found.where(f"longer is null or 100 * longer < {int(inside)} * a")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # First the best of each part of a language: a language's last task then reads PARTS * top rows at most.
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
+    left = left.withColumn("_k", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("_k") <= top).drop("_k")
+    ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import checkpoint, skew_join, text_bytes, text_slices, tune, without
 from tideline.llm.html_text import extract_text, host_of
 
-#: Rows of the labelled sample at most (in expectation: rows are chosen by a hash of their id), and of its languages, by their rows.
-SAMPLE, LANGUAGES = 20_000, 64
+#: Rows of the labelled sample at most (in expectation: rows are chosen by a hash of their id). All of its languages are told.
+SAMPLE = 20_000
 SLOTS = 1 << 16
 #: Trigrams whose evidence counts in full; more ones are averaged down to that many.
 EFFECTIVE = 60.0
@@ -35,8 +35,18 @@ PULL = 20.0
 UND, MARGIN = 1e-9, 1.5
 SLICE = 2 << 20
 
-#: Language by country-code suffix.
-SUFFIX_LANGUAGE = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en", "it": "it", "pt": "pt", "br": "pt", "nl": "nl"}
+#: Language by country-code suffix, for countries with one official language (or one that most pages are in).
+SUFFIX_LANGUAGE = {
+    "ad": "ca", "ae": "ar", "al": "sq", "ao": "pt", "ar": "es", "at": "de", "au": "en", "bd": "bn", "bg": "bg", "bo": "es",
+    "br": "pt", "by": "ru", "cl": "es", "cn": "zh", "co": "es", "cr": "es", "cu": "es", "cz": "cs", "de": "de", "dk": "da",
+    "do": "es", "dz": "ar", "ec": "es", "ee": "et", "eg": "ar", "es": "es", "fi": "fi", "fr": "fr", "ge": "ka", "gr": "el",
+    "gt": "es", "hn": "es", "hr": "hr", "hu": "hu", "id": "id", "ie": "en", "il": "he", "iq": "ar", "ir": "fa", "is": "is",
+    "it": "it", "jo": "ar", "jp": "ja", "kh": "km", "kr": "ko", "kw": "ar", "lt": "lt", "lv": "lv", "ly": "ar", "ma": "ar",
+    "mk": "mk", "mn": "mn", "mx": "es", "my": "ms", "mz": "pt", "ni": "es", "nl": "nl", "no": "no", "nz": "en", "pa": "es",
+    "pe": "es", "pl": "pl", "pt": "pt", "py": "es", "ro": "ro", "rs": "sr", "ru": "ru", "sa": "ar", "se": "sv", "si": "sl",
+    "sk": "sk", "sv": "es", "th": "th", "tr": "tr", "tw": "zh", "ua": "uk", "uk": "en", "us": "en", "uy": "es", "ve": "es",
+    "vn": "vi",
+}
 
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
@@ -63,16 +73,14 @@ def trigrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
     """Trigram log-probabilities by language, and single-byte ones, from at most about `sample` labelled rows.
 
-    Counts are summed by Spark for each label; the model has SLOTS numbers a language, and the
-    LANGUAGES most frequent ones at most. A table without labelled text gives a model without
+    Counts are summed by Spark for each label; the model has SLOTS numbers (0.25 MB) for each language
+    of the sample. A table without labelled text gives a model without
     languages. Labels may be wrong at times: they are one kind of evidence when the model is applied.
     """
     tune(docs.sparkSession)
     rows = docs.selectExpr(f"cast(`{label_col}` as string) label", f"`{text_col}` text", f"xxhash64(`{id_col}`) h").where("label is not null and label <> '' and text is not null")
     n = rows.count()
     part = rows.where(F.pmod("h", F.lit(1 << 30)) < int(min(1.0, sample / max(n, 1)) * (1 << 30))).select("label", "text")
-    known = [r.label for r in part.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(LANGUAGES).collect()]
-    part = part.where(F.col("label").isin(known))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tri: dict[str, np.ndarray] = {}

@@ -55,10 +55,12 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rest, hit = matched(boxed(docs, id=F.col(id_col), h=F.xxhash64(text_col)), covered, ["id", "h"])
     hit = hit.join(covered, same(hit, covered, ["id", "h"]), "left").select("row", "covered")
     both = rest.select("row", F.lit(None).cast("array<int>").alias("covered")).unionAll(hit)
-    both = both.withColumn("cover", F.map_from_arrays("covered", F.col("covered")))
     text = F.col("row")[text_col]
     lines = F.split(F.coalesce(text, F.lit("")), "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.coalesce(F.map_contains_key("cover", i), F.lit(False))), "\n")
+    # The positions left come from one hashed difference, and each is one look into an array that is split once.
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "covered")
+    split = F.array(F.struct(lines.alias("lines"), left.alias("left")))
+    kept = F.get(F.transform(split, lambda s: F.array_join(F.transform(s["left"], lambda i: F.get(s["lines"], i)), "\n")), 0)
     made = F.when(F.col("covered").isNull(), text).otherwise(kept).alias(text_col)
     return both.select(
         *[made if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")],

@@ -2,7 +2,8 @@
 
 Geometry. Vectors are scaled by the largest norm, and one more coordinate puts them on the unit sphere;
 queries are scaled onto it as well. Largest inner product then is smallest Euclidean distance, and
-the triangle inequality holds.
+the triangle inequality holds. Before that all vectors of a dimension are divided by a power of two, and each
+vector's own products are made with its mantissas: no norm or product over- or underflows on the way to a score.
 
 Shards. A bounded sample of the vectors are pivots. Every vector is in the cell of its nearest pivot,
 and large cells are cut into shards of bounded size by a hash. A shard's vantage-point tree is built
@@ -37,19 +38,38 @@ FACTOR = 1.15
 SLACK = 1e-9
 
 
+def mantissas(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each vector divided by a power of two so that its components are below 1, and the exponents."""
+    exponent = np.frexp(np.abs(x).max(axis=1, initial=0.0))[1].astype(np.int64)
+    return np.ldexp(x, -exponent[:, None]), exponent
+
+
+def raised(x: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """x times 2 ** exponent; infinite, or 0, where that is beyond doubles."""
+    with np.errstate(over="ignore", under="ignore"):
+        return np.ldexp(x, np.clip(exponent, -4000, 4000).astype(np.int32))
+
+
+def in_units(score: np.ndarray, exponent: np.ndarray) -> np.ndarray:
+    """A bound on the products, divided by 2 ** exponent, of vectors that score as much: scores beyond doubles are all alike."""
+    most = np.finfo(float).max
+    return np.where(score == -np.inf, -np.inf, raised(np.clip(score, -most, most), -exponent))
+
+
 def lifted(x: np.ndarray, most: float) -> np.ndarray:
     """Vectors of norm up to most, on the unit sphere with one more coordinate."""
     x = x / most
     return np.column_stack([x, np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", x, x), 0))])
 
 
-def build_tree(ids: np.ndarray, x: np.ndarray, most: float, leaf: int = LEAF) -> tuple:
-    """(ids, vectors, most, nodes): rows in tree order.
+def build_tree(ids: np.ndarray, x: np.ndarray, most: float, leaf: int = LEAF, unit: int = 0) -> tuple:
+    """(ids, mantissas, their exponents less unit, most, unit, nodes): rows in tree order. most: the largest norm divided by 2 ** unit.
 
     A node is (begin, end, middle, radius, vantage vector, least and largest distances of both halves,
     left, right); leaves have no vantage vector.
     """
-    full = lifted(x, most)
+    x, exponent = mantissas(x)
+    full = lifted(raised(x, exponent[:, None] - unit), most)
     order, nodes = np.arange(len(x)), []
 
     def grow(begin: int, end: int) -> int:
@@ -69,7 +89,7 @@ def build_tree(ids: np.ndarray, x: np.ndarray, most: float, leaf: int = LEAF) ->
         return k
 
     grow(0, len(x))
-    return ids[order], x[order], most, nodes
+    return ids[order], x[order], exponent[order] - unit, most, unit, nodes
 
 
 def search_tree(tree: tuple, query_ids: np.ndarray, q: np.ndarray, bound: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,15 +97,23 @@ def search_tree(tree: tuple, query_ids: np.ndarray, q: np.ndarray, bound: np.nda
 
     bound: a score that the k-th best reaches at least (-inf: none known); lower ones need not be found.
     """
-    ids, x, most, nodes = tree
+    ids, x, exponent, most, unit, nodes = tree
+    q, own = mantissas(q)
+    # Products of mantissas and of vectors in units are scores divided by 2 ** power.
+    power = own + unit
     score, best = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
     count, size = np.zeros(len(q), np.int64), np.sqrt(np.einsum("ij,ij->i", q, q))
     unit = np.column_stack([q / size[:, None], np.zeros(len(q))])
-    slack = SLACK * size * most
+    # The last term: products that differ by less than the least double score the same.
+    slack = SLACK * size * most + raised(np.full(len(q), 1e-323), -power)
+
+    def floor(rows: np.ndarray) -> np.ndarray:
+        """The product from which on a vector still counts."""
+        return in_units(np.maximum(score[rows, -1], bound[rows]), power[rows]) - slack[rows]
 
     def far(rows: np.ndarray) -> np.ndarray:
         """Distance within which a query still looks."""
-        least = np.maximum(score[rows, -1], bound[rows]) - slack[rows]
+        least = floor(rows)
         return np.sqrt(np.maximum(2 - 2 * least / (size[rows] * most), 0))
 
     # A stack of (node, queries, their lower bounds on the distance); the nearer half is on top.
@@ -101,13 +129,13 @@ def search_tree(tree: tuple, query_ids: np.ndarray, q: np.ndarray, bound: np.nda
         if not len(rows):
             continue
         if v is None:
-            s = q[rows] @ x[begin:end].T
+            s = q[rows] @ raised(x[begin:end], exponent[begin:end, None]).T
             s[ids[begin:end] == query_ids[rows][:, None]] = -np.inf
             count[rows] += end - begin
-            i, j = np.nonzero(s >= np.maximum(np.maximum(score[rows, -1], bound[rows]) - slack[rows], -np.finfo(float).max)[:, None])
+            i, j = np.nonzero(s >= np.maximum(floor(rows), -np.finfo(float).max)[:, None])
             if len(i):
                 exact = np.full(s.shape, -np.inf)
-                exact[i, j] = np.einsum("ij,ij->i", q[rows[i]], x[begin + j])
+                exact[i, j] = raised(np.einsum("ij,ij->i", q[rows[i]], x[begin + j]), power[rows[i]] + exponent[begin + j])
                 s, i = np.hstack([score[rows], exact]), np.hstack([best[rows], np.broadcast_to(ids[begin:end], s.shape)])
                 by = np.lexsort((i, -s), axis=-1)[:, :k]
                 score[rows], best[rows] = np.take_along_axis(s, by, 1), np.take_along_axis(i, by, 1)
@@ -124,7 +152,8 @@ def search_tree(tree: tuple, query_ids: np.ndarray, q: np.ndarray, bound: np.nda
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = FACTOR, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_queries: int = BLOCK_QUERIES, pivots: int = PIVOTS) -> DataFrame:
     """(query_id, rank, id, score, n_scored): each query's k nearest of vectors by inner product in double precision.
 
-    Nearest first, ties to the smaller id, all candidates where there are fewer than k. Rows with a
+    Nearest first, ties to the smaller id, all candidates where there are fewer than k. A product that is
+    beyond doubles scores infinity, one that is below them 0, and such ones are ties. Rows with a
     null id, or a vector that is null, empty, zero or holds null or non-finite components, take no
     part on either side; only vectors of a query's own dimension are its candidates. Rows that repeat
     an id count once (the greatest vector, in array order). Extra columns are ignored. An empty table
@@ -143,23 +172,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         return v.flatten().to_numpy().reshape(len(v), -1) if len(v) else np.zeros((0, 1))
 
     rows, asked = checkpoint(clean(vectors)), checkpoint(clean(queries))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    largest = rows.groupBy("dim").agg(F.max(F.array_max(F.transform("v", F.abs))).alias("most")).collect()
+    units = {r.dim: int(np.frexp(r.most)[1]) for r in largest}
+    # Two factors: one power of two may be beyond doubles.
+    half = {d: (2.0 ** (-e // 2), 2.0 ** (-e - -e // 2)) for d, e in units.items()}
+    scale = F.create_map(*[x for d, (a, b) in half.items() for x in (F.lit(d), F.array(F.lit(a), F.lit(b)))]) if half else F.create_map()
+    scale = scale[F.col("dim")] if half else F.array(F.lit(1.0), F.lit(1.0))
+    norm = F.sqrt(F.aggregate(F.transform("v", lambda x: x * scale[0] * scale[1]), F.lit(0.0), lambda a, x: a + x * x))
     most = {r.dim: r.most for r in rows.groupBy("dim").agg(F.max(norm).alias("most")).collect()}
     wanted = min(pivots, -(-rows.count() // shard_rows))
     picked: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(wanted).collect():
         picked.setdefault(r.dim, []).append(r.v)
     # A dimension without a pivot is one cell around the first axis.
-    centres = {d: lifted(np.array(picked.get(d, [[m] + [0.0] * (d - 1)])), m) for d, m in most.items()}
-    index = spark.sparkContext.broadcast((most, centres))
+    centres = {d: lifted(raised(np.array(picked[d]), -units[d]) if d in picked else np.array([[m] + [0.0] * (d - 1)]), m) for d, m in most.items()}
+    index = spark.sparkContext.broadcast((most, centres, units))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most, centres = index.value
+        most, centres, units = index.value
         for batch in batches:
             dims, cell, radius = batch.column("dim").to_numpy(), np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
-                dot = lifted(matrix(batch.column("v").take(pa.array(at))), most[d]) @ centres[d].T
+                dot = lifted(raised(matrix(batch.column("v").take(pa.array(at))), -units[d]), most[d]) @ centres[d].T
                 cell[at] = dot.argmax(1)
                 radius[at] = np.sqrt(np.maximum(2 - 2 * dot.max(1), 0))
             yield pa.RecordBatch.from_arrays([batch.column("dim"), pa.array(cell), pa.array(radius), batch.column("id"), batch.column("v")], ["dim", "cell", "radius", "id", "v"])
@@ -172,7 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     def planted(table: pa.Table) -> pa.Table:
         order, d = table.sort_by("id"), table.column("dim")[0].as_py()
-        tree = build_tree(order.column("id").to_numpy(), matrix(order.column("v")), index.value[0][d])
+        tree = build_tree(order.column("id").to_numpy(), matrix(order.column("v")), index.value[0][d], unit=index.value[2][d])
         return pa.table({"dim": order.column("dim")[:1], "cell": order.column("cell")[:1], "shard": order.column("shard")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary())})
 
     trees = homes.join(split, ["dim", "cell"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int")).select("dim", "cell", "shard", "id", "v")
@@ -181,7 +216,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     def routed(first: bool):
         def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            (most, centres), shards = index.value, where.value
+            (most, centres, units), shards = index.value, where.value
             for batch in batches:
                 dims, q_row, q_cell, q_shard = batch.column("dim").to_numpy(), [], [], []
                 bounds = batch.column("bound").to_numpy()
@@ -189,7 +224,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                     if d not in most:
                         continue
                     at = np.flatnonzero(dims == d)
-                    q = matrix(batch.column("v").take(pa.array(at)))
+                    q, own = mantissas(matrix(batch.column("v").take(pa.array(at))))
+                    power = own + units[d]
                     size = np.sqrt(np.einsum("ij,ij->i", q, q))
                     dot = np.column_stack([q / size[:, None], np.zeros(len(q))]) @ centres[d].T
                     dist = np.sqrt(np.maximum(2 - 2 * dot, 0))
@@ -205,7 +241,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
                         apart = np.sqrt(np.maximum(2 - 2 * (centres[d][home] @ centres[d].T), 0))
                         plane = (dist**2 - dist[np.arange(len(q)), home][:, None] ** 2) / np.maximum(2 * apart, 1e-12)
                         low = np.maximum(low, np.where(apart > 1e-9, plane, 0))
-                        far = np.sqrt(np.maximum(2 - 2 * (bounds[at] / (size * most[d]) - SLACK), 0))
+                        least = in_units(bounds[at], power) - raised(np.full(len(at), 1e-323), -power)
+                        far = np.sqrt(np.maximum(2 - 2 * (least / (size * most[d]) - SLACK), 0))
                         go = ~go & full & (factor * low <= far[:, None])
                     for i, c in zip(*(x.tolist() for x in np.nonzero(go)), strict=True):
                         for s in range(info[c][2]):
