@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tideline.functions import features as fe
 from tideline.functions import windows as win
-from tideline.operators import align, forecast, metrics, models, protocol, stats
+from tideline.operators import align, boosting, forecast, metrics, models, protocol, stats
 from tideline.plans.queries import QUERIES, SQL
 from tideline.plans.tables import bars_daily
 from tideline.schema import FEATURE_COLUMNS, LAG_COLUMNS
@@ -167,20 +167,25 @@ def test_model_queries_do_the_reference_job(monkeypatch):
     from tideline.plans import queries
 
     df, seen = MagicMock(), {}
+    boosting = queries.boosting
     monkeypatch.setattr(queries, "_prepared", lambda spark, d: (df, ["a"]))
     monkeypatch.setattr(queries.protocol, "expanding_folds", lambda df, k: seen.setdefault("folds", []).append(k) or df)
-    monkeypatch.setattr(queries.models, "grid_search", lambda folds, fit, grid: seen.update(grid=grid))
-    monkeypatch.setattr(queries.models, "compare_models", lambda folds, cols, zoo: seen.update(zoo=zoo))
+    monkeypatch.setattr(boosting, "search", lambda df, cols, label, points, names, k, *_: seen.setdefault("folds", []).append(k) or seen.update(grid=points))
+    monkeypatch.setattr(boosting, "compare", lambda df, cols, label, zoo, k: seen.setdefault("folds", []).append(k) or seen.update(zoo=zoo) or df)
+    monkeypatch.setattr(boosting, "budgeted_search", lambda df, cols, label, base, space, n, k: seen.update(space=space, trials=(n, k)))
+    monkeypatch.setattr(boosting, "learning_curve", lambda df, cols, label, point, shares, k: seen.update(curve=(point, shares, k)))
+    monkeypatch.setattr(boosting, "fit_model", lambda df, cols, label, point: seen.update(direction=point))
     monkeypatch.setattr(queries.metrics, "comparison_table", lambda x: x)
-    monkeypatch.setattr(queries.models, "fit_direction", lambda df, cols, **p: seen.update(direction=p))
+    monkeypatch.setattr(queries.models, "cross_validate", lambda folds, fit: df)
     monkeypatch.setattr(queries.models, "holdout", lambda df, model: None)
-    for name in ("grid_scores", "model_compare", "gbt_direction"):
+    for name in ("grid_scores", "model_compare", "gbt_direction", "random_search", "learning_curve"):
         QUERIES[name](None, "")
-    assert seen["folds"] == [5, 5] and seen["direction"]["trees"] == 200
-    assert seen["grid"] == {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}
-    assert min(z["trees"] for k, z in seen["zoo"].items() if k != "logistic") == 200
-    assert seen["zoo"]["forest"]["leaf"] == 15 and seen["zoo"]["gbt"]["sample"] == 0.8 and queries.BASELINE["leaf"] == 20
-    assert {k for k, z in seen["zoo"].items() if z.get("balanced")} == {"forest", "gbt_balanced"} and queries.BASELINE["balanced"]
+    assert seen["folds"] == [5, 5, 5] and seen["direction"].trees == 200 and seen["trials"] == (100, 5)
+    assert {(p.trees, p.rate, p.depth) for p in seen["grid"]} == {(t, r, x) for t in (100, 200) for r in (0.01, 0.05, 0.1) for x in (3, 5)}
+    assert seen["space"]["trees"] == ("int", 100, 500) and seen["space"]["depth"] == ("int", 2, 8) and seen["space"]["rate"] == ("log", 0.01, 0.3)
+    assert min(z.trees for z in seen["zoo"].values()) == 200 and seen["curve"] == (queries.BASELINE, tuple(k / 10 for k in range(1, 11)), 5)
+    assert seen["zoo"]["forest"].leaf == 15 and seen["zoo"]["gbt"].sample == 0.8 and queries.BASELINE.leaf == 20 and queries.BASELINE.trees == 100
+    assert {k for k, z in seen["zoo"].items() if z.balanced} == {"forest", "gbt_balanced"} and queries.BASELINE.balanced
 
 
 def test_balanced_classes_leaf_size_and_sampling(spark):
@@ -309,17 +314,17 @@ def test_models_are_saved_and_scored_again(spark, tmp_path):
     r = random.Random(2)
     rows = [("X", i, r.random(), r.random()) for i in range(240)]
     df = spark.createDataFrame(rows, "symbol string, ts int, a double, b double").withColumn("target_return", F.col("a") * 2 - F.col("b")).withColumn("target_direction", (F.col("a") > 0.5).cast("int"))
-    direction, huber = models.fit_direction(df, ["a", "b"], trees=3, depth=2), models.fit_huber_return(df, ["a", "b"], trees=4, depth=2)
+    direction, huber = models.fit_direction(df, ["a", "b"], trees=3, depth=2), boosting.fit_model(df, ["a", "b"], "target_return", boosting.Params(loss="huber", trees=4, depth=2))
     pca = {"columns": ["a"], "mean": [0.5], "sd": [1.0], "components": [[1.0]]}
     tables.save_models(str(tmp_path), direction=direction, huber=huber, pca=pca)
     back = tables.load_models(spark, str(tmp_path), ["direction", "huber", "pca", "absent"])
     assert set(back) == {"direction", "huber", "pca"} and back["pca"] == pca
     assert models.scored(back["direction"], df).select("ts", "probability").exceptAll(models.scored(direction, df).select("ts", "probability")).isEmpty()
     assert back["huber"].transform(df).exceptAll(huber.transform(df)).isEmpty()
-    folds = protocol.expanding_folds(df, 2)
-    found = models.random_search(folds, lambda train, **p: models.fit_direction(train, ["a", "b"], **p), {"trees": lambda r: r.randint(1, 2), "depth": lambda r: 2}, 2)
+    point = boosting.Params(loss="forest", trees=2, depth=2)
+    found = boosting.budgeted_search(df, ["a", "b"], "target_direction", boosting.Params(depth=2), {"trees": ("int", 1, 2)}, 2, 2, rounds=1)
     assert found.count() == 2 and found.first().roc_auc > 0.9
-    curve = models.learning_curve(folds, lambda train: models.fit_direction(train, ["a", "b"], kind="forest", trees=2, depth=2), (0.5, 1.0)).orderBy("share").collect()
+    curve = boosting.learning_curve(df, ["a", "b"], "target_direction", point, (0.5, 1.0), 2).orderBy("share").collect()
     assert [c.share for c in curve] == [0.5, 1.0] and all(c.val_mean > 0.8 for c in curve)
 
 

@@ -1,26 +1,19 @@
-"""Models on Spark ML, and the searches and comparisons around them."""
+"""Spark ML's own classifiers, and the scores of any model. Searches, boosted sums and forests: see boosting."""
 
 from __future__ import annotations
 
-import itertools
-import json
-import random
 from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.operators.metrics import accuracy, prf, regression_errors, roc_auc
-from tideline.schema import KEYS
-
-#: Concurrent fits of a search.
-THREADS = 8
+from tideline.operators.boosting import TreeModel
+from tideline.operators.sequence_net import SequenceNet
 
 #: Rows that one task of a fit should have at least.
 ROWS = 100_000
@@ -61,6 +54,8 @@ def fit_direction(
 
 def scored(model, df: DataFrame) -> DataFrame:
     """Adds prediction (int) and probability (of class 1)."""
+    if isinstance(model, TreeModel | SequenceNet):
+        return model.transform(df)
     out = model.transform(df)
     return out.withColumn("probability", vector_to_array("probability")[1]).withColumn("prediction", F.col("prediction").cast("int")).drop("features", "rawPrediction")
 
@@ -76,184 +71,21 @@ def _shared(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-class HuberModel:
-    """A boosted sum of regression trees; each step adds the value of a row's leaf."""
-
-    def __init__(self, columns: Sequence[str], start: float, rate: float):
-        self.columns, self.start, self.rate, self.steps = list(columns), start, rate, []
-
-    def transform(self, df: DataFrame, out: str = "predicted_return") -> DataFrame:
-        df = VectorAssembler(inputCols=self.columns, outputCol="_f").transform(df).withColumn(out, F.lit(self.start))
-        for tree, values in self.steps:
-            df = self._step(df, tree, values, out)
-        return df.drop("_f")
-
-    def save(self, path: str) -> None:
-        """Writes the trees, and the rest as one row of JSON."""
-        for k, (tree, _) in enumerate(self.steps):
-            tree.write().overwrite().save(f"{path}/tree-{k}")
-        rest = json.dumps({"columns": self.columns, "start": self.start, "rate": self.rate, "leaves": [list(v.items()) for _, v in self.steps]})
-        SparkSession.active().createDataFrame([(rest,)], "value string").write.mode("overwrite").text(f"{path}/huber")
-
-    @classmethod
-    def load(cls, path: str) -> HuberModel:
-        rest = json.loads(SparkSession.active().read.text(f"{path}/huber").first()[0])
-        out = cls(rest["columns"], rest["start"], rest["rate"])
-        out.steps = [(DecisionTreeRegressionModel.load(f"{path}/tree-{k}"), {a: b for a, b in v}) for k, v in enumerate(rest["leaves"])]
-        return out
-
-    def _step(self, df: DataFrame, tree, values: dict[float, float], out: str) -> DataFrame:
-        pairs = F.create_map(*[F.lit(float(x)) for p in values.items() for x in p])
-        return tree.transform(df).withColumn(out, F.col(out) + self.rate * F.coalesce(pairs[F.col("_leaf")], F.lit(0.0))).drop("_leaf", "_t")
-
-
-def fit_huber_return(df: DataFrame, columns: Sequence[str], label: str = "target_return", alpha: float = 0.9, trees: int = 10, depth: int = 3, rate: float = 0.1) -> HuberModel:
-    """Boosting with the Huber loss: trees on clipped residuals, leaves at median plus mean clipped deviation."""
-    model = HuberModel(columns, df.agg(F.median(label)).first()[0] or 0.0, rate)
-    data = VectorAssembler(inputCols=list(columns), outputCol="_f").transform(df).withColumn("_y", F.lit(model.start))
-    for k in range(trees):
-        if k % 5 == 0:
-            data = data.checkpoint() if data.sparkSession.sparkContext.getCheckpointDir() else data.persist()
-        data = data.withColumn("_r", F.col(label) - F.col("_y"))
-        delta = data.agg(F.percentile_approx(F.abs("_r"), alpha, 10000)).first()[0] or 0.0
-        clipped = data.withColumn("_g", F.greatest(F.least("_r", F.lit(delta)), F.lit(-delta)))
-        tree = DecisionTreeRegressor(featuresCol="_f", labelCol="_g", predictionCol="_t", maxDepth=depth, seed=k).setLeafCol("_leaf").fit(clipped)
-        leaves = tree.transform(clipped)
-        middle = leaves.groupBy("_leaf").agg(F.median("_r").alias("_m"))
-        dev = F.col("_r") - F.col("_m")
-        values = leaves.join(F.broadcast(middle), "_leaf").groupBy("_leaf").agg((F.first("_m") + F.avg(F.signum(dev) * F.least(F.abs(dev), F.lit(delta)))).alias("v")).collect()
-        model.steps.append((tree, {r["_leaf"]: r["v"] for r in values}))
-        data = model._step(data.drop("_r"), *model.steps[-1], "_y")
-    return model
-
-
-def _folds(df: DataFrame) -> list[int]:
-    return [r.fold for r in df.select("fold").distinct().orderBy("fold").collect()]
-
-
 def sized(df: DataFrame, rows: int = ROWS) -> DataFrame:
     """df kept in memory, in no more tasks than its rows call for: each tree takes a job a level."""
     df = df.persist()
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
-def _scores(folds: DataFrame, fits: Sequence[Callable[[DataFrame], object]], label: str) -> list[tuple[int, int, dict]]:
-    """(number of the fit, fold, scores) of each fit on each fold; one row a pair comes to the driver."""
-    folds = sized(folds)
-
-    def one(pair: tuple[int, int]) -> tuple[int, int, dict] | None:
-        i, k = pair
-        rows = folds.where(F.col("fold") == k)
-        row = holdout(rows.where("part = 'test'"), fits[i](rows.where("part = 'train'")), label).first()
-        return row and (i, k, row.asDict())
-
-    with ThreadPool(THREADS) as pool:
-        return [r for r in pool.map(one, itertools.product(range(len(fits)), _folds(folds)), 1) if r]
-
-
-def _score_table(spark: SparkSession, rows: Sequence[dict], last: str) -> DataFrame:
-    return spark.createDataFrame(rows, ", ".join(f"{m} double" for m in SCORES) + ", " + last)
-
-
 def cross_validate(folds: DataFrame, fit: Callable[[DataFrame], object], label: str = "target_direction") -> DataFrame:
-    """Scores of fit on each fold of expanding_folds."""
-    rows = [{**row, "fold": k} for _, k, row in _scores(folds, [fit], label)]
-    return _score_table(folds.sparkSession, rows, "fold int")
-
-
-def grid_search(folds: DataFrame, fit: Callable[..., object], grid: dict[str, Sequence], label: str = "target_direction", metric: str = "roc_auc") -> DataFrame:
-    """(params, metric): mean score over the folds for every point of the grid, best first."""
-    return _search(folds, fit, [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())], label, metric)
-
-
-def random_search(folds: DataFrame, fit: Callable[..., object], space: dict[str, Callable[[random.Random], object]], n: int = 100, label: str = "target_direction", metric: str = "roc_auc", seed: int = 42) -> DataFrame:
-    """As grid_search, for n points drawn from the space."""
-    r = random.Random(seed)
-    return _search(folds, fit, [{k: draw(r) for k, draw in space.items()} for _ in range(n)], label, metric)
-
-
-def _search(folds: DataFrame, fit: Callable[..., object], points: list[dict], label: str, metric: str) -> DataFrame:
-    found = _scores(folds, [lambda train, point=point: fit(train, **point) for point in points], label)
-    rows = []
-    for i, point in enumerate(points):
-        values = [row[metric] for j, _, row in found if j == i and row[metric] is not None]
-        rows.append(({k: str(v) for k, v in point.items()}, sum(values) / len(values) if values else None))
-    return folds.sparkSession.createDataFrame(rows, f"params map<string,string>, {metric} double").orderBy(F.desc(metric))
-
-
-def compare_models(folds: DataFrame, columns: Sequence[str], zoo: dict[str, dict], label: str = "target_direction") -> DataFrame:
-    """(scores, fold, model) for each named parameter set of fit_direction."""
-    names = list(zoo)
-    fits = [lambda train, params=zoo[n]: fit_direction(train, columns, label, **params) for n in names]
-    rows = [{**row, "fold": k, "model": names[i]} for i, k, row in _scores(folds, fits, label)]
-    return _score_table(folds.sparkSession, rows, "fold int, model string")
-
-
-def learning_curve(folds: DataFrame, fit: Callable[[DataFrame], object], shares: Sequence[float], label: str = "target_direction", order: str = "ts") -> DataFrame:
-    """(share, train accuracy, validation accuracy): mean and deviation over the folds, for prefixes of the training part."""
-    by = Window.partitionBy("fold", "part", *KEYS).orderBy(order)
-    folds = sized(folds.withColumn("_rank", F.percent_rank().over(by)))
-
-    def one(pair: tuple[int, float]) -> tuple[float, float | None, float | None]:
-        k, share = pair
+    """(scores, fold) of any fit, fold by fold, on the rows of expanding_folds: for models that don't grow together."""
+    out = None
+    for k in [r.fold for r in folds.select("fold").distinct().orderBy("fold").collect()]:
         rows = folds.where(F.col("fold") == k)
-        part = rows.where(f"part = 'train' and _rank <= {share}")
-        model = fit(part)
-        ends = [holdout(x, model, label).first() for x in (part, rows.where("part = 'test'"))]
-        return share, *[r and r["accuracy"] for r in ends]
-
-    with ThreadPool(THREADS) as pool:
-        rows = pool.map(one, itertools.product(_folds(folds), shares), 1)
-    out = folds.sparkSession.createDataFrame(rows, "share double, train double, val double")
-    return out.groupBy("share").agg(*[f(c).alias(f"{c}_{n}") for c in ("train", "val") for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
-
-
-def importances(model, columns: Sequence[str]) -> DataFrame:
-    values = model.stages[-1].featureImportances.toArray().tolist()
-    return SparkSession.active().createDataFrame(list(zip(columns, values, strict=True)), "feature string, importance double").orderBy(F.desc("importance"))
-
-
-def ablate(train: DataFrame, test: DataFrame, columns: Sequence[str], column: str, label: str = "target_direction", **params) -> tuple[DataFrame, DataFrame]:
-    """Hold-out scores with all columns, and without one."""
-    return tuple(holdout(test, fit_direction(train, cols, label, **params), label) for cols in (list(columns), [c for c in columns if c != column]))
-
-
-def fit_two_head(seqs: DataFrame, val: DataFrame | None = None, regs: Sequence[float] = (0.3, 0.1, 0.03, 0.01), seq: str = "seq"):
-    """Two linear heads over flattened sequences: (return model, direction model). Score with score_two_head.
-
-    Of the regularisations each head takes the one with the least loss on val, as early stopping
-    would; without val the last one.
-    """
-    flat = seqs.withColumn("features", array_to_vector(F.flatten(seq))).persist()
-    held = val.withColumn("features", array_to_vector(F.flatten(seq))).persist() if val is not None else None
-    returns = [LinearRegression(labelCol="target_return", regParam=r, predictionCol="predicted_return").fit(flat) for r in regs]
-    directions = [LogisticRegression(labelCol="target_direction", regParam=r, maxIter=30).fit(flat) for r in regs]
-
-    def mse(m) -> float:
-        return m.transform(held).agg(F.avg(F.pow(F.col("target_return") - F.col("predicted_return"), 2))).first()[0] or 0.0
-
-    def log_loss(m) -> float:
-        p = vector_to_array("probability")[F.col("target_direction").cast("int")]
-        return m.transform(held).agg(F.avg(-F.ln(F.greatest(p, F.lit(1e-15))))).first()[0] or 0.0
-
-    best = (returns[-1], directions[-1]) if held is None else (min(returns, key=mse), min(directions, key=log_loss))
-    for df in (flat, held):
-        if df is not None:
-            df.unpersist()
-    return best
-
-
-def score_two_head(seqs: DataFrame, heads, seq: str = "seq") -> DataFrame:
-    flat = seqs.withColumn("features", array_to_vector(F.flatten(seq)))
-    return scored(heads[1], heads[0].transform(flat)).drop(seq)
-
-
-def bias_variance(train: DataFrame, val: DataFrame, columns: Sequence[str], label: str = "target_direction", **params) -> DataFrame:
-    """Accuracy of a forest on both blocks, to judge by stats.bias_variance_verdict."""
-    model = fit_direction(train, columns, label, kind="forest", **params)
-    a, b = (holdout(x, model, label).select(F.col("accuracy").alias(n)).withColumn("_", F.lit(1)) for x, n in ((train, "train"), (val, "val")))
-    return a.join(b, "_").drop("_")
+        one = holdout(rows.where("part = 'test'"), fit(rows.where("part = 'train'")), label).withColumn("fold", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-def regression_scores(df: DataFrame, model: HuberModel, label: str = "target_return", keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def regression_scores(df: DataFrame, model, label: str = "target_return", keys: Sequence[str] = ("symbol",)) -> DataFrame:
     return regression_errors(model.transform(df), label, "predicted_return", keys)

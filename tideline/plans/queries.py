@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tideline.functions import features as fe
 from tideline.functions import windows as win
-from tideline.operators import align, forecast, metrics, models, protocol, stats
+from tideline.operators import align, boosting, forecast, metrics, models, protocol, sequence_net, stats
+from tideline.operators.boosting import Params
 from tideline.plans.tables import SQL_MACRO, SQL_PRED, bars_daily, bars_hourly, macro_daily, macro_long, predictions, sql_bars
 from tideline.schema import FEATURE_COLUMNS, LAG_COLUMNS, inputs
 from tideline.sources import bars as src
@@ -493,87 +494,113 @@ def lag_pca(spark, d):
     return protocol.apply_lag_pca(df, protocol.fit_lag_pca(df.where(FITTED), LAG_COLUMNS))
 
 
-#: The reference's parameters: its best boosters, grid, folds, compared models and forest.
-DIRECTION, HUBER = {"trees": 200, "depth": 5, "rate": 0.01}, {"trees": 100, "depth": 3, "rate": 0.01}
-GRID, FOLDS = {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}, 5
+#: The reference's parameters: its best boosters, grid, folds, compared models, search ranges and forest.
+DIRECTION, HUBER = Params(trees=200, depth=5, rate=0.01), Params(loss="huber", trees=100, depth=3, rate=0.01)
+GRID, FOLDS, TRIALS, SHARES = {"trees": [100, 200], "rate": [0.01, 0.05, 0.1], "depth": [3, 5]}, 5, 100, tuple(k / 10 for k in range(1, 11))
 ZOO = {
-    "forest": {"kind": "forest", "trees": 200, "depth": 8, "leaf": 15, "balanced": True},
-    "gbt": {"kind": "gbt", "trees": 200, "depth": 4, "rate": 0.05, "sample": 0.8},
-    "gbt_subsample": {"kind": "gbt_subsample", "trees": 300, "depth": 4, "rate": 0.05},
-    "gbt_balanced": {"kind": "gbt_subsample", "trees": 300, "depth": 4, "rate": 0.05, "balanced": True},
-    "logistic": {"kind": "logistic"},
+    "forest": Params(loss="forest", trees=200, depth=8, leaf=15, balanced=True, features=4),
+    "gbt": Params(trees=200, depth=4, rate=0.05, sample=0.8),
+    "gbt_subsample": Params(trees=300, depth=4, rate=0.05, sample=0.8, columns=0.8, newton=True),
+    "gbt_balanced": Params(trees=300, depth=4, rate=0.05, sample=0.8, columns=0.8, newton=True, balanced=True),
 }
-ABLATION, BASELINE = {"kind": "gbt", "trees": 200, "depth": 3, "rate": 0.05}, {"trees": 100, "depth": 6, "leaf": 20, "balanced": True}
+RANGES = {
+    "trees": ("int", 100, 500), "depth": ("int", 2, 8), "rate": ("log", 0.01, 0.3), "sample": ("float", 0.5, 1.0),
+    "columns": ("float", 0.5, 1.0), "leaf": ("int", 5, 50), "ridge": ("log", 1e-4, 10.0),
+}
+ABLATION, BASELINE = Params(trees=200, depth=3, rate=0.05), Params(loss="forest", trees=100, depth=6, leaf=20, balanced=True, features=4)
+UP, RETURN = "target_direction", "target_return"
 
 
 @query()
 def gbt_direction(spark, d):
     df, cols = _prepared(spark, d)
-    return models.holdout(df.where("block = 'test'"), models.fit_direction(df.where(FITTED), cols, **DIRECTION))
+    return models.holdout(df.where("block = 'test'"), boosting.fit_model(df.where(FITTED), cols, UP, DIRECTION))
 
 
 @query()
 def gbt_importances(spark, d):
     df, cols = _prepared(spark, d)
-    return models.importances(models.fit_direction(df.where(FITTED), cols, **DIRECTION), cols)
+    return boosting.fit_model(df.where(FITTED), cols, UP, DIRECTION).importances()
 
 
 @query()
 def huber_return(spark, d):
     df, cols = _prepared(spark, d)
-    return models.regression_scores(df.where("block = 'test'"), models.fit_huber_return(df.where(FITTED), cols, **HUBER))
+    return models.regression_scores(df.where("block = 'test'"), boosting.fit_model(df.where(FITTED), cols, RETURN, HUBER))
+
+
+def _compared(df, cols) -> DataFrame:
+    """Scores by model and fold: all trees together, and a logistic model."""
+    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
+    linear = models.cross_validate(folds, lambda train: models.fit_direction(train, cols, kind="logistic"))
+    return boosting.compare(df.where(FITTED), cols, UP, ZOO, FOLDS).unionByName(linear.withColumn("model", F.lit("logistic")))
 
 
 @query()
 def model_compare(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
-    return metrics.comparison_table(models.compare_models(folds, cols, ZOO))
+    return metrics.comparison_table(_compared(df, cols))
 
 
 @query()
 def grid_scores(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
-    return models.grid_search(folds, lambda train, **p: models.fit_direction(train, cols, **p), GRID)
+    return boosting.search(df.where(FITTED), cols, UP, boosting.grid_points(Params(), GRID), list(GRID), FOLDS)
+
+
+@query()
+def grid_return(spark, d):
+    """The grid for the return: Huber loss, by mean absolute error."""
+    df, cols = _prepared(spark, d)
+    return boosting.search(df.where(FITTED), cols, RETURN, boosting.grid_points(Params(loss="huber"), GRID), list(GRID), FOLDS, "mae")
+
+
+@query()
+def tuned_holdout(spark, d):
+    """The comparison table with one more row: the grid's best point, fitted again on all blocks before the test block and scored on that."""
+    df, cols = _prepared(spark, d)
+    found = boosting.search(df.where(FITTED), cols, UP, boosting.grid_points(Params(), GRID), list(GRID), FOLDS)
+    tuned = boosting.refitted(df.where(FITTED), cols, UP, Params(), found, GRID)
+    return metrics.comparison_table(_compared(df, cols), models.holdout(df.where("block = 'test'"), tuned).withColumn("model", F.lit("tuned_holdout")))
 
 
 @query()
 def random_search(spark, d):
-    """Points drawn from the grid's ranges, as many as the grid has."""
+    """100 points of the reference's ranges; a third of a round's points goes on after each rung."""
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
-    space = {"trees": lambda r: r.randint(100, 200), "depth": lambda r: r.randint(3, 5), "rate": lambda r: 10 ** r.uniform(-2, -1)}
-    return models.random_search(folds, lambda train, **p: models.fit_direction(train, cols, **p), space, 12)
+    return boosting.budgeted_search(df.where(FITTED), cols, UP, Params(newton=True), RANGES, TRIALS, FOLDS)
 
 
 @query()
 def learning_curve(spark, d):
     df, cols = _prepared(spark, d)
-    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
-    return models.learning_curve(folds, lambda train: models.fit_direction(train, cols, kind="forest", **BASELINE), (0.2, 0.4, 0.6, 0.8, 1.0))
+    return boosting.learning_curve(df.where(FITTED), cols, UP, BASELINE, SHARES, FOLDS)
 
 
 @query()
 def macro_ablation(spark, d):
     df, cols = _prepared(spark, d)
-    with_, without = models.ablate(df.where(FITTED), df.where("block = 'test'"), cols, "yield_differential", **ABLATION)
+    test = df.where("block = 'test'")
+    with_, without = (models.holdout(test, boosting.fit_model(df.where(FITTED), c, UP, ABLATION)) for c in (cols, [c for c in cols if c != "yield_differential"]))
     return metrics.ablation_table(with_, without, ("accuracy", "roc_auc"))
 
 
 @query()
 def bias_variance(spark, d):
     df, cols = _prepared(spark, d)
-    return stats.bias_variance_verdict(models.bias_variance(df.where("block = 'train'"), df.where("block = 'val'"), cols, **BASELINE), "train", "val")
+    train, val = F.col("block") == "train", F.col("block") == "val"
+    scores = boosting.evaluated(df, cols, UP, BASELINE, train, {"train": train, "val": val})
+    wide = scores.agg(*[F.max(F.when(F.col("name") == n, F.col("accuracy"))).alias(n) for n in ("train", "val")])
+    return stats.bias_variance_verdict(wide, "train", "val")
 
 
 @query()
 def two_head_sequences(spark, d):
     df, cols = _prepared(spark, d)
-    seqs = protocol.sequences(df, cols, 20, ("target_return", "target_direction"))
-    heads = models.fit_two_head(seqs.where("block = 'train'"), seqs.where("block = 'val'"))
-    out = models.score_two_head(seqs.where("block = 'test'"), heads)
-    return metrics.accuracy(out, "target_direction", "prediction").join(metrics.regression_errors(out, "target_return", "predicted_return"), "symbol")
+    seqs = protocol.sequences(df, cols, 20, (RETURN, UP)).persist()
+    net = sequence_net.fit_sequences(seqs, F.col("block") == "train", F.col("block") == "val")
+    out = net.transform(seqs.where("block = 'test'")).drop("seq").persist()
+    return metrics.accuracy(out, UP, "prediction").join(metrics.roc_auc(out, UP, "probability"), "symbol").join(metrics.regression_errors(out, RETURN, "predicted_return"), "symbol")
 
 
 @query("SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS tick_volume FROM events GROUP BY ALL HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")

@@ -11,7 +11,8 @@ from pyspark.ml.util import MLWritable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.operators.models import HuberModel
+from tideline.operators.boosting import TreeModel
+from tideline.operators.sequence_net import SequenceNet
 from tideline.schema import LEDGER, RUNS
 from tideline.sources.bars import union_precedence
 
@@ -89,20 +90,20 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LEDGER).parquet(path).orderBy(F.desc("as_of_date"))
 
 
-def save_models(path: str, **models: MLWritable | HuberModel | dict) -> None:
-    """Fitted pipelines, boosted sums of trees, and parameters of scalers and components (as JSON), each in a folder of its name."""
+def save_models(path: str, **models: MLWritable | TreeModel | SequenceNet | dict) -> None:
+    """Fitted pipelines, sums of trees, sequence nets, and parameters of scalers and components (as JSON), each in a folder of its name."""
     for name, model in models.items():
         if isinstance(model, dict):
             SparkSession.active().createDataFrame([(json.dumps(model),)], "value string").write.mode("overwrite").text(f"{path}/{name}/params")
-        elif isinstance(model, HuberModel):
+        elif isinstance(model, TreeModel | SequenceNet):
             model.save(f"{path}/{name}")
         else:
             model.write().overwrite().save(f"{path}/{name}")
 
 
-def load_models(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, PipelineModel | HuberModel | dict]:
+def load_models(spark: SparkSession, path: str, names: Sequence[str]) -> dict[str, PipelineModel | TreeModel | SequenceNet | dict]:
     """Those of the named models that are there; each loads by itself."""
-    loaders = {"metadata": PipelineModel.load, "huber": HuberModel.load, "params": lambda p: json.loads(spark.read.text(f"{p}/params").first()[0])}
+    loaders = {"metadata": PipelineModel.load, "trees": TreeModel.load, "net": SequenceNet.load, "params": lambda p: json.loads(spark.read.text(f"{p}/params").first()[0])}
     return {n: load(f"{path}/{n}") for n in names for mark, load in loaders.items() if exists(spark, f"{path}/{n}/{mark}")}
 
 
