@@ -71,7 +71,7 @@ def test_stops_early_and_keeps_the_best(windows):
     model = _fit(noise, epochs=60, patience=4)
     held = [v for _, v in model.history]
     assert len(held) < 60 and held.index(min(held)) == len(held) - 5
-    blocks = net.window_blocks(noise, "seq", "target_return", "target_direction", {"val": F.col("block") == "val"}, ("symbol", "ts"))
+    blocks = net.window_blocks(noise, "seq", "target_return", "target_direction", {"val": F.col("block") == "val"}, ("symbol", "ts"), model.scale)
     n, loss, _ = net.summed(blocks, "val", model.weights, False)
     assert np.isclose(loss / n, min(held))
 

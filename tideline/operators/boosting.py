@@ -760,7 +760,7 @@ def proposed(known: Sequence[tuple[np.ndarray, float]], width: int, n: int, rand
     whose density among these, against that among the rest, is largest (greater values are better)."""
     if len(known) < 10:
         return list(random.random((n, width)))
-    at = np.array([u for u, _ in sorted(known, key=lambda x: -x[1])])
+    at = np.array([u for u, _ in sorted(known, key=lambda x: x[1], reverse=True)])
     good, rest = np.split(at, [max(3, len(at) // 4)])
 
     def density(x: np.ndarray, centres: np.ndarray) -> np.ndarray:

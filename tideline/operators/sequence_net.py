@@ -30,9 +30,9 @@ class NetParams:
     """batches: mini-batches of an epoch (a window's batch is drawn anew each epoch)."""
 
     hidden: int = 64
-    rate: float = 0.001
+    rate: float = 0.002
     epochs: int = 100
-    batches: int = 8
+    batches: int = 6
     patience: int = 10
     ridge: float = 1e-4
     seed: int = 42
@@ -63,10 +63,10 @@ def loss_and_gradient(w: Weights, x: np.ndarray, y: np.ndarray) -> tuple[float,
     return loss, {"shared": x.T @ dz, "bias": dz.sum(0), "heads": z.T @ d, "shift": d.sum(0)}
 
 
-def window_blocks(df: DataFrame, seq: str, value: str, direction: str, sets: dict[str, Column], keys: Sequence[str]) -> DataFrame:
-    """(rows, x, y, id, set): windows of each set in blocks. Rows without a label, or with a null or NaN in the window, are left out."""
+def window_blocks(df: DataFrame, seq: str, value: str, direction: str, sets: dict[str, Column], keys: Sequence[str], scale: tuple[float, float] = (0.0, 1.0)) -> DataFrame:
+    """(rows, x, y, id, set): windows of each set in blocks. Returns are less the first of scale, divided by the second. Rows without a label, or with a null or NaN in the window, are left out."""
     flat = F.flatten(seq)
-    rows = df.select(flat.alias("x"), F.col(value).cast("double").alias("v"), F.col(direction).cast("double").alias("d"), F.xxhash64(*keys).alias("id"), F.coalesce(*[F.when(c, F.lit(s)) for s, c in sets.items()]).alias("set"))
+    rows = df.select(flat.alias("x"), ((F.col(value).cast("double") - scale[0]) / scale[1]).alias("v"), F.col(direction).cast("double").alias("d"), F.xxhash64(*keys).alias("id"), F.coalesce(*[F.when(c, F.lit(s)) for s, c in sets.items()]).alias("set"))
     rows = rows.where("v is not null and d is not null and set is not null").where(F.forall("x", lambda x: F.coalesce(~F.isnan(x), F.lit(False))))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,14 +128,14 @@ def summed(blocks: DataFrame, name: str, w: Weights, gradient: bool, batch: tupl
 
 
 class SequenceNet:
-    """Weights of the shared layer and both heads; history: (training loss, validation loss) of each epoch."""
+    """Weights of the shared layer and both heads; history: (training loss, validation loss) of each epoch; scale: mean and deviation of returns."""
 
-    def __init__(self, weights: Weights, history: Sequence[tuple[float, float]] = ()):
-        self.weights, self.history = weights, list(history)
+    def __init__(self, weights: Weights, history: Sequence[tuple[float, float]] = (), scale: tuple[float, float] = (0.0, 1.0)):
+        self.weights, self.history, self.scale = weights, list(history), scale
 
     def transform(self, df: DataFrame, seq: str = "seq") -> DataFrame:
         """Adds predicted_return, probability and prediction; null where the window is null or has a gap."""
-        shared = df.sparkSession.sparkContext.broadcast(self.weights)
+        shared, (mean, deviation) = df.sparkSession.sparkContext.broadcast(self.weights), self.scale
 
         @F.pandas_udf("struct<predicted_return:double,probability:double>")
         def scored(windows):
@@ -146,25 +146,30 @@ class SequenceNet:
             out = np.full((len(windows), 2), np.nan)
             if known.any():
                 _, value, logit = forward(w, np.stack([np.asarray(v, float) for v in windows[known]]))
-                out[known] = np.column_stack([value, 1 / (1 + np.exp(-logit))])
+                out[known] = np.column_stack([value * deviation + mean, 1 / (1 + np.exp(-logit))])
             return pd.DataFrame(out, columns=["predicted_return", "probability"])
 
         out = df.withColumn("_s", scored(F.flatten(seq)))
         return out.select(*df.columns, *[F.nanvl(F.col(f"_s.{c}"), F.lit(None).cast("double")).alias(c) for c in ("predicted_return", "probability")]).withColumn("prediction", (F.col("probability") >= 0.5).cast("int"))
 
     def save(self, path: str) -> None:
-        row = json.dumps({"weights": {k: v.tolist() for k, v in self.weights.items()}, "history": self.history})
+        row = json.dumps({"weights": {k: v.tolist() for k, v in self.weights.items()}, "history": self.history, "scale": self.scale})
         SparkSession.active().createDataFrame([(row,)], "value string").write.mode("overwrite").text(f"{path}/net")
 
     @classmethod
     def load(cls, path: str) -> SequenceNet:
         row = json.loads(SparkSession.active().read.text(f"{path}/net").first()[0])
-        return cls({k: np.array(v) for k, v in row["weights"].items()}, [tuple(h) for h in row["history"]])
+        return cls({k: np.array(v) for k, v in row["weights"].items()}, [tuple(h) for h in row["history"]], tuple(row["scale"]))
 
 
 def fit_sequences(df: DataFrame, train: Column, val: Column, p: NetParams = NetParams(), seq: str = "seq", value: str = "target_return", direction: str = "target_direction", keys: Sequence[str] = ("symbol", "ts")) -> SequenceNet:
-    """Trains on the windows where train holds, until those of val get no better. Without training windows the first weights stay."""
-    blocks = window_blocks(df, seq, value, direction, {"train": train, "val": val}, keys)
+    """Trains on the windows where train holds, until those of val get no better. Without training windows the first weights stay.
+
+    Returns are scaled by their mean and deviation over the training windows, so that both heads weigh alike.
+    """
+    mean, deviation = df.where(train).agg(F.avg(value), F.stddev_pop(value)).first()
+    scale = (mean or 0.0, deviation or 1.0)
+    blocks = window_blocks(df, seq, value, direction, {"train": train, "val": val}, keys, scale)
     first = blocks.select(F.octet_length("x").alias("x"), "rows").first()
     w = first_weights(first["x"] // 4 // first["rows"] if first else 1, p)
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -189,4 +194,4 @@ def fit_sequences(df: DataFrame, train: Column, val: Column, p: NetParams = NetP
             best, least = w, told
         if waited >= p.patience:
             break
-    return SequenceNet(best, history)
+    return SequenceNet(best, history, scale)
