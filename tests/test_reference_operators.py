@@ -225,7 +225,7 @@ def test_running_sums_auc_and_qq_by_ranges(spark):
     for k in "AB":
         ones, zeros = ([s for c, y, s in rows if c == k and y == v] for v in (1, 0))
         assert abs(got[k] - sum((a > b) + (a == b) / 2 for a in ones for b in zeros) / len(ones) / len(zeros)) < 1e-12
-    out = win.with_running(df, {"n": F.lit(1), "t": F.col("y")}, ["symbol"], "s", parts=8).toPandas()
+    out = win.with_running(df, {"n": F.lit(1), "t": F.col("y")}, ["symbol"], "s", rows=250).toPandas()
     for k in "AB":
         part = out[out.symbol == k].sort_values("n")
         assert list(part.n) == list(range(len(part))) and part.s.is_monotonic_increasing and list(part.t) == [0, *part.y.cumsum()[:-1]]

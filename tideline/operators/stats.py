@@ -7,18 +7,57 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.windows import lag_, safe_div, series, with_running
+from tideline.functions.windows import RANGE_ROWS, chunks, lag_, safe_div, series, with_running
 from tideline.schema import KEYS, ORDER
 
 
+#: Quantile sketches: rank errors are at most one in so many rows.
+ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, column: str, shares: Sequence[float], keys: Sequence[str] = KEYS, accuracy: int = ACCURACY) -> DataFrame:
+    """(keys, share, value): exact quantiles a key, with the mean of two values between them, by refinement.
+
+    A sketch brackets each quantile; one more pass counts what is below the brackets and the distinct values in them, and
+    the rank decides among these: no buffer holds a key's values, and repeated ones are counted together. Nulls take no part.
+    """
+    rows = df.where(F.col(column).isNotNull()).select(*keys, F.col(column).cast("double").alias("_x"))
+    edge = [min(max(s + e * 2 / accuracy, 0.0), 1.0) for s in shares for e in (-1, 1)]
+    guess = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.percentile_approx("_x", edge, accuracy).alias("_b"))
+    guess = guess.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n", "_b")
+    both = rows.join(guess, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    low, high = (lambda i: F.get("_b", F.lit(2 * i))), (lambda i: F.get("_b", F.lit(2 * i + 1)))
+    x = F.col("_x")
+    zone = lambda i: F.when(x < low(i), -1).when(x > high(i), 1).otherwise(0)
+    seen = F.array(*[F.struct(F.lit(float(s)).alias("share"), zone(i).alias("zone"), F.when(zone(i) == 0, x).alias("v")) for i, s in enumerate(shares)])
+    few = both.select(*keys, "_n", "_x", F.explode(seen).alias("s")).groupBy(*keys, "s.share", "s.zone", "s.v").agg(F.count("*").alias("_c"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.first("_n").alias("_n"))
+    w = Window.partitionBy(*keys, "share").orderBy("zone", "v")
+    few = few.withColumn("_upto", F.sum("_c").over(w)).withColumn("_place", F.col("share") * (F.col("_n") - 1))
+
+    def at(place: Column) -> Column:
+        """The value of a rank: in the bracket, or the one next to it."""
+        here = (F.col("_upto") > place) & (F.col("_upto") - F.col("_c") <= place)
+        return F.max(F.when(here & (F.col("zone") < 0), F.col("_high")).when(here, F.col("_low")))
+
+    out = few.groupBy(*keys, "share").agg(at(F.floor("_place")).alias("_a"), at(F.ceil("_place")).alias("_b"), F.first("_place").alias("_p"))
+    return out.select(*keys, "share", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_p") - F.floor("_p"))).alias("value"))
+
+
 def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS, exact: bool = True) -> DataFrame:
     """One row a key and column: count, mean, std, min, quartiles, max. exact=False sketches the quartiles."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select(*keys, "v.*")
-    quart = (lambda p: F.percentile("x", p)) if exact else (lambda p: F.percentile_approx("x", p))
-    return long.groupBy(*keys, "column").agg(F.count("x").alias("count"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), quart(0.25).alias("q25"), quart(0.5).alias("q50"), quart(0.75).alias("q75"), F.max("x").alias("max"))
+    by, shares = [*keys, "column"], {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+    plain = {"count": F.count("x"), "mean": F.avg("x"), "std": F.stddev_samp("x"), "min": F.min("x"), "max": F.max("x")}
+    if not exact:
+        return long.groupBy(*by).agg(*[f.alias(c) for c, f in {**plain, **{c: F.percentile_approx("x", s) for c, s in shares.items()}}.items()]).select(*by, "count", "mean", "std", "min", *shares, "max")
+    found = quantiles(long, "x", list(shares.values()), by).groupBy(*by).agg(*[F.max(F.when(F.col("share") == s, F.col("value"))).alias(c) for c, s in shares.items()])
+    found = found.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)})
+    both = long.groupBy(*by).agg(*[f.alias(c) for c, f in plain.items()]).join(found, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)], "left")
+    return both.select(*by, "count", "mean", "std", "min", *shares, "max")
 
 
 def value_counts(df: DataFrame, column: str, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -108,27 +147,41 @@ def pacf(df: DataFrame, column: str, lags: int = 20, keys: Sequence[str] = KEYS,
     return rows.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", lag int, pacf double, band double")
 
 
-def adf(df: DataFrame, column: str, keys: Sequence[str] = KEYS, order: str = ORDER, max_lag: int | None = None) -> DataFrame:
+def adf(df: DataFrame, column: str, keys: Sequence[str] = KEYS, order: str = ORDER, max_lag: int | None = None, chunk: int = RANGE_ROWS) -> DataFrame:
     """Augmented Dickey-Fuller test with a constant: (keys, statistic, used_lag, n_obs, p_value, critical_5, stationary).
 
     Lag orders up to 12 * (n / 100) ** (1 / 4), rounded up, and n // 2 - 2 are tried for a key of n rows
-    (max_lag: up to that one). Cross products of the design come from one distributed aggregate over
-    the rows that all orders share; an order's own rows are these and some of the key's first ones.
+    (max_lag: up to that one). The cross products of the design are summed over chunks of a key, each with
+    the rows before it that its lags need: a chunk gives one matrix, whatever the number of lags. They cover the rows that all orders
+    share; an order's own rows are these and some of the key's first ones, which come beside.
     Every order is solved on the shared rows (least AIC), and the chosen one again on all its rows.
     """
-    rows = df.where(F.col(column).isNotNull())
+    rows = df.where(F.col(column).isNotNull()).select(*keys, order, F.col(column).cast("double").alias("_x"))
     n = F.col("_n")
     most = F.greatest(F.least(F.ceil(12 * F.pow(n / 100, 0.25)), F.floor(n / 2) - 2), F.lit(0)).cast("int") if max_lag is None else F.lit(max_lag)
-    p = (rows.groupBy(*keys).agg(F.count("*").alias("_n")).agg(F.max(most)).first()[0] or 0) if max_lag is None else max_lag
-    w = series(keys, order)
-    x = rows.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_p", most)
-    x = x.withColumn("_d0", F.col(column) - lag_(F.col(column), 1, w)).withColumn("_x", lag_(F.col(column), 1, w)).withColumn("_i", F.row_number().over(w))
-    x = x.withColumns({f"_d{k}": lag_(F.col("_d0"), k, w) for k in range(1, p + 1)}).withColumn("_one", F.lit(1.0))
-    names = ["_d0", "_x", "_one", *[f"_d{k}" for k in range(1, p + 1)]]
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    shared = F.col("_i") >= F.col("_p") + 2
-    first = F.array(F.col("_i").cast("double"), *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names])
-    grams = x.groupBy(*keys).agg(F.max("_p").alias("_p"), F.collect_list(F.when(~shared, first)).alias("_first"), F.array(*[F.coalesce(F.sum(F.when(shared, F.col(names[i]) * F.col(names[j]))).cast("double"), F.lit(0.0)) for i, j in pairs]).alias("_gram"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n")).withColumn("_p", most).drop("_n")
+    p = sizes.agg(F.max("_p")).first()[0] or 0
+    dealt = chunks(rows, p + 1, 0, keys, order, chunk).join(sizes, list(keys))
+    size = p + 3
+
+    def products(key: tuple, table: pa.Table) -> pa.Table:
+        table = table.sort_by("_at")
+        x, own, place, p = (table.column(c).to_numpy() for c in ("_x", "_own", "_at", "_p"))
+        most, d = int(p[0]), np.diff(x, prepend=np.nan)
+        # Rows of the design: difference, value before, one, and the differences before; some of a key's first ones lack lags.
+        lags = [np.concatenate([np.full(min(k, len(d)), np.nan), d[: max(0, len(d) - k)]]) for k in range(1, most + 1)]
+        design = np.column_stack([d, np.append(np.nan, x[:-1]), np.ones(len(x)), *lags])
+        shared = design[own & (place >= most + 1)]
+        first = own & (place < most + 1)
+        gram = np.zeros((size, size))
+        gram[: most + 3, : most + 3] = shared.T @ shared
+        early = np.zeros((int(first.sum()), size + 1))
+        early[:, 0], early[:, 1 : most + 4] = place[first] + 1, np.nan_to_num(design[first])
+        return pa.table([*(pa.array([k.as_py()], table.schema.field(c).type) for c, k in zip(keys, key, strict=False)), pa.array([most], pa.int32()), pa.array([gram.tobytes()], pa.binary()), pa.array([early.tobytes()], pa.binary())], names=[*keys, "_p", "_gram", "_first"])
+
+    kinds = dict(df.dtypes)
+    named = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
+    grams = dealt.groupBy(*keys, "_chunk").applyInArrow(products, f"{named}, _p int, _gram binary, _first binary")
 
     def fit(gram: np.ndarray, k: int) -> tuple[float, float, float]:
         use = [1, 2, *range(3, 3 + k)]
@@ -146,17 +199,14 @@ def adf(df: DataFrame, column: str, keys: Sequence[str] = KEYS, order: str = ORD
         return 0.5 * math.erfc(-sum(v * t**k for k, v in enumerate(c)) / math.sqrt(2))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        gram = np.zeros((len(names), len(names)))
-        for (i, j), v in zip(pairs, row["_gram"], strict=True):
-            gram[i, j] = gram[j, i] = v
-        k = min(range(int(row["_p"]) + 1), key=lambda q: fit(gram, q)[2])
-        t, n, _ = fit(gram + sum(np.outer(v[1:], v[1:]) for v in row["_first"] if v[0] >= k + 2), k)
+        gram = sum(np.frombuffer(b, float).reshape(size, size) for b in pdf["_gram"])
+        early = [v for b in pdf["_first"] for v in np.frombuffer(b, float).reshape(-1, size + 1)]
+        k = min(range(int(pdf["_p"].iloc[0]) + 1), key=lambda q: fit(gram, q)[2])
+        t, n, _ = fit(gram + sum(np.outer(v[1:], v[1:]) for v in early if v[0] >= k + 2), k)
         critical = -2.86154 - 2.8903 / n - 4.234 / n**2 - 40.04 / n**3
-        return pdf[list(keys)].assign(statistic=t, used_lag=k, n_obs=int(n), p_value=p_value(t), critical_5=critical, stationary=t < critical)
+        return pdf[list(keys)].head(1).assign(statistic=t, used_lag=k, n_obs=int(n), p_value=p_value(t), critical_5=critical, stationary=t < critical)
 
-    kinds = dict(grams.dtypes)
-    return grams.groupBy(*keys).applyInPandas(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", statistic double, used_lag int, n_obs long, p_value double, critical_5 double, stationary boolean")
+    return grams.groupBy(*keys).applyInPandas(solve, f"{named}, statistic double, used_lag int, n_obs long, p_value double, critical_5 double, stationary boolean")
 
 
 def bias_variance_verdict(df: DataFrame, train: str, val: str) -> DataFrame:
