@@ -59,3 +59,21 @@ def test_eighty_languages(spark):
     docs = spark.createDataFrame([(i, text(i % 80), f"l{i % 80:02}", f"h{i % 7}") for i in range(1600)], "doc_id long, text string, lang string, source string")
     out = language_id.identify(docs, language_id.fit(docs), declared=F.col("lang"), host=F.col("source"), carry=["lang"])
     assert out.where("language <> lang or not kept").isEmpty()
+
+
+def test_headings_of_all_articles_stay(spark):
+    """However many pages a host has; only links at the article's ends that all pages have go, and class words in it need company."""
+    from tideline.llm import html_text
+
+    def page(k):
+        odd = '<section id="social-history"><p>Social</p></section><p class="share-price">Price</p><div class="related-work"><p>Related</p></div><p class="comment-on-law">Law</p>'
+        talk = '<div class="user-reviews"><p>Great</p><p>Bad</p></div><div class="reader-feedback"><p>Hm</p></div><div class="ad-slot">Buy</div>'
+        return f"<html><body><nav>Menu</nav><article><p><a href='/'>Start</a></p><h1>Title {k}</h1><h2>Summary</h2><p>{'word ' * 30}{k}</p><h2>Conclusion</h2><p>end {k}</p>{odd}{talk}<p><a href='/next'>All articles</a></p></article><footer>Foot</footer></body></html>"
+
+    for n in (9, 10, 30):
+        pages = spark.createDataFrame([(k, "https://h.example/" + str(k), page(k)) for k in range(n)], "page_id long, url string, html string")
+        for r in html_text.extract_text(pages).collect():
+            k = r.page_id
+            body = [f"Title {k}", "Summary", "word " * 30 + str(k), "Conclusion", f"end {k}", "Social", "Price", "Related", "Law"]
+            links = ["Start", *body, "All articles"]
+            assert r.text.split("\n") == (body if n >= html_text.OWN_PAGES else links), (n, r.text)

@@ -52,6 +52,8 @@ WORDS = frozenset(
     "nav navbar navigation menu menubar breadcrumb breadcrumbs masthead topbar footer sidebar aside widget widgets advert adverts advertisement advertisements advertising adsense banner banners sponsor sponsored sponsors promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup share sharing social related recommended recommendations comment comments commentlist replies disqus respond pagination pager toolbar".split()
 )
 AD, AD_PLACE = frozenset("ad ads adv".split()), frozenset("slot unit box banner container wrap wrapper block top bottom side left right inline mobile desktop google label space zone area 0".split())
+TALK = frozenset("reviews feedback discussion guestbook".split())
+NEUTRAL = frozenset("user users reader readers customer customers visitor visitors list lists section area item items link links buttons button bar icons icon form thread count author body post posts site page main more".split())
 HEADERS = frozenset(["header"])
 ARTICLE = frozenset(["article", "main"])
 BARRIER_P = frozenset("article section div td li table".split())
@@ -114,7 +116,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, dict[str, str]]]:
 def _noise(name: str, attrs: dict[str, str], inside: bool) -> bool:
     """Whether an element is no article text by its tag, role, class or id.
 
-    Of a class or id, the first or last word has to say so, and "ad" only beside words for a place.
+    Of a class or id outside the article, the first or last word has to say so. In the article all of its words must be such ones
+    or say where or whose something is, for there "share-price" and "social-history" are what the article is about. "ad"
+    counts only beside words for a place.
     """
     if name in DROPPED or name in HEADERS and not inside or attrs.get("role", "").lower() in ROLES:
         return True
@@ -129,7 +133,10 @@ def _noise(name: str, attrs: dict[str, str], inside: bool) -> bool:
         if not words or {"has", "with", "no"} & set(words):
             continue
         ends = {words[0], words[-1], words[-2] if words[-1] == "0" and len(words) > 1 else words[-1]}
-        if ends & WORDS or not inside and ends & HEADERS or AD & set(words) and set(words) <= AD | AD_PLACE:
+        if inside:
+            if set(words) & (WORDS | AD | TALK) and set(words) <= WORDS | AD | AD_PLACE | TALK | NEUTRAL:
+                return True
+        elif ends & WORDS or ends & HEADERS or AD & set(words) and set(words) <= AD | AD_PLACE:
             return True
     return False
 
@@ -143,22 +150,24 @@ def _key(name: str, attrs: dict[str, str]) -> str:
 class Open:
     """An open element, and what holds for the text in it."""
 
-    __slots__ = ("name", "key", "noise", "inside", "linked", "path", "depth")
+    __slots__ = ("name", "key", "noise", "inside", "article", "linked", "path", "depth")
 
-    def __init__(self, name: str, attrs: dict[str, str], up: Open | None):
+    def __init__(self, name: str, attrs: dict[str, str], up: Open | None, root: str = ""):
         self.name, self.key = name, _key(name, attrs)
         self.noise = bool(up and up.noise) or _noise(name, attrs, bool(up and up.inside))
-        self.inside = bool(up and up.inside) or name in ARTICLE
+        self.article = bool(up and up.article) or name in ARTICLE
+        self.inside = bool(up and up.inside) or self.article
         self.linked = bool(up and up.linked) or name == "a"
         self.path, self.depth = (up.path, up.depth) if up else ("", 0)
         if name not in INLINE:
             self.depth += 1
             if self.depth <= DEEP:
                 self.path = f"{self.path}/{self.key}" if self.path else self.key
+                self.inside |= bool(root) and self.path == root
 
 
-def walk(page: str) -> Iterator[tuple[str, list[Open], str]]:
-    """Token stream with the open elements: events open, close, text; closes what HTML closes by itself."""
+def walk(page: str, root: str = "") -> Iterator[tuple[str, list[Open], str]]:
+    """Token stream with the open elements: events open, close, text; closes what HTML closes by itself. root: the article's path, if known."""
     stack: list[Open] = []
     count: dict[str, int] = defaultdict(int)
 
@@ -184,7 +193,7 @@ def walk(page: str) -> Iterator[tuple[str, list[Open], str]]:
             k = nearest_open("p", BARRIER_P) if name in CLOSES_P else nearest_open(name, BARRIER_LIST) if name in ("li", "dt", "dd", "tr", "td", "th", "option") else -1
             if k >= 0:
                 yield from close_to(k)
-            stack.append(Open(name, attrs, stack[-1] if stack else None))
+            stack.append(Open(name, attrs, stack[-1] if stack else None, root))
             count[name] += 1
             yield "open", stack, name
             if name in VOID:
@@ -337,30 +346,40 @@ def article_root(wrapper: list, slots: dict[str, tuple[int, int]]) -> str:
 
 
 def extract(page: str, root: str, own: frozenset[int] = frozenset()) -> str:
-    """The article's blocks in page order, joined by \\n, without the wrapper's own texts.
+    """The article's blocks in page order, joined by \\n.
 
-    The part at the path root counts, even if it holds no text. Only where the page lacks that part (or
-    the host has none) its article and main elements count, and without any the whole body.
+    The part at the path root counts, even if it holds no text, less blocks of nothing but links at its two ends
+    that are the wrapper's own: a text that all of a host's articles have is theirs, however many pages there are.
+    Only where the page lacks that part (or the host has none) its article and main elements count, and without any
+    the whole body but for the wrapper's own texts.
     """
-    until, present, path = 0, False, ""
+    until, present, path, plain = 0, False, "", False
     placed, named, rest = [[], []], [[], []], [[], []]
+    edges: list[bool] = []
 
     def flush() -> None:
+        nonlocal plain
         for to in (placed, named, rest):
-            if (text := _line(to[1])) and (not own or _name_of(path, text) not in own):
-                to[0].append(text)
+            if text := _line(to[1]):
+                mine = bool(own) and _name_of(path, text) in own
+                if to is placed:
+                    edges.append(mine and not plain)
+                if to is not rest or not mine:
+                    to[0].append(text)
             to[1] = []
+        plain = False
 
-    for kind, stack, value in walk(page):
+    for kind, stack, value in walk(page, root):
         if kind == "text":
             top = stack[-1] if stack else None
             if top and top.noise:
                 continue
             rest[1].append(value)
             path = top.path if top else ""
+            plain |= not (top and top.linked) and not value.isspace()
             if until:
                 placed[1].append(value)
-            if top and top.inside:
+            if top and top.article:
                 named[1].append(value)
         elif value == "br":
             for to in (placed, named, rest):
@@ -373,7 +392,12 @@ def extract(page: str, root: str, own: frozenset[int] = frozenset()) -> str:
             elif until and len(stack) <= until:
                 until = 0
     flush()
-    return "\n".join(placed[0] if present else named[0] or rest[0])
+    if not present:
+        return "\n".join(named[0] or rest[0])
+    # Links that all pages have before or after the article's own blocks.
+    first = next((k for k, edge in enumerate(edges) if not edge), len(edges))
+    last = next((k for k in range(len(edges), first, -1) if not edges[k - 1]), first)
+    return "\n".join(placed[0][first:last])
 
 
 def host_of(url: str) -> Column:
