@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.features import compute_features
-from tideline.functions.windows import safe_div
+from tideline.functions.windows import safe_div, series
 from tideline.operators.align import join_actuals, merge_macro, require_rows
-from tideline.operators.protocol import apply_lag_pca
+from tideline.operators.protocol import apply_lag_pca, apply_scaler
 from tideline.schema import FEATURE_COLUMNS, KEYS
 from tideline.sources.bars import backfill, tail_n
 
@@ -23,10 +24,11 @@ def next_session(day: Column) -> Column:
     return F.date_add(day, F.when(F.weekday(day) == 4, 3).when(F.weekday(day) == 5, 2).otherwise(1))
 
 
-def resolve_window(live: DataFrame, history: DataFrame, macro: DataFrame, need: int, steps: int = 20, pca: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """The last `steps` usable feature rows of every symbol, and the symbols that have too few, with the reason."""
+def resolve_window(live: DataFrame, history: DataFrame, macro: DataFrame | None, need: int, steps: int = 20, pca: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """The last `steps` usable feature rows of every symbol, and the symbols that have too few, with the reason. Without macro the bars have its column."""
     bars = backfill(live, history, need)
-    features = compute_features(merge_macro(bars.drop("data_source"), macro)).na.drop("any", subset=list(FEATURE_COLUMNS))
+    bare = bars.drop("data_source")
+    features = compute_features(bare if macro is None else merge_macro(bare, macro)).na.drop("any", subset=list(FEATURE_COLUMNS))
     ok, rejected = require_rows(tail_n(features, steps), steps)
     ok = ok.join(bars.select("symbol", "data_source").distinct(), "symbol")
     return (apply_lag_pca(ok, pca) if pca else ok), rejected
@@ -49,12 +51,45 @@ def consensus(members: DataFrame, keys: Sequence[str] = ("symbol", "as_of_date")
     )
 
 
-def forecast(asof_bars: DataFrame, agreed: DataFrame, data_source: str = "live", macro_source: str = "table") -> DataFrame:
-    """Forecast rows with provenance: the bar used, the members and the consensus."""
+def macro_chain(sources: Sequence[tuple[str, DataFrame]]) -> tuple[DataFrame | None, str]:
+    """The first labelled macro table that has rows, with its label; without any none, and `unavailable`."""
+    return next(((df, label) for label, df in sources if not df.isEmpty()), (None, "unavailable"))
+
+
+def forecast_stored(live: DataFrame, history: DataFrame, macro_sources: Sequence[tuple[str, DataFrame]], models: dict, need: int = 300, steps: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(forecasts, rejected): every stored member scores each symbol's last window, and their consensus is the forecast.
+
+    models, as load_models gives them: scaler and pca, and of direction with huber (trees), and net (a sequence net), those that are there. Without
+    a macro table its column is 0 and the label says so. rejected: symbols with too few usable rows, with the reason.
+    """
+    macro, macro_label = macro_chain(macro_sources)
+    bars = live if macro is not None else live.withColumn("yield_differential", F.lit(0.0))
+    past = history if macro is not None else history.withColumn("yield_differential", F.lit(0.0))
+    window, rejected = resolve_window(bars, past, macro, need, steps, models["pca"])
+    columns = list(models["scaler"])
+    window = apply_scaler(window, {c: tuple(p) for c, p in models["scaler"].items()})
+    last = F.row_number().over(series(order=F.desc("ts")))
+    row = window.withColumn("_k", last).where("_k = 1").withColumn("as_of_date", F.to_date("ts")).persist()
+    scored = []
+    if "direction" in models and "huber" in models:
+        trees = models["huber"].transform(models["direction"].transform(row))
+        scored.append(score_member(trees, "trees", F.col("probability"), F.col("predicted_return"), order=0))
+    if "net" in models:
+        seqs = window.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", F.array(*columns).alias("x")))), lambda s: s["x"]).alias("seq"), F.to_date(F.max("ts")).alias("as_of_date"))
+        scored.append(score_member(models["net"].transform(seqs), "net", F.col("probability"), F.col("predicted_return"), order=1))
+    if not scored:
+        raise ValueError("no member is stored")
+    agreed = consensus(reduce(DataFrame.unionByName, scored))
+    used = backfill(bars, past, need).join(row.select("symbol", "ts"), ["symbol", "ts"], "left_semi")
+    return forecast(used, agreed, F.col("data_source"), macro_label), rejected
+
+
+def forecast(asof_bars: DataFrame, agreed: DataFrame, data_source: str | Column = "live", macro_source: str | Column = "table") -> DataFrame:
+    """Forecast rows with provenance: the bar used, the members and the consensus; the sources' labels are texts or columns of the bars."""
     bar = F.struct("open", "high", "low", "close", "tick_volume")
-    rows = asof_bars.select("symbol", F.to_date("ts").alias("as_of_date"), bar.alias("bar_used"))
+    rows = asof_bars.select("symbol", F.to_date("ts").alias("as_of_date"), bar.alias("bar_used"), F.lit(data_source).alias("data_source"), F.lit(macro_source).alias("macro_source"))
     both = rows.join(agreed, ["symbol", "as_of_date"])
-    return both.select("symbol", "as_of_date", next_session(F.col("as_of_date")).alias("forecasting_date"), F.lit(data_source).alias("data_source"), F.lit(macro_source).alias("macro_source"), "bar_used", "models", F.struct("direction", "agreement", "confidence", "predicted_return_pct").alias("consensus"))
+    return both.select("symbol", "as_of_date", next_session(F.col("as_of_date")).alias("forecasting_date"), "data_source", "macro_source", "bar_used", "models", F.struct("direction", "agreement", "confidence", "predicted_return_pct").alias("consensus"))
 
 
 def to_document(forecasts: DataFrame) -> DataFrame:

@@ -603,6 +603,41 @@ def two_head_sequences(spark, d):
     return metrics.accuracy(out, UP, "prediction").join(metrics.roc_auc(out, UP, "probability"), "symbol").join(metrics.regression_errors(out, RETURN, "predicted_return"), "symbol")
 
 
+@query()
+def stored_forecast(spark, d):
+    """The next session's forecast of every symbol by members that are fitted, saved and loaded again."""
+    base = f"{tables.shared_folder(spark)}/members-{uuid.uuid4().hex}"
+    df = _matrix(spark, d)
+    pca = protocol.fit_lag_pca(df.where(FITTED))
+    df = protocol.apply_lag_pca(df, pca)
+    cols = inputs(df.columns)
+    scaler = protocol.fit_scaler(df.where(FITTED), cols)
+    train = protocol.apply_scaler(df, scaler).persist()
+    seqs = protocol.sequences(train, cols, 20, (RETURN, UP))
+    tables.save_models(
+        base, pca=pca, scaler=scaler, direction=boosting.fit_model(train.where(FITTED), cols, UP, Params(trees=10)), huber=boosting.fit_model(train.where(FITTED), cols, RETURN, Params(loss="huber", trees=10)),
+        net=sequence_net.fit_sequences(seqs, F.col("block") == "train", F.col("block") == "val", sequence_net.NetParams(epochs=5)),
+    )
+    members = tables.load_models(spark, base, ["pca", "scaler", "direction", "huber", "net"])
+    bars = bars_daily(spark, d)
+    found, _ = forecast.forecast_stored(src.tail_n(bars, 100), bars, [("live", macro_daily(spark, d).limit(0)), ("table", macro_daily(spark, d))], members)
+    return found.select("symbol", "as_of_date", "forecasting_date", "data_source", "macro_source", "bar_used.close", "consensus.*", F.size("models").alias("members"))
+
+
+def _ticks(df: DataFrame, keys) -> DataFrame:
+    """Columns of a long series: what a row needs lies in its halo."""
+    w, x = win.series(keys, "event_id"), F.col("value")
+    made = {"change": win.diff(x, w), "mean_21": win.rolling_mean(x, 21, w), "low_20": win.rolling_min(x, 20, w), "high_20": win.rolling_max(x, 20, w), "next": win.lead_(x, 1, w)}
+    return df.withColumns(made).select(*keys, "event_id", *made)
+
+
+@query("SELECT event_id, round(value - lag(value) OVER w, 6) AS change, CASE WHEN count(*) OVER f = 21 THEN round(avg(value) OVER f, 6) END AS mean_21, CASE WHEN count(*) OVER g = 20 THEN min(value) OVER g END AS low_20, CASE WHEN count(*) OVER g = 20 THEN max(value) OVER g END AS high_20, lead(value) OVER w AS next FROM events WINDOW w AS (ORDER BY event_id), f AS (ORDER BY event_id ROWS 20 PRECEDING), g AS (ORDER BY event_id ROWS 19 PRECEDING)")
+def tick_features(spark, d):
+    """All events as one series: chunks with halos, so that it takes all cores."""
+    ticks = spark.read.parquet(f"{d}/events.parquet").select(F.lit("all").alias("symbol"), "event_id", "value")
+    return r6(win.by_chunks(ticks, _ticks, halo=21, ahead=1, order="event_id").drop("symbol"))
+
+
 @query("SELECT event_type AS symbol, date_trunc('day', ts)::TIMESTAMP AS ts, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, count(*)::DOUBLE AS tick_volume FROM events GROUP BY ALL HAVING date_trunc('day', max(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)")
 def streamed_bars(spark, d):
     """The events table replayed as a stream; only closed bars come out."""
