@@ -546,3 +546,93 @@ def test_pipeline(spark, tmp_path, corpus):
     assert kept["secret_scan"] == kept["near_duplicates"] == kept["packing"]
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.sum("length")).first()[0] == step.agg(F.sum("length")).first()[0]
 
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    """Each stage on its own input: 220 rows with null and repeated ids, copies, near copies, secrets, junk."""
+    import corpus_pipeline
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    r = random.Random(11)
+    rows = [(k, words(r, r.randint(1, 90)), "en", f"s{k % 4}", k) for k in range(90)]
+    rows += [(100 + k, rows[k % 30][1], "en", "s1", k) for k in range(40)]
+    for k in range(40):
+        near = rows[40 + k % 12][1].split()
+        if len(near) > 3 and k % 2:
+            near[r.randrange(len(near))] = r.choice(WORDS)
+        rows.append((200 + k, " ".join(near), "en", "s2", k))
+    key, secret = "AKIA" + "Z9X8" * 4, "wJalrXUtnFEMI0K7MDENG1bPxRfiCYEXAMPLEKEY"
+    rows += [(300 + k, f"{words(r, 12)} password: hunter{k}abcdef {words(r, 5)} id {key} {secret} {words(r, 6)}", "en", "s3", k) for k in range(10)]
+    rows += [(400, None, "en", "s", 1), (401, "", "en", "s", 1), (402, "12345 !!", "en", "s", 1), (None, words(r, 30), "en", "s", 1), (None, rows[0][1], "en", "s", 1), (None, None, None, None, None), (5, words(r, 40), "en", "s", 2), (5, rows[5][1], "en", "s", 3), (7, rows[7][1], "en", "s0", 7)]
+    rows += [(500 + k, words(r, 3), None, None, None) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+
+    def bag(df):
+        return sorted((tuple(x) for x in df.collect()), key=str)
+
+    def same_bag(df, want):
+        assert bag(df) == sorted(want, key=str)
+
+    # Language: the fused evidence is held against brute force by its own test; here, that its verdicts take effect row by row.
+    given = bag(docs)
+    out = language_id.identify(docs.withColumn("row", F.struct("*")), language_id.fit(docs), declared=F.col("lang"), host=F.col("source"), carry=["row"])
+    kept = [tuple(x) for x in out.where("kept").select("row.*").collect()]
+    assert all(any(c.isalpha() for c in x[1] or "") for x in kept) and 200 < len(kept) < len(given)
+    step = stages["language_id"](spark, docs, "")
+    same_bag(step, kept)
+
+    rows = bag(step)
+    largest = {}
+    for i, t, *_ in rows:
+        largest[t or ""] = max(largest.get(t or "", -1), -1 if i is None else i)
+    want = [x for x in rows if (-1 if x[0] is None else x[0]) == largest[x[1] or ""]]
+    assert len(want) < len(rows) - 30
+    step = stages["exact_dedup"](spark, step, "")
+    same_bag(step, want)
+
+    rows = bag(step)
+    sets = {}
+    for k, (i, t, *_) in enumerate(rows):
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+        sets[k] = {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w and i is not None else set()
+    label = {k: k for k in sets}
+
+    def root(x):
+        return x if label[x] == x else root(label[x])
+
+    order = sorted(sets, key=lambda k: (rows[k][0] is None, rows[k][0] or 0, k))
+    for a in order:
+        for b in order:
+            if a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)), key=order.index)
+                label[y] = x
+    want = [rows[k] for k in sets if rows[k][0] is None or rows[root(k)][0] == rows[k][0]]
+    assert len(want) < len(rows)
+    step = stages["near_duplicates"](spark, step, "")
+    same_bag(step, want)
+
+    rows = bag(step)
+    step = stages["secret_scan"](spark, step, "")
+    want = []
+    for i, t, *rest in rows:
+        if t and "AKIA" in t:
+            t = re.sub(r"password: hunter\dabcdef|AKIA[A-Z0-9]+|" + secret, "[SECRET]", t)
+        want.append((i, t, *rest))
+    assert sum("[SECRET]" in (x[1] or "") for x in want) == 10
+    same_bag(step, want)
+
+    rows = bag(step)
+    tokenizer = Tokenizer.from_file(path("word_bpe_49k.json"))
+    want = sorted(((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, ids in ((i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1]) for i, t, *_ in rows)), key=str)
+    packed = stages["packing"](spark, step, "").toPandas()
+    # All texts here are shorter than a sequence, and whole ones tell their ids by one checksum; cut ones by their lengths.
+    whole = packed[packed.length == packed.doc_tokens]
+    assert packed.length.sum() == sum(n for _, n, _ in want) and len(whole) > 0.8 * len(rows)
+    left = [(i, int(n), c) for i, n, c in want]
+    for p in whole.itertuples():
+        left.remove((None if p.doc_id != p.doc_id else int(p.doc_id), int(p.doc_tokens), int(p.ids_crc32)))
+    assert sum(n for _, n, _ in left) == packed[packed.length < packed.doc_tokens].length.sum()
+    for _, s in packed.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() <= 2048 and list(s.offset) == list(s.length.cumsum() - s.length)

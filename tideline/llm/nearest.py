@@ -106,10 +106,14 @@ def search_tree(tree: tuple, query_ids: np.ndarray, q: np.ndarray, bound: np.nda
     unit = np.column_stack([q / size[:, None], np.zeros(len(q))])
     # The last term: products that differ by less than the least double score the same.
     slack = SLACK * size * most + raised(np.full(len(q), 1e-323), -power)
+    # Powers that no product of doubles can carry beyond them are plain factors.
+    plain = bool((np.abs(power) < 500).all())
+    factors, scaled = raised(np.ones(len(q)), -power), raised(x, exponent[:, None])
 
     def floor(rows: np.ndarray) -> np.ndarray:
         """The product from which on a vector still counts."""
-        return in_units(np.maximum(score[rows, -1], bound[rows]), power[rows]) - slack[rows]
+        least = np.maximum(score[rows, -1], bound[rows])
+        return (least * factors[rows] if plain else in_units(least, power[rows])) - slack[rows]
 
     def far(rows: np.ndarray) -> np.ndarray:
         """Distance within which a query still looks."""
@@ -129,7 +133,7 @@ def search_tree(tree: tuple, query_ids: np.ndarray, q: np.ndarray, bound: np.nda
         if not len(rows):
             continue
         if v is None:
-            s = q[rows] @ raised(x[begin:end], exponent[begin:end, None]).T
+            s = q[rows] @ scaled[begin:end].T
             s[ids[begin:end] == query_ids[rows][:, None]] = -np.inf
             count[rows] += end - begin
             i, j = np.nonzero(s >= np.maximum(floor(rows), -np.finfo(float).max)[:, None])
