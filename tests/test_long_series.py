@@ -133,3 +133,17 @@ def test_as_of_by_ranges(series, spark, rows):
         at = np.searchsorted(last.ts.to_numpy(), got.ts.to_numpy(), "right") - 1
         want = np.where(at >= 0, last[c].to_numpy()[np.maximum(at, 0)], np.nan)
         assert np.allclose(got[c], want, equal_nan=True) and len(got) == 3300
+
+
+def test_since_reads_the_warm_up_alone(series, tmp_path, spark):
+    path = str(tmp_path / "bars")
+    series.repartition(1).sortWithinPartitions("ts").write.parquet(path)
+    bars = spark.read.parquet(path)
+    start = START + dt.timedelta(hours=2900)
+    got = fe.since(bars, F.lit(start), 150)
+    rows = got.groupBy("symbol").agg(F.min("ts").alias("a"), F.count("*").alias("n")).collect()
+    # The other key has nothing from there on.
+    assert [(r.symbol, r.a, r.n) for r in rows] == [("long", START + dt.timedelta(hours=2750), 250)]
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(ts,2020-04-01T00:00)" in plan
+    assert fe.since(bars, F.lit(START), 150).count() == 3300 and fe.since(bars, F.lit(START + dt.timedelta(days=999)), 5).isEmpty()

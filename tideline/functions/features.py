@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tideline.functions.windows import alpha_of, diff, lag_, lead_, pct_change, rolling_max, rolling_mean, rolling_min, rolling_std, safe_div, series, with_ewm, zero_to_null
@@ -155,7 +155,18 @@ def next_features(history: DataFrame, new_bars: DataFrame, n: int = 20, macro: D
 
 
 def since(bars: DataFrame, start, warmup: int = 700, keys: Sequence[str] = KEYS, order: str = ORDER) -> DataFrame:
-    """Bars from start on with the warm-up rows before it that features need (EWM tails included)."""
-    w = series(keys, F.desc(order))
-    early = bars.where(F.col(order) < start).withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= warmup).drop("_back")
-    return bars.where(F.col(order) >= start).unionByName(early)
+    """Bars from start on, and of the keys that have such, the warm-up rows before that features need (EWM tails included).
+
+    A first pass reads keys and times alone and counts rows by month; the month that all warm-up rows lie in or after then
+    bounds the scan of the other columns.
+    """
+    now = bars.where(F.col(order) >= start)
+    months = bars.where(F.col(order) < start).groupBy(*keys, F.date_trunc("month", F.col(order)).cast("timestamp_ntz").alias("_month")).agg(F.count("*").alias("_c"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_month")).rowsBetween(Window.unboundedPreceding, -1)
+    months = months.join(now.select(*keys).distinct(), list(keys), "left_semi").withColumn("_after", F.coalesce(F.sum("_c").over(later), F.lit(0)))
+    bound = months.where(F.col("_after") < warmup).agg(F.min("_month")).first()[0]
+    if bound is None:
+        return now
+    early = bars.where((F.col(order) >= F.lit(bound).cast(bars.schema[order].dataType)) & (F.col(order) < start))
+    early = early.withColumn("_back", F.row_number().over(series(keys, F.desc(order)))).where(F.col("_back") <= warmup).drop("_back")
+    return now.unionByName(early.join(now.select(*keys).distinct(), list(keys), "left_semi"))

@@ -386,6 +386,14 @@ def sequence_windows(spark, d):
     return out.select("symbol", "block", "ts", F.round(F.aggregate("seq", F.lit(0.0), lambda a, x: a + x[1]), 4).alias("close_sum"))
 
 
+@query(f"WITH {_POS}, b AS (SELECT *, {_SPLIT} AS block FROM p), q AS (SELECT *, row_number() OVER (PARTITION BY symbol, block ORDER BY ts) AS i, count(*) OVER (PARTITION BY symbol, block) AS m FROM b) SELECT e.symbol, e.block, e.ts, (s.i - e.i + 19)::INT AS step, round(s.open, 6) AS open, round(s.close, 6) AS close FROM q e JOIN q s ON e.symbol = s.symbol AND e.block = s.block AND s.i BETWEEN e.i - 19 AND e.i WHERE e.i >= 20 AND e.i < e.m")
+def sequence_cells(spark, d):
+    """Every cell of the windows."""
+    out = protocol.sequences(protocol.chrono_split(bars_daily(spark, d)), ["open", "close"], 20)
+    cells = out.select("symbol", "block", "ts", F.posexplode("seq").alias("step", "x"))
+    return r6(cells.select("symbol", "block", "ts", "step", F.col("x")[0].alias("open"), F.col("x")[1].alias("close")))
+
+
 @query(f"WITH {_POS}, b AS (SELECT *, {_SPLIT} AS block FROM p), m AS (SELECT avg(close) AS m, stddev_pop(close) AS s FROM b WHERE block <> 'test') SELECT symbol, ts, round((close - m) / s, 6) AS close FROM b, m")
 def train_only_scaling(spark, d):
     df = protocol.chrono_split(bars_daily(spark, d).select("symbol", "ts", "close"))
