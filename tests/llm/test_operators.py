@@ -361,8 +361,12 @@ def test_pieces_cut_inside_words(frame):
     sp = sentencepiece.SentencePieceProcessor(model_file=model)
     r = random.Random(14)
     rows = [(i, "".join(r.choice("thenaiors ") for _ in range(700 + i))) for i in range(5)] + [(5, "internationalization" * 40), (5, "internationalization" * 40), (6, "x" * 900), (7, "é漢 b" * 150)]
-    enc = pieces.encode(frame(*rows), model, chunk=23, at_words=False, fan=3)
-    assert sorted((x.doc_id, list(x.ids)) for x in enc.collect()) == sorted((i, sp.encode(t)) for i, t in rows)
+    for chunk in (23, 130):
+        enc = pieces.encode(frame(*rows), model, chunk=chunk, at_words=False, fan=3)
+        assert sorted((x.doc_id, list(x.ids)) for x in enc.collect()) == sorted((i, sp.encode(t)) for i, t in rows)
+    text = sp.normalize(rows[0][1]).replace(" ", "▁")
+    p, at = pieces.Pieces.load(model), pieces.cuts(text, 130, False)
+    assert any(np.shape(pieces.transfer(p, text, a, b)) > (1, 1) for a, b in zip(at[:-1], at[1:], strict=True))
     assert pieces.encode(frame((1, "a")).limit(0), model).isEmpty()
     a, b, c = (np.where(np.random.default_rng(k).random((3, 3)) < 0.5, 0.0, -np.inf).tolist() for k in range(3))
     assert pieces.product([pieces.product([a, b]), c]) == pieces.product([a, pieces.product([b, c])]) == pieces.product([a, b, c])

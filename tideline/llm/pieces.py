@@ -13,7 +13,8 @@ encoded without its neighbours. Instead:
 3. Scan. The max-plus product of matrices is associative: the products of FAN neighbours, of FAN such
    products, and so on are made each by a task of its own, up to one matrix a text; on the way down,
    the states at the ends of a product tell those at the cuts within it.
-4. Backtrace. Each chunk, alone, finds its pieces between its two states.
+4. Backtrace. Each chunk, alone, finds its pieces between its two states: the broken words at its cuts by their ways, what is
+   between two starts of words by the library.
 
 Chunks are rows of their own and are spread over the cluster; only the small matrices of a text meet.
 """
@@ -128,13 +129,44 @@ def cuts(text: str, chunk: int, at_words: bool = True) -> list[int]:
     return [*out, len(text)]
 
 
+_START = re.compile(r"(?<=[^▁])▁")
+
+
+def inner(text: str, a: int, b: int, left: list, right: list) -> tuple[int, int] | None:
+    """The first and last start of a word in a chunk between cuts a and b (a cut of one state counts): between them there is one way alone."""
+    first = a if left == [(a, a)] else (m.start() if (m := _START.search(text, a)) else len(text))
+    last = b
+    if right != [(b, b)]:
+        last = text.rfind("▁", first, b + 1)
+        while last > first and text[last - 1] == "▁":
+            last = text.rfind("▁", first, last)
+    return (first, last) if first <= last else None
+
+
 def transfer(pieces: Pieces, text: str, a: int, b: int) -> list[list[float]]:
-    """The max-plus matrix of the chunk between cuts a and b; text holds as much around it as a piece is long."""
+    """The max-plus matrix of the chunk between cuts a and b; text holds as much around it as a piece is long.
+
+    Only the broken words at the cuts have several states: the matrix is the product of the left one's column and the right one's row.
+    """
+    left, right = pieces.states(text, a), pieces.states(text, b)
+    if (within := inner(text, a, b, left, right)) is None:
+        last = right == [(b, b)]
+        return [[0.0 if y in got else -np.inf for y in right] for x in left for got in [pieces.ways(text, x, b, last)]]
+    first, last = within
+    head = [[0.0]] if left == [(a, a)] else [[0.0 if pieces.ways(text, x, first, True) else -np.inf] for x in left]
+    tail = [[0.0]] if right == [(b, b)] else [[0.0 if y in got else -np.inf for y in right] for got in [pieces.ways(text, (last, last), b, False)]]
+    return product([head, tail])
+
+
+def trace(pieces: Pieces, text: str, a: int, b: int, x: int, y: int) -> list[int]:
+    """The ids of the chunk between its states x and y: the broken words by their ways, the words between by the library."""
     left, right = pieces.states(text, a), pieces.states(text, b)
-    if left == [(a, a)] and right == [(b, b)]:
-        return [[0.0]]
-    last = right == [(b, b)]
-    return [[0.0 if y in got else -np.inf for y in right] for x in left for got in [pieces.ways(text, x, b, last)]]
+    if (within := inner(text, a, b, left, right)) is None:
+        return pieces.ids([text[i:j] for i, j in pieces.ways(text, left[x], b, right == [(b, b)])[right[y]]])
+    first, last = within
+    head = [] if left == [(a, a)] else pieces.ways(text, left[x], first, True)[first, first]
+    tail = [] if right == [(b, b)] else pieces.ways(text, (last, last), b, False)[right[y]]
+    return pieces.ids([text[i:j] for i, j in head]) + (pieces.plain(text[first:last]) if first < last else []) + pieces.ids([text[i:j] for i, j in tail])
 
 
 def product(matrices: list[list[list[float]]]) -> list[list[float]]:
@@ -218,14 +250,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces.load(model)
         for batch in batches:
-            out = []
-            for t, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("body", "a", "b", "x", "y")), strict=True):
-                left, right = p.states(t, a), p.states(t, b)
-                if left == [(a, a)] and right == [(b, b)]:
-                    out.append(p.plain(t[a:b]))
-                else:
-                    way = p.ways(t, left[x], b, right == [(b, b)])[right[y]]
-                    out.append(p.ids([t[i:j] for i, j in way]))
+            out = [trace(p, t, a, b, x, y) for t, a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("body", "a", "b", "x", "y")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("k"), pa.array(out, pa.list_(pa.int32()))], ["row", "k", "part"])
 
     giant = F.length("text") > chunk
@@ -258,7 +283,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = path("piece_bpe_32k.model")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    encoded = encode(docs, model)
+    # Cut wherever a chunk ends, in the middle of words too: the matrices decide.
+    encoded = encode(docs, model, at_words=False)
     kind = encoded.schema["doc_id"].dataType.simpleString()
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
