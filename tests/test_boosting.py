@@ -51,7 +51,7 @@ def plain_boosting(x, y, new, trees, depth, leaf, rate, weights=(1.0, 1.0)):
     return 1 / (1 + np.exp(-out))
 
 
-@pytest.mark.parametrize("rows", [32_768, 90])
+@pytest.mark.parametrize("rows", [131_072, 90])
 @pytest.mark.parametrize(("depth", "leaf", "balanced"), [(1, 1, False), (3, 12, False), (4, 3, True)])
 def test_equals_a_plain_grower(table, monkeypatch, rows, depth, leaf, balanced):
     monkeypatch.setattr(b, "ROWS", rows)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bins of a column, rows in a block, fits whose sums lie in one block, and trees after which the sums are written again.
-BINS, ROWS, GROUP, TREES = 32, 32_768, 64, 16
+BINS, ROWS, GROUP, TREES = 32, 131_072, 16, 16
 #: Trees of a forest that grow side by side, and nodes whose histograms lie in one shuffled row.
 WIDTH, NODES = 40, 16
 #: Sketches: buckets of magnitude are at most this factor wide (so values are right to 0.5 %), between these magnitudes.
@@ -359,8 +359,13 @@ def observed(fit: Fit, x: np.ndarray, y: np.ndarray, ids: np.ndarray, f: np.ndar
         k = columns.shape[1]
         key = ((at[:, None] * k + np.arange(k)) * bins + x[row[:, None], columns[at]]).ravel()
         size = len(active) * k * bins
-        sums = [np.bincount(key, minlength=size)] + [np.bincount(key, np.repeat(v[row] if times is None else v[row] * times[row], k), size) for v in (w, g, h)]
-        out = np.stack(sums, axis=-1).astype(float).reshape(len(active), k, bins, 4)
+
+        def summed(v: np.ndarray) -> np.ndarray:
+            return np.bincount(key, np.repeat(v[row] if times is None else v[row] * times[row], k), size)
+
+        rows = np.bincount(key, minlength=size)
+        weight = summed(w) if fit.params.balanced or fit.params.loss == "forest" else rows
+        out = np.stack([rows, weight, summed(g), summed(h) if fit.params.loss == "logistic" else weight], axis=-1).astype(float).reshape(len(active), k, bins, 4)
         for c in range(0, len(active), NODES):
             yield (number, c // NODES), out[c : c + NODES]
 
