@@ -163,7 +163,7 @@ def test_adf_bounds_lags_by_the_length_of_the_series(spark):
     assert got["long"].used_lag > 12
 
 
-def test_model_queries_do_the_reference_job(monkeypatch):
+def test_model_queries_do_the_reference_job(monkeypatch, spark):
     from tideline.plans import queries
 
     df, seen = MagicMock(), {}

@@ -801,7 +801,7 @@ def budgeted_search(
         fresh = [replace(base, **{name: _value(kind, x) for (name, kind), x in zip(space.items(), u, strict=True)}) for u in cubes]
         fits = [Fit(p, f"train{fold}", (f"test{fold}",)) for p in fresh for fold in range(1, k + 1)]
         live, grower = list(range(len(fresh))), None
-        told = [(u, None, 0.0) for u in cubes]
+        told, means = [(u, None, 0.0) for u in cubes], {}
         for rung in rungs:
             for i, p in enumerate(fresh):
                 for f in fits[i * k : (i + 1) * k] if grower is None else grower.fits[i * k : (i + 1) * k]:
@@ -810,7 +810,8 @@ def budgeted_search(
             grower = grower or Grower(data, fits)
             since = len(grower.found)
             scores = stage_scores(grower.run(), since)
-            means = {r["point"]: r[metric] for r in scores.groupBy(F.floor(F.col("fit") / k).alias("point")).agg(F.avg(metric).alias(metric)).collect()}
+            # A point of few trees may have come to this rung already: its score stands.
+            means |= {r["point"]: r[metric] for r in scores.groupBy(F.floor(F.col("fit") / k).alias("point")).agg(F.avg(metric).alias(metric)).collect()}
             for i in live:
                 told[i] = (cubes[i], means.get(i), rung)
             ranked = sorted((i for i in live if means.get(i) is not None), key=lambda i: (-sign * means[i], i))
