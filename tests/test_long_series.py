@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import features as fe
 from tideline.functions import windows as win
 from tideline.operators import align, stats
+from tideline.sources.bars import to_bars
 
 START = dt.datetime(2020, 1, 1)
 
@@ -147,3 +148,22 @@ def test_since_reads_the_warm_up_alone(series, tmp_path, spark):
     plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "formatted")
     assert "GreaterThanOrEqual(ts,2020-04-01T00:00)" in plan
     assert fe.since(bars, F.lit(START), 150).count() == 3300 and fe.since(bars, F.lit(START + dt.timedelta(days=999)), 5).isEmpty()
+
+
+@pytest.mark.parametrize("most", [None, 0])
+def test_bars_compare_few_events(spark, most):
+    """Ties, nulls and NaN in the order and the price, null symbols; few events come to the comparison by the whole order."""
+    r = np.random.default_rng(5)
+    rows = [(["a", "b", None][i % 3], i % 2, None if i % 97 == 0 else int(r.integers(0, 40)), int(r.integers(0, 3)), float("nan") if i % 53 == 0 else None if i % 59 == 0 else float(r.integers(1, 99))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "s string, day int, k long, j int, px double").withColumn("t", F.timestamp_seconds(F.col("day") * 86400 + 5)).persist()
+    bars = to_bars(df, F.col("s"), F.col("px"), F.col("t"), "day", [F.col("k"), F.col("j")], most)
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    by = {}
+    for s, day, k, j, px in rows:
+        if px is not None and px == px:
+            by.setdefault((s, day), []).append(((k is not None, k or 0, j, px), px))
+    want = {k: (min(v)[1], max(p for _, p in v), min(p for _, p in v), max(v)[1], float(len(v))) for k, v in by.items()}
+    assert {(b.symbol, b.ts.day - 1): (b.open, b.high, b.low, b.close, b.tick_volume) for b in bars.collect()} == want and bars.columns == ["symbol", "ts", "open", "high", "low", "close", "tick_volume"]
+    joined = plan.find("BroadcastHashJoin")
+    # The join that leaves the ends stands between the events and the aggregate that sorts.
+    assert plan.find("SortAggregate") < joined and plan.find("SortAggregate", joined) < 0 if most is None else joined < 0

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.windows import clean
-from tideline.schema import BARS, KEYS, ORDER, SERIES
+from tideline.schema import BAR_COLUMNS, BARS, KEYS, ORDER, SERIES
+
+#: Bars that are sent to all tasks at once, at most: some 100 bytes each.
+BROADCAST_BARS = 500_000
 
 
 def read_bars(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
@@ -35,10 +38,28 @@ def read_series(spark: SparkSession, path: str, ids: Sequence[str], start=None,
     return df.where(F.col("ts") <= end) if end is not None else df
 
 
-def to_bars(events: DataFrame, symbol: Column, price: Column, ts: Column, unit: str, order: Sequence[Column]) -> DataFrame:
-    """OHLCV bars. order is a total order of the events of a bar (the price ends it); volume counts events."""
-    rows = events.select(symbol.alias("symbol"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("ts"), clean(price.cast("double")).alias("px"), F.struct(*order, price).alias("ord")).where("px is not null")
-    return rows.groupBy("symbol", "ts").agg(F.min_by("px", "ord").alias("open"), F.max("px").alias("high"), F.min("px").alias("low"), F.max_by("px", "ord").alias("close"), F.count("*").cast("double").alias("tick_volume"))
+def to_bars(events: DataFrame, symbol: Column, price: Column, ts: Column, unit: str, order: Sequence[Column], most: int | None = None) -> DataFrame:
+    """OHLCV bars. order is a total order of the events of a bar (the price ends it); volume counts events.
+
+    The least struct of a group makes Spark sort all events. So a first pass, of plain numbers and thus by hash, finds each
+    bar's least and greatest value of the order's first column, and only events with one of these are compared by the whole
+    order. Where there are more than `most` bars (BROADCAST_BARS), so that a bar has few events, all events are.
+    """
+    key = ["symbol", "ts"]
+    rows = events.select(symbol.alias("symbol"), F.date_trunc(unit, ts).cast("timestamp_ntz").alias("ts"), clean(price.cast("double")).alias("px"), F.struct(*order, price).alias("ord"), order[0].alias("at")).where("px is not null")
+    sides = {"high": F.max("px"), "low": F.min("px"), "tick_volume": F.count("*").cast("double")}
+    # Null comes before all values.
+    bounds = {"_first": F.when(F.count("at") == F.count("*"), F.min("at")), "_last": F.max("at")}
+    bars = rows.groupBy(*key).agg(*[c.alias(n) for n, c in (sides | bounds).items()]).persist()
+    if bars.count() <= (BROADCAST_BARS if most is None else most):
+        found = bars.withColumnsRenamed({c: f"_{c}" for c in key})
+        same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
+        rows = rows.join(F.broadcast(found), reduce(Column.__and__, same) & (F.col("at").eqNullSafe(F.col("_first")) | F.col("at").eqNullSafe(F.col("_last"))))
+        sides = {c: F.first(c) for c in sides}
+    else:
+        bars.unpersist()
+    ends = {"open": F.min_by("px", "ord"), "close": F.max_by("px", "ord")}
+    return rows.groupBy(*key).agg(*[(ends | sides)[c].alias(c) for c in BAR_COLUMNS])
 
 
 def union_precedence(sources: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
