@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import features as fe
 from tideline.functions import windows as win
 from tideline.operators import align, stats
+from tideline.plans import queries
 from tideline.sources.bars import to_bars
 
 START = dt.datetime(2020, 1, 1)
@@ -167,3 +168,14 @@ def test_bars_compare_few_events(spark, most):
     joined = plan.find("BroadcastHashJoin")
     # The join that leaves the ends stands between the events and the aggregate that sorts.
     assert plan.find("SortAggregate") < joined and plan.find("SortAggregate", joined) < 0 if most is None else joined < 0
+
+
+def test_matrix_tasks_do_not_follow_the_session(spark):
+    """The cached matrix of few bars isn't cut into as many partitions as the session has for its input."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert queries._matrix(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.catalog.clearCache()

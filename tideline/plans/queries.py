@@ -484,7 +484,10 @@ FITTED = "block <> 'test'"
 
 
 def _matrix(spark, d) -> DataFrame:
-    return protocol.chrono_split(fe.training_features(_with_macro(spark, d))).persist()
+    """Tasks by cores and by the bars' own number: the session's partitions follow the input, which has far more rows."""
+    bars = _with_macro(spark, d).persist()
+    parts = max(spark.sparkContext.defaultParallelism, -(-bars.count() // models.ROWS))
+    return protocol.chrono_split(fe.training_features(bars.repartition(parts, "symbol"))).persist()
 
 
 def _prepared(spark, d) -> tuple[DataFrame, list[str]]:
@@ -539,7 +542,7 @@ def huber_return(spark, d):
 
 def _compared(df, cols) -> DataFrame:
     """Scores by model and fold: all trees together, and a logistic model."""
-    folds = protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS)
+    folds = models.sized(protocol.expanding_folds(df.where(FITTED).drop("block"), FOLDS))
     linear = models.cross_validate(folds, lambda train: models.fit_direction(train, cols, kind="logistic"))
     return boosting.compare(df.where(FITTED), cols, UP, ZOO, FOLDS).unionByName(linear.withColumn("model", F.lit("logistic")))
 
